@@ -20,10 +20,17 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import NgramJaccardJoin
+
+    return NgramJaccardJoin().groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op6_source_mix": op6_source_mix,
+        "op8_ngram_join": op8_ngram_join,
     }
 
 
