@@ -13,6 +13,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RiskControlledRules().judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("lang")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import LanguageId
+
+    return LanguageId().predict(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mix import FairMix
 
@@ -29,6 +35,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op4_language_id": op4_language_id,
         "op6_source_mix": op6_source_mix,
         "op8_ngram_join": op8_ngram_join,
     }
