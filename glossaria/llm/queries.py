@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
+#: Default place of the public model file; a parameter of the query.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import RiskControlledRules
@@ -32,12 +36,23 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJaccardJoin().groups(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECES) -> DataFrame:
+    """Ids of every document, their number, and the text's length after decoding them again."""
+    from .sentencepiece_codec import SentencePieceCodec
+
+    codec = SentencePieceCodec(model_file)
+    ids = codec.encode(table(spark, sf_dir, "documents"))
+    back = codec.decode(ids.withColumn("again", F.col("ids")), "again", keep=("doc_id", "ids"))
+    return back.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), F.length("text").alias("decoded_chars"), F.xxhash64("text").alias("decoded_hash"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op4_language_id": op4_language_id,
         "op6_source_mix": op6_source_mix,
         "op8_ngram_join": op8_ngram_join,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
