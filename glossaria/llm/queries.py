@@ -30,6 +30,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import MainText
+
+    return MainText().extract(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import NgramJaccardJoin
 
@@ -51,6 +57,7 @@ def queries() -> dict:
         "op1_quality_rules": op1_quality_rules,
         "op4_language_id": op4_language_id,
         "op6_source_mix": op6_source_mix,
+        "op7_html_extract": op7_html_extract,
         "op8_ngram_join": op8_ngram_join,
         "op10_sentencepiece": op10_sentencepiece,
     }
