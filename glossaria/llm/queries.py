@@ -23,6 +23,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LanguageId().predict(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import CosineGroups
+
+    return CosineGroups().groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mix import FairMix
 
@@ -56,6 +62,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op4_language_id": op4_language_id,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_source_mix": op6_source_mix,
         "op7_html_extract": op7_html_extract,
         "op8_ngram_join": op8_ngram_join,
