@@ -17,6 +17,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RiskControlledRules().judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("lang")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import CoTraining
+
+    return CoTraining().score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import ToxicityChain
+
+    return ToxicityChain().predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import LanguageId
 
@@ -61,6 +73,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_toxicity": op3_toxicity,
         "op4_language_id": op4_language_id,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_source_mix": op6_source_mix,
