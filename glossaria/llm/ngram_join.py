@@ -81,8 +81,9 @@ def _add_up(batches):
         )
 
 
-def _prefixes(batches, shared, bits: int, k: int):
+def _prefixes(batches, shared, copies, bits: int, k: int):
     counts = np.frombuffer(shared.value, "<u4").astype(np.uint64)
+    bitmap = np.frombuffer(copies.value, np.uint64)
     low = np.uint64(0xFFFFFFFF)
     for batch in batches:
         ids = batch.column(0)
@@ -107,8 +108,9 @@ def _prefixes(batches, shared, bits: int, k: int):
                     pa.array(n, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * 64, pa.int32()), pa.array(hist, pa.int32())),
+                    pa.array(_in_filter(np.nan_to_num(ids[i:j].to_numpy(zero_copy_only=False)).astype(np.int64), bitmap)),
                 ],
-                names=["doc_id", "n", "prefix", "hist"],
+                names=["doc_id", "n", "prefix", "hist", "doubt"],
             )
 
 
@@ -122,7 +124,6 @@ def _in_filter(ids: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 def _filter_words(batches, bits: int):
     """(word, bits) of a Bloom filter of 2^bits bits over the ids of a partition."""
-    words: dict[int, int] = {}
     bitmap = np.zeros((1 << bits) >> 6, np.uint64)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -130,12 +131,21 @@ def _filter_words(batches, bits: int):
             at = tk.mix(ids.astype(np.uint64) * np.uint64(2 * j + 3) + np.uint64(j)) & np.uint64((1 << bits) - 1)
             np.bitwise_or.at(bitmap, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     set_ = np.flatnonzero(bitmap)
-    del words
     for i in range(0, len(set_), 1 << 16):
         part = set_[i : i + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(bitmap[part].view(np.int64))], names=["word", "bits"])
 
 
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of 16 bits an id, 2^28 bits at most: a fuller one lets more through, and exact joins follow."""
+    width = min(28, max(16, int(16 * ids.count()).bit_length()))
+    words = ids.mapInArrow(lambda it: _filter_words(it, width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bitmap = np.zeros((1 << width) >> 6, np.int64)
+    found = words.toArrow()
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bitmap
+
+
 def _sets(batches, shared, k: int):
     bitmap = np.frombuffer(shared.value, np.uint64)
     for batch in batches:
@@ -199,12 +209,18 @@ class NgramJaccardJoin:
     def shared_shingles(self, docs: DataFrame, classes: DataFrame, counters: bytes) -> tuple[DataFrame, DataFrame]:
         """(shingle rows of prefixes that several classes hold, with the leader; suffix histograms of classes)."""
         k, bits = self.k, self.bits
-        shared = docs.sparkSession.sparkContext.broadcast(counters)
+        sc = docs.sparkSession.sparkContext
+        shared = sc.broadcast(counters)
+        # Documents that are surely their class's representative go on as they are; only those that the
+        # filter of copies doubts are joined with the classes, so prefixes of single documents aren't shuffled.
+        others = classes.where("doc_id <> rep or doc_id is null or rep is null").select("doc_id")
+        copies = sc.broadcast(_bloom(others.where("doc_id is not null")).tobytes())
         pre = docs.select("doc_id", "text").mapInArrow(
-            lambda it: _prefixes(it, shared, bits, k), "doc_id long, n long, prefix array<long>, hist array<int>"
+            lambda it: _prefixes(it, shared, copies, bits, k), "doc_id long, n long, prefix array<long>, hist array<int>, doubt boolean"
         )
+        pre = durable(pre, "join-prefix").where("doc_id is not null")
         reps = classes.where("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct()
-        pre = durable(pre, "join-prefix").join(reps, "doc_id", "left_semi")
+        pre = pre.where("not doubt").unionByName(pre.where("doubt").join(reps, "doc_id", "left_semi"))
         rows = pre.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
         several = rows.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token", F.col("lo").alias("leader"))
         return durable(rows.join(several, "token"), "join-shared"), pre.select(F.col("doc_id").alias("rep"), "hist")
@@ -232,15 +248,9 @@ class NgramJaccardJoin:
         spark, k, num, den = docs.sparkSession, self.k, self.num, self.den
         pairs = durable(pairs, "join-pairs")
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        n = ids.count()
-        if not n:
+        if not pairs.take(1):
             return pairs
-        width = min(28, max(16, int(16 * n).bit_length()))
-        words = ids.mapInArrow(lambda it: _filter_words(it, width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-        bitmap = np.zeros((1 << width) >> 6, np.int64)
-        found = words.toArrow()  # at most 2^28 bits
-        bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-        shared = spark.sparkContext.broadcast(bitmap.tobytes())
+        shared = spark.sparkContext.broadcast(_bloom(ids).tobytes())
         sets = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, shared, k), "doc_id long, members binary")
         sets = durable(sets, "join-sets")
         one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
