@@ -285,3 +285,27 @@ class NgramJaccardJoin:
             comp = components(links.unionByName(new))
         label = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
         return label.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+    def one_of_each(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs without those whose component has a smaller doc_id; all columns kept.
+
+        Only the ids that go or repeat are joined, against a Bloom filter's suspects: the texts of the others are not shuffled.
+        Of rows that share a doc_id one stays; rows with null doc_id stay.
+        """
+        groups = self.groups(docs).where("doc_id is not null")
+        per = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows"))
+        found = durable(per.where("gone or rows > 1").select(F.col("doc_id").alias("__id"), "gone"), "join-gone")
+        shared = docs.sparkSession.sparkContext.broadcast(_bloom(found.select(F.col("__id").alias("doc_id"))).tobytes())
+        at = docs.columns.index("doc_id")
+
+        def part(batches, sure: bool):
+            bitmap = np.frombuffer(shared.value, np.uint64)
+            for batch in batches:
+                ids = batch.column(at)
+                hit = _in_filter(np.nan_to_num(ids.to_numpy(zero_copy_only=False)).astype(np.int64), bitmap) & np.asarray(ids.is_valid())
+                yield batch.filter(pa.array(~hit if sure else hit))
+
+        clear = docs.mapInArrow(lambda it: part(it, True), docs.schema)
+        doubt = docs.mapInArrow(lambda it: part(it, False), docs.schema)
+        left = doubt.join(found.where("gone"), F.col("doc_id") == F.col("__id"), "left_anti")
+        return clear.unionByName(left.dropDuplicates(["doc_id"]))

@@ -70,15 +70,18 @@ class RiskControlledRules:
     def __init__(self, alpha: float = 0.05, delta: float = 0.05, max_strata: int = 64, window: int = 8):
         self.alpha, self.delta, self.max_strata, self.window = alpha, delta, max_strata, window
 
-    def statistics(self, docs: DataFrame) -> DataFrame:
-        """doc_id, lang and the counts of every whole text; one row a document, no shuffle."""
+    def statistics(self, docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+        """doc_id, lang and the counts of every whole text; one row a document, no shuffle. carry: columns kept as __row."""
         text, w = F.coalesce(F.col("text"), F.lit("")), self.window
-        s = docs.select("doc_id", "lang", text.alias("text"))
+        row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row")] if carry else []
+        also = ["__row"] if carry else []
+        s = docs.select("doc_id", "lang", text.alias("text"), *row)
         s = s.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
         s = s.withColumn("n_words", F.size("words").cast("long")).withColumn(
             "lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
         )
         s = s.select(
+            *also,
             "doc_id",
             "lang",
             "n_words",
@@ -120,6 +123,7 @@ class RiskControlledRules:
             lambda a, x: a + x,
         )
         return s.select(
+            *also,
             "doc_id",
             "lang",
             "n_words",
@@ -181,21 +185,34 @@ class RiskControlledRules:
         best = tested.withColumn("stop", stop).groupBy("stratum", "rule").agg(F.max(passed).alias("t"))
         return best.select("stratum", "rule", "t.*").collect()
 
-    def judge(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The statistics with base_failed, kept and failed_rules (names of the learned rules that the document exceeds)."""
-        rates = durable(self.rates(self.statistics(docs)), "rule-stats")
-        found = self.cutoffs(rates, labels)
+    def _verdicts(self, rates: DataFrame, found: list) -> DataFrame:
+        """failed_rules and kept, by the cutoffs of the row's stratum written into the plan."""
         strata = {x["stratum"] for x in found}
         named = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
         own = [s for s in sorted(strata) if s]
+        stratum = F.when(named.isin(own), named).otherwise(F.lit("")) if own else F.lit("")
+        out = rates.withColumn("__stratum", stratum)
         fails = []
         for rule in RULES:
             limit = F.lit(None).cast("double")
-            by = {x["stratum"]: x["cutoff"] for x in found if x["rule"] == rule}
-            for s in own:
-                limit = F.when(F.col("stratum") == F.lit(s), F.lit(by.get(s)).cast("double")).otherwise(limit)
-            limit = F.when(F.col("stratum") == F.lit(""), F.lit(by.get("")).cast("double")).otherwise(limit)
+            for x in found:
+                if x["rule"] == rule and x["cutoff"] is not None:
+                    limit = F.when(F.col("__stratum") == F.lit(x["stratum"]), F.lit(x["cutoff"])).otherwise(limit)
             fails.append(F.when(F.col(rule) > limit, F.lit(rule)))
-        out = rates.withColumn("stratum", F.when(named.isin(own), named).otherwise(F.lit("")) if own else F.lit(""))
-        out = out.withColumn("failed_rules", F.array_compact(F.array(*fails)))
-        return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("stratum")
+        out = out.withColumn("failed_rules", F.array_compact(F.array(*fails))).drop("__stratum")
+        return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+    def judge(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The statistics with base_failed, kept and failed_rules (names of the learned rules that the document exceeds)."""
+        rates = durable(self.rates(self.statistics(docs)), "rule-stats")
+        return self._verdicts(rates, self.cutoffs(rates, labels))
+
+    def filter(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of docs that are kept, all columns kept: statistics are taken again in the scan, so no text is shuffled."""
+        rates = durable(self.rates(self.statistics(docs)), "rule-stats")
+        found = self.cutoffs(rates, labels)
+        # The generator keeps the filter above it: pushed further down, the statistics would be inlined and taken many times.
+        stats = self.statistics(docs, carry=docs.columns)
+        once = F.explode(F.array(F.struct(*[c for c in stats.columns if c != "__row"]))).alias("__s")
+        judged = self._verdicts(self.rates(stats.select("__row", once).select("__row", "__s.*")), found)
+        return judged.where("kept").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -60,6 +60,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJaccardJoin().groups(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import ChatFormat
+
+    return ChatFormat().format(table(spark, sf_dir, "conversations"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECES) -> DataFrame:
     """Ids of every document, their number, and the text's length after decoding them again."""
     from .sentencepiece_codec import SentencePieceCodec
@@ -80,6 +86,7 @@ def queries() -> dict:
         "op6_source_mix": op6_source_mix,
         "op7_html_extract": op7_html_extract,
         "op8_ngram_join": op8_ngram_join,
+        "op9_chat_format": op9_chat_format,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
