@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import textops as t
 
-SO_FAR = W.partitionBy("doc").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-BEFORE = W.partitionBy("doc").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+
+def so_far(back: int = 0):
+    """The document's lines up to this one, or up to `back` lines before it."""
+    return W.partitionBy("doc").orderBy("line_no").rowsBetween(W.unboundedPreceding, -back)
+
+
 # Header words by section, in order of priority; the text is lower-cased and without white space.
 HEADERS = (
     ("use_of_english", ("useofenglish", "usenglish", "clozetest", "closetest")),
@@ -23,7 +27,7 @@ HEADERS = (
 
 
 def _any(flag):
-    return F.sum(flag.cast("int")).over(SO_FAR)
+    return F.sum(flag.cast("int")).over(so_far())
 
 
 def _joined(rows: DataFrame, key: str, sep: str = " ") -> DataFrame:
@@ -50,10 +54,10 @@ def section_keys(rows: DataFrame) -> DataFrame:
     r = rows.withColumn("head", head).withColumn("part", F.when(F.col("head").isNull(), part))
     # Parts A and B keep to reading or writing; only headers and part C change it: one fill forward.
     side = F.when(F.col("head").isNotNull(), F.col("head").startswith("writing")).when(F.col("part") == "C", F.lit(False))
-    r = r.withColumn("writing", F.coalesce(F.last(side, ignorenulls=True).over(SO_FAR), F.lit(False)))
+    r = r.withColumn("writing", F.coalesce(F.last(side, ignorenulls=True).over(so_far()), F.lit(False)))
     kind = F.when(F.col("writing"), F.lit("writing_")).otherwise(F.lit("reading_"))
     event = F.coalesce("head", F.when(F.col("part") == "C", F.lit("reading_c")).when(F.col("part").isNotNull(), F.concat(kind, F.lower("part"))))
-    r = r.withColumn("event", event).withColumn("key", F.last("event", ignorenulls=True).over(SO_FAR))
+    r = r.withColumn("event", event).withColumn("key", F.last("event", ignorenulls=True).over(so_far()))
     return r.where("event is null and key is not null").select("doc", "line_no", "line", "key")
 
 
@@ -66,7 +70,7 @@ def translation_marks(rows: DataFrame) -> DataFrame:
         .when((t.en_ratio(s) < 0.1) & (t.zh_ratio(s) > 0.3), F.lit("close"))
     )
     r = rows.withColumn("event", event).withColumn("seg", _any(F.coalesce(F.col("event") == "open", F.lit(False))))
-    r = r.withColumn("prev", F.last("event", ignorenulls=True).over(BEFORE))
+    r = r.withColumn("prev", F.last("event", ignorenulls=True).over(so_far(1)))
     inside = F.coalesce(F.col("event") == "open", F.lit(False)) | (F.col("event").isNull() & F.coalesce(F.col("prev") == "open", F.lit(False)))
     r = r.withColumn("inside", inside)
     held = r.where("inside").withColumn("line", s)

@@ -64,7 +64,7 @@ def processed_sections(spark: SparkSession, root: str) -> DataFrame:
 
 
 _PARA = re.compile(r"<w:p[ >].*?</w:p>", re.S)
-_RUN = re.compile(r"<w:t[^>]*>(.*?)</w:t>", re.S)
+_RUN = re.compile(r"<w:t(?: [^>]*)?>(.*?)</w:t>", re.S)
 
 
 def docx_text(raw: bytes, tables: bool = False) -> str:
