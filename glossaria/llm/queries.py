@@ -92,4 +92,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return {
+        "op1_quality_rules": oracles.quality_rules(),
+        "op5_embedding_dedup": oracles.EMBEDDING_DEDUP,
+        "op8_ngram_join": oracles.NGRAM_JOIN,
+    }
