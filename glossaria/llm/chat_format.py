@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small_batches
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -39,7 +39,7 @@ INF = float("inf")
 class Repair:
     """The moves of the automaton: for every role class (3: unknown) and pair of states the cheapest way to take a turn."""
 
-    def __init__(self, merge: float = 1.0, relabel: float = 3.0, insert: float = 2.0, last: tuple[str, ...] = ("assistant",)):
+    def __init__(self, merge: float = 1.0, relabel: float = 4.0, insert: float = 2.0, last: tuple[str, ...] = ("assistant",)):
         self.insert = insert
         self.last = [ROLES.index(r) + 1 for r in last]
         self.paths = {(s, t): self._inserted(s, t) for s in range(4) for t in range(4)}
@@ -221,6 +221,7 @@ class ChatFormat:
     def format(self, conversations: DataFrame) -> DataFrame:
         """conv_id, part, n_turns, cost, n_merged, n_relabelled, n_inserted, text."""
         repair, spark = self.repair, conversations.sparkSession
+        small_batches(spark, 4096)
         order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()]
         rows = conversations.select("conv_id", "turn", "role", "text").withColumn("row", F.monotonically_increasing_id())
         placed = rows.repartitionByRange(F.col("conv_id").asc_nulls_last(), *order, F.col("row")).withColumn("seg", F.spark_partition_id())

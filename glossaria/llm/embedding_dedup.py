@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, release
+from .common import components, durable, release, small_batches
 
 _LIMIT = 1 << 12
 
@@ -133,6 +133,7 @@ class CosineGroups:
     def groups(self, vectors: DataFrame) -> DataFrame:
         """vec_id, n_links, component_id, kept for every row."""
         spark, t = vectors.sparkSession, self.t
+        small_batches(spark, 8192)
         e = F.col("embedding")
         good = F.coalesce(
             (F.size(e) > 0)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkernel as tk
+from .common import small_batches
 
 # HTML's element categories.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select option button datalist".split())
@@ -417,5 +418,6 @@ class MainText:
 
     def extract(self, pages: DataFrame) -> DataFrame:
         """page_id, url, text, n_chars of every row."""
+        small_batches(pages.sparkSession)
         shared = pages.sparkSession.sparkContext.broadcast(self.net.p)
         return pages.select("page_id", "url", "html").mapInArrow(lambda it: _extract(it, shared), "page_id long, url string, text string, n_chars long")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .common import small_batches
 
 #: Symbol of padding: its update gate is 1, so the state passes through it unchanged.
 PAD = 256
@@ -244,6 +245,7 @@ class LanguageId:
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """doc_id, held_out, lang_pred, score for every row."""
+        small_batches(docs.sparkSession)
         labels, params = self.fit(docs)
         shared = docs.sparkSession.sparkContext.broadcast((labels, params, self.hidden))
         width = self.window

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import components, durable, release
+from .common import components, durable, release, small_batches
 
 _SLICES = 64
 _HASHES = 4
@@ -190,6 +190,7 @@ class NgramJaccardJoin:
 
     def classes(self, docs: DataFrame) -> tuple[DataFrame, bytes]:
         """Per row doc_id, n, rep (smallest doc_id with an equal set; null if the set is empty); and the counters."""
+        small_batches(docs.sparkSession)
         k, bits = self.k, self.bits
         scan = durable(
             docs.select("doc_id", "text").mapInArrow(

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .common import small_batches
 from .linear import fit_logistic, fit_platt, labelled_sample, sampled, sigmoid
 
 WORDS, ENDS, RATES = 768, 256, 4
@@ -112,7 +113,7 @@ def _score(batches, shared):
     model = shared.value
     for batch in batches:
         meta = meta_view(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
-        for i, j, buf, off in tk.slices(batch.column(1), 1 << 20):
+        for i, j, buf, off in tk.slices(batch.column(1)):
             x, count = text_view(buf, off)
             p_text, p_meta, p = combine(model, x, meta[i:j])
             known = count > 0
@@ -147,6 +148,7 @@ class CoTraining:
         return read("text", TEXT), read("meta", META), np.array(got.column("target").to_pylist(), dtype=float), np.array(got.column("doc_id").to_pylist())
 
     def fit(self, docs: DataFrame, labels: DataFrame) -> dict:
+        small_batches(docs.sparkSession)
         docs = docs.select(*COLUMNS)
         text, meta, y, ids = self._load(labelled_sample(docs, labels, "quality", self.labelled))
         y = (y > 0).astype(float)

@@ -28,10 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import textkernel as tk
+from .common import small_batches
 
 MARK = "▁"
-#: Words whose ids a worker keeps from slice to slice, some 50 MB.
-CACHE_WORDS = 1 << 20
+#: Words whose ids a worker keeps from slice to slice, some 20 MB.
+CACHE_WORDS = 1 << 19
 _UNIGRAM, _BPE = 1, 2
 _UNKNOWN, _CONTROL, _BYTE = 2, 3, 6  # piece types; 1 is normal, 4 user-defined, 5 unused
 
@@ -125,7 +126,7 @@ class Model:
         found = self.pairs.get(key)
         if found is None:
             x, y = self.piece[a], self.piece[b]
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             found = self.pairs[key] = self.merge(x + y) == [x, y]
         return found
@@ -278,7 +279,7 @@ def _encode(batches, shared):
     model = _model(shared.value)
     for batch in batches:
         text = batch.column(batch.num_columns - 1)
-        for i, j, buf, off in tk.slices(text, 1 << 22):
+        for i, j, buf, off in tk.slices(text, 1 << 20):
             ids, ends = model.encode_slice(buf, off)
             null = pc.is_null(text[i:j])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
@@ -306,6 +307,7 @@ class SentencePieceCodec:
 
     def encode(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The kept columns and ids (array of int) of every row."""
+        small_batches(docs.sparkSession)
         shared = docs.sparkSession.sparkContext.broadcast(self.raw)
         cols = docs.select(*keep, text)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1]) + ", ids array<int>"
@@ -313,6 +315,7 @@ class SentencePieceCodec:
 
     def decode(self, rows: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The kept columns and the text of every row's ids."""
+        small_batches(rows.sparkSession)
         shared = rows.sparkSession.sparkContext.broadcast(self.raw)
         cols = rows.select(*keep, ids)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1]) + ", text string"

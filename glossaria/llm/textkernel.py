@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkernel as tk
+from .common import small_batches
 from .linear import fit_logistic, labelled_sample, sigmoid
 
 CHAIN = ("insult", "sustained", "toxic")
@@ -138,6 +139,7 @@ class ToxicityChain:
         self.labelled, self.size, self.several = labelled, size, several
 
     def fit(self, docs: DataFrame, labels: DataFrame):
+        small_batches(docs.sparkSession)
         rows = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", self.labelled)
         got = rows.mapInArrow(_sample, "doc_id long, target int, terms binary").toArrow().sort_by("doc_id")
         y = (np.array(got.column("target").to_pylist(), dtype=float) > 0).astype(float)
