@@ -11,7 +11,9 @@ writes from varied layouts (where the article stands, what stands around it, in
 names), so labels are exact and no page of the corpus is needed.
 
 Defined cases: null html and a page without main text give an empty text; a page cut off inside a tag or
-character reference loses only that tag; unclosed and stray tags are tolerated; pages of any
+character reference loses only that tag; unclosed and stray tags are tolerated: script, style, textarea and title
+without an end tag run to the end of the page, as in browsers, of other skipped elements only the tag is skipped, and
+head ends where <body> or anything shown begins; pages of any
 length are read whole, with memory for one page's blocks; repeated rows give equal texts; an empty table gives
 an empty result; other columns are ignored.
 """
@@ -31,7 +33,9 @@ from . import textkernel as tk
 from .common import small_batches
 
 # HTML's element categories.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select option button datalist".split())
+TEXT_ONLY = frozenset("script style textarea title".split())
+FALLBACK = frozenset("noscript iframe".split())
+RAW = TEXT_ONLY | FALLBACK | frozenset("template object svg canvas audio video select option button datalist annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -51,7 +55,46 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in TEXT_ONLY | FALLBACK}
+_RAW_START = {t: re.compile(rf"<{t}\b", re.I) for t in FALLBACK}
+
+
+def _ends(page: str, at: int) -> dict[int, int]:
+    """Where the skipped elements from `at` on end, by the end of their start tag; those without an end tag of their own are left out.
+
+    One pass over the page: of every tag the next end tag is looked for once.
+    """
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    following: dict[str, tuple[int, int]] = {}
+
+    def closing(tag: str) -> tuple[int, int]:
+        if following.get(tag, (-1, -1))[0] < at:
+            done = _RAW_END[tag].search(page, at)
+            following[tag] = done.span() if done else (len(page) + 1, 0)
+        return following[tag]
+
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag not in RAW:
+            continue
+        if m[1]:
+            if open_.get(tag):
+                ends[open_[tag].pop()] = at
+        elif m[3].endswith("/"):
+            continue
+        elif tag in TEXT_ONLY:
+            if not open_.get("svg"):  # within a picture they are common elements
+                at = closing(tag)[1] or at
+        elif tag in FALLBACK:
+            start, stop = closing(tag)
+            if stop and not _RAW_START[tag].search(page, at, start):
+                ends[at] = stop
+                at = stop
+        else:
+            open_.setdefault(tag, []).append(at)
+    return ends
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
@@ -61,6 +104,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     text: list[str] = []
     linked = links = 0
     at, end = 0, len(page)
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -101,10 +145,18 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if any(t == tag for t, _ in stack):
                 pop_to({tag}, frozenset())
             continue
+        if tag == "head":
+            continue
         if tag in RAW:
-            done = _RAW_END[tag].search(page, at)
-            if tag not in ("option",) and not m[3].endswith("/"):
+            if m[3].endswith("/") or tag == "option":
+                pass
+            elif tag in TEXT_ONLY:
+                done = _RAW_END[tag].search(page, at)
                 at = done.end() if done else end
+            else:
+                if ends is None:
+                    ends = _ends(page, m.start())
+                at = ends.get(at, at)
             text.append(" ")
             continue
         if tag in BLOCK:
