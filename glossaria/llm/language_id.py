@@ -3,6 +3,8 @@
 Every byte of a text gets a label distribution from a forward and a backward GRU with `hidden` units;
 a document's probability is the mean over its bytes. Whole texts are read, cut into windows of
 `window` bytes that start from a zero state, so a text of any length needs bounded memory.
+Every language that rows carry is learned, however many there are: beyond 64 training steps grow in
+proportion, and fewer windows are labelled at once, so that memory stays bounded.
 Gates are hard sigmoids and the candidate a hard tanh (both cheap, both differentiable almost
 everywhere). Training is backpropagation through time with Adam on at most `docs_per_language`
 documents a language and `pieces` windows of each, a documented bound; it never looks at held-out
@@ -210,37 +212,38 @@ def _label_batches(batches, shared, width: int, rows: int):
 
 
 class LanguageId:
-    def __init__(self, hidden=8, window=64, docs_per_language=600, pieces=6, max_languages=64, steps=260, batch=256, rate=0.02, seed=17):
+    def __init__(self, hidden=8, window=64, docs_per_language=600, pieces=6, steps=260, batch=256, rate=0.02, seed=17):
         self.hidden, self.window, self.docs, self.pieces = hidden, window, docs_per_language, pieces
-        self.max_languages, self.steps, self.batch, self.rate, self.seed = max_languages, steps, batch, rate, seed
+        self.steps, self.batch, self.rate, self.seed = steps, batch, rate, seed
 
     def fit(self, docs: DataFrame) -> tuple[list[str], dict]:
-        """(languages, parameters) from a bounded sample of rows that are not held out."""
+        """(languages, parameters) of every language, from a sample of rows that are not held out, bounded by language."""
         rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-        sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(self.max_languages).collect()
+        sizes = rows.groupBy("lang").count().collect()
         labels = sorted(x["lang"] for x in sizes)
         if not labels:
             return [], {}
-        rate = F.lit(0.0)
-        for x in sizes:
-            rate = F.when(F.col("lang") == F.lit(x["lang"]), F.lit(min(1.0, self.docs / x["count"]))).otherwise(rate)
+        rates = docs.sparkSession.createDataFrame([(x["lang"], min(1.0, self.docs / x["count"])) for x in sizes], "lang string, rate double")
         draw = lambda k: F.pmod(F.xxhash64(F.lit(self.seed + k), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
         span = F.greatest(F.length("text") - self.window, F.lit(0))
         cut = [F.substring("text", (F.floor(draw(k + 1) * (span + 1)) + 1).cast("int"), F.lit(self.window)) for k in range(self.pieces)]
-        sample = rows.where(draw(0) < rate).select("lang", F.array(*cut).alias("cut")).orderBy("lang", F.xxhash64("cut")).collect()
+        rows = rows.join(F.broadcast(rates), "lang").where(draw(0) < F.col("rate"))
+        sample = rows.select("lang", F.array(*cut).alias("cut")).orderBy("lang", F.xxhash64("cut")).collect()
+        number = {x: k for k, x in enumerate(labels)}
         seq, y = [], []
         for x in sample:
             for piece in x["cut"]:
                 raw = np.frombuffer(piece.encode()[: self.window], np.uint8)
                 seq.append(np.concatenate([raw, np.full(self.window - len(raw), PAD)]).astype(np.int16))
-                y.append(labels.index(x["lang"]))
+                y.append(number[x["lang"]])
         net = ByteGru(len(labels), self.hidden)
         y = np.array(y)
         seq = np.stack(seq)
         # languages weigh alike
         many = np.bincount(y, minlength=len(labels))
         take = np.concatenate([np.resize(np.flatnonzero(y == k), many.max()) for k in range(len(labels)) if many[k]])
-        net.train(seq[take], y[take], self.steps, self.batch, self.rate)
+        steps = max(self.steps, self.steps * len(labels) // 64)
+        net.train(seq[take], y[take], steps, self.batch, self.rate)
         return labels, net.p
 
     def predict(self, docs: DataFrame) -> DataFrame:
@@ -248,8 +251,8 @@ class LanguageId:
         small_batches(docs.sparkSession)
         labels, params = self.fit(docs)
         shared = docs.sparkSession.sparkContext.broadcast((labels, params, self.hidden))
-        width = self.window
+        width, at_once = self.window, max(1, 2048 * 64 // max(64, len(labels)))
         rows = docs.select("doc_id", held_out().alias("held_out"), "text")
         return rows.mapInArrow(
-            lambda it: _label_batches(it, shared, width, 2048), "doc_id long, held_out boolean, lang_pred string, score double"
+            lambda it: _label_batches(it, shared, width, at_once), "doc_id long, held_out boolean, lang_pred string, score double"
         )
