@@ -25,16 +25,25 @@ def lines(papers: DataFrame) -> DataFrame:
     return papers.select("paper_idx", "year", "section", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3) -> DataFrame:
-    """paper_idx, year, section, line_no, tok_idx, word, lemma, pos of every vocabulary token."""
+def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True) -> DataFrame:
+    """paper_idx, year, section, line_no, tok_idx, word, lemma, pos of every vocabulary token.
+
+    Lemmas are those of lemmas() over the tokens' words; without `suffixes`, by irregular forms only.
+    """
     stop = list(STOP_WORDS if stop_words is None else stop_words)
     rows = lines(papers)
     if min_ratio is not None:
         rows = rows.where(t.en_ratio("line") > min_ratio)
     rows = rows.select("paper_idx", "year", "section", "line_no", F.posexplode(t.runs("line")).alias("tok_idx", "word"))
     low = F.lower("word")
-    rows = rows.where(t.is_token(F.col("word")) & ~low.isin(stop)).withColumn("lemma", t.lemma_of(low))
-    rows = rows.where(~F.col("lemma").isin(stop) & (F.length("lemma") >= 2))
+    kept = ~F.col("lemma").isin(stop) & (F.length("lemma") >= 2)
+    rows = rows.where(t.is_token(F.col("word")) & ~low.isin(stop)).withColumn("lemma", t.lemma_of(low)).where(kept)
+    if suffixes:
+        # Only the words that the suffix rules change are joined.
+        by_rule = lemmas(rows.select(low.alias("word"))).where(F.col("lemma") != t.lemma_of(F.col("word")))
+        names = rows.columns
+        rows = rows.withColumn("__low", low).join(by_rule.select(F.col("word").alias("__low"), F.col("lemma").alias("__by_rule")), "__low", "left")
+        rows = rows.withColumn("lemma", F.coalesce("__by_rule", "lemma")).select(*names).where(kept)
     return rows.withColumn("pos", t.pos_of(low))
 
 

@@ -6,6 +6,7 @@ import pytest
 
 from glossaria.llm.html_extract import blocks, extract, train
 from glossaria.llm.language_id import LanguageId
+from glossaria.operators import index, tokens
 from glossaria.plans import catalog
 
 
@@ -64,3 +65,16 @@ def test_every_language_is_learned(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in LanguageId().predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert set(got.values()) == set(names)
     assert sum(got[i] == n for i, _, n in rows if n > "l63") >= 44  # of 48 documents of the six rarest languages
+
+
+def test_tokens_have_suffix_lemmas(spark):
+    said = ["They walked far. Walking helps.", "I walk; policies changed.", "A policy. He went.", "Change unmatched boxing"]
+    papers = spark.createDataFrame([(i, f"y{i}", "s", x) for i, x in enumerate(said)], "paper_idx int, year string, section string, text string")
+    tok = tokens.tokens(papers)
+    lemma = {r["word"].lower(): r["lemma"] for r in tok.collect()}
+    assert {k: lemma[k] for k in ("walked", "walking", "walk", "policies", "policy", "changed", "went", "unmatched", "boxing")} == {
+        "walked": "walk", "walking": "walk", "walk": "walk", "policies": "policy", "policy": "policy", "changed": "change", "went": "go", "unmatched": "unmatched", "boxing": "boxing"
+    }
+    assert {r["lemma"]: r["units"] for r in index.frequency(tok, papers).collect()}["walk"] == 2
+    assert {r["lemma"]: list(r["variants"]) for r in index.variants(tok).collect()}["walk"] == ["walk", "walked", "walking"]
+    assert tok.count() == tokens.tokens(papers, suffixes=False).count()
