@@ -21,17 +21,20 @@ def toggle(papers: DataFrame, year: str, section: str | None, enabled: bool) ->
     return papers.withColumn("enabled", F.when(hit, F.lit(enabled)).otherwise(F.col("enabled")))
 
 
-def lines(papers: DataFrame) -> DataFrame:
-    return papers.select("paper_idx", "year", "section", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def lines(papers: DataFrame, clean: bool = False) -> DataFrame:
+    """paper_idx, year, section, line_no, line of papers with text, or else with sentences; `clean`: what one pass of the cleaner leaves."""
+    found = F.split("text", "\n") if "text" in papers.columns else F.col("sentences")
+    rows = papers.select("paper_idx", "year", "section", F.posexplode(found).alias("line_no", "line"))
+    return rows.withColumn("line", t.clean_paragraph("line")).where("line is not null") if clean else rows
 
 
-def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True) -> DataFrame:
+def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = False) -> DataFrame:
     """paper_idx, year, section, line_no, tok_idx, word, lemma, pos of every vocabulary token.
 
     Lemmas are those of lemmas() over the tokens' words; without `suffixes`, by irregular forms only.
     """
     stop = list(STOP_WORDS if stop_words is None else stop_words)
-    rows = lines(papers)
+    rows = lines(papers, clean)
     if min_ratio is not None:
         rows = rows.where(t.en_ratio("line") > min_ratio)
     rows = rows.select("paper_idx", "year", "section", "line_no", F.posexplode(t.runs("line")).alias("tok_idx", "word"))
@@ -47,13 +50,18 @@ def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, su
     return rows.withColumn("pos", t.pos_of(low))
 
 
-def sentences(papers: DataFrame) -> DataFrame:
+def sentences(papers: DataFrame, clean: bool = False) -> DataFrame:
     """paper_idx, year, section, line_no, sent_idx, text: runs up to closing punctuation, trimmed."""
     found = F.regexp_extract_all("line", F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
-    rows = lines(papers).select("paper_idx", "year", "section", "line_no", F.posexplode(found).alias("sent_idx", "text"))
+    rows = lines(papers, clean).select("paper_idx", "year", "section", "line_no", F.posexplode(found).alias("sent_idx", "text"))
     return rows.withColumn("text", F.trim("text")).where("text <> ''")
 
 
+def build(papers: DataFrame, stop_words=None) -> tuple[DataFrame, DataFrame]:
+    """tokens() and sentences() of an index build, which cleans every line once more; papers hold text, or sentences as readers leave them."""
+    return tokens(papers, stop_words, clean=True), sentences(papers, clean=True)
+
+
 def lemmas(words: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """word -> lemma by suffix rules: the first rule whose result is in the lexicon (default: the words themselves).
 

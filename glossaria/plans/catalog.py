@@ -27,7 +27,7 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def told(rows: DataFrame) -> DataFrame:
-    """Tokens as the queries' SQL states them (TOK): lemmas by irregular forms only. The engine's own default has suffix rules too."""
+    """Tokens as the queries' SQL states them (TOK): of raw lines, lemmas by irregular forms only. The engine's own tk.build cleans and has suffix rules."""
     return tk.tokens(rows, suffixes=False)
 
 

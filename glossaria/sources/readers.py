@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import textops as t
@@ -53,14 +54,18 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def processed_sections(spark: SparkSession, root: str) -> DataFrame:
-    """papers of a processed corpus: <root>/<year>/meta.json names the section files; files that are missing are skipped."""
+    """papers of a processed corpus: <root>/<year>/meta.json names the section files; files that are missing are skipped.
+
+    paper_idx is the order of year folders, then of sections in meta.json.
+    """
     meta = spark.read.schema(META).json(f"{root}/*/meta.json", multiLine=True).withColumn("dir", F.regexp_replace(F.input_file_name(), "/[^/]*$", ""))
     each = meta.select("year", "source", "dir", F.posexplode("sections").alias("nth", "s"))
+    each = each.withColumn("paper_idx", F.row_number().over(W.orderBy("dir", "nth")) - 1)  # a few rows a year, without texts
     files = spark.read.text(f"{root}/*/*.txt", wholetext=True).select(F.input_file_name().alias("path"), "value")
     rows = each.withColumn("path", F.concat("dir", F.lit("/"), "s.file")).join(files, "path")
     paras = F.filter(F.split(t.strip(F.col("value")), "\n\n"), lambda p: t.strip(p) != "")
     rows = rows.withColumn("sentences", F.array_compact(F.transform(paras, t.clean_paragraph)))
-    return rows.select("year", F.col("s.key").alias("section"), F.col("s.label").alias("section_label"), F.col("source").alias("filename"), "nth", "sentences", F.lit(True).alias("enabled"))
+    return rows.select("paper_idx", "year", F.col("s.key").alias("section"), F.col("s.label").alias("section_label"), F.col("source").alias("filename"), "nth", "sentences", F.lit(True).alias("enabled"))
 
 
 _PARA = re.compile(r"<w:p[ >].*?</w:p>", re.S)
