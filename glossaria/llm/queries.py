@@ -44,8 +44,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mix import FairMix
 
-    plan = FairMix().plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "finish")
+    return FairMix().plan(table(spark, sf_dir, "documents")).drop("copies")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +69,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE
     """Ids of every document, their number, and the text's length after decoding them again."""
     from .sentencepiece_codec import SentencePieceCodec
 
-    codec = SentencePieceCodec(model_file)
-    ids = codec.encode(table(spark, sf_dir, "documents"))
-    back = codec.decode(ids.withColumn("again", F.col("ids")), "again", keep=("doc_id", "ids"))
+    back = SentencePieceCodec(model_file).round_trip(table(spark, sf_dir, "documents"))
     return back.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), F.length("text").alias("decoded_chars"), F.xxhash64("text").alias("decoded_hash"))
 
 

@@ -19,6 +19,8 @@ are encoded alike; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import struct
 from collections.abc import Iterable
 
@@ -31,8 +33,9 @@ from . import textkernel as tk
 from .common import small_batches
 
 MARK = "▁"
-#: Words whose ids a worker keeps from slice to slice, some 20 MB.
+#: Words, and bytes of them, whose ids a worker keeps from slice to slice, some 40 MB.
 CACHE_WORDS = 1 << 19
+CACHE_BYTES = 1 << 24
 _UNIGRAM, _BPE = 1, 2
 _UNKNOWN, _CONTROL, _BYTE = 2, 3, 6  # piece types; 1 is normal, 4 user-defined, 5 unused
 
@@ -90,6 +93,9 @@ class Model:
             bytes([int(p[1:-1], 16)]) if t == _BYTE else b"" if t == _CONTROL else " ⁇ ".encode() if t == _UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, t in pieces
         ]
+        self.text_len = np.array([len(x) for x in self.text], np.int64)
+        self.text_at = np.cumsum(self.text_len) - self.text_len
+        self.text_bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.piece = [p for p, _, _ in pieces]
         if self.kind == _BPE and any(MARK in p.lstrip(MARK) for p in self.vocab):
             raise ValueError("a piece reaches across words")
@@ -103,18 +109,33 @@ class Model:
         self.whole: dict[int, bool] = {}
 
     def merge(self, word: str) -> list[str]:
-        """Pair-by-pair merging, best score first, then leftmost: what a BPE model means."""
-        s, vocab, score = list(word), self.vocab, self.score
-        while len(s) > 1:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                k = vocab.get(s[i] + s[i + 1])
-                if k is not None and (best is None or score[k] > best):
-                    best, at = score[k], i
-            if best is None:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
-        return s
+        """Merging of pairs, best score first, then leftmost: what a BPE model means. A heap of the pairs that have a piece."""
+        s: list[str | None] = list(word)
+        n, vocab, score = len(s), self.vocab, self.score
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            pair = s[i] + s[j]
+            k = vocab.get(pair)
+            if k is not None:
+                heapq.heappush(heap, (-score[k], i, j, pair))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, pair = heapq.heappop(heap)
+            # Of date if either side has been merged since.
+            if s[i] is None or s[j] is None or after[i] != j or s[i] + s[j] != pair:
+                continue
+            s[i], s[j] = pair, None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [x for x in s if x is not None]
 
     def _follows(self, a: int, b: int) -> bool:
         """May piece b follow piece a (-1: the word's start) in a BPE segmentation?"""
@@ -219,49 +240,91 @@ class Model:
         a = np.flatnonzero(first)
         b = np.append(a[1:], len(buf))
         row = np.searchsorted(off, a, side="right") - 1
-        hashes, at, which = np.unique(tk.word_hashes(buf, a, b), return_index=True, return_inverse=True)
-        begin, lens = self._known(hashes, a[at], b[at], buf)
-        many = lens[which]
-        total = np.cumsum(many)
-        take = np.arange(int(total[-1])) + np.repeat(begin[which] - (total - many), many)
-        per = np.bincount(row, weights=many, minlength=n).astype(np.int64)
+        words = self._words(buf, a, b)
+        begin, lens = self.begin[words], self.lens[words]
+        total = np.cumsum(lens)
+        take = np.arange(int(total[-1])) + np.repeat(begin - (total - lens), lens)
+        per = np.bincount(row, weights=lens, minlength=n).astype(np.int64)
         return self.flat[take], np.concatenate([[0], np.cumsum(per)])
 
-    def _known(self, hashes: np.ndarray, a: np.ndarray, b: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in self.flat the ids of each word begin, and how many they are; new words are encoded.
+    def _words(self, buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each word of a slice in the table of known words; new words are encoded.
 
-        Words of earlier slices are kept up to a fixed number, then forgotten.
+        Words are looked up by a 64-bit hash and then compared byte by byte with the word that the table holds: the words
+        tile the slice, so one gather rebuilds it. Words of earlier slices are kept up to a fixed number, then forgotten.
         """
-        if len(self.seen) > CACHE_WORDS:
+        if len(self.seen) > CACHE_WORDS or len(self.bytes) > CACHE_BYTES:
             self._forget()
-        at = np.searchsorted(self.seen, hashes)
+        hashes, at, which = np.unique(tk.word_hashes(buf, a, b), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.seen, hashes)
         new = np.ones(len(hashes), bool)
         if len(self.seen):
-            new = self.seen[np.minimum(at, len(self.seen) - 1)] != hashes
+            new = self.seen[np.minimum(place, len(self.seen) - 1)] != hashes
         fresh = np.flatnonzero(new)
         if len(fresh):
-            words = [buf[x:y].tobytes().decode().replace(" ", MARK) for x, y in zip(a[fresh].tolist(), b[fresh].tolist(), strict=True)]
-            order = sorted(range(len(words)), key=words.__getitem__)
-            found = self.encode_words([words[i] for i in order])
-            lens = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lens.sum()))
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            begin = (np.cumsum(lens) - lens + len(self.flat))[place]
-            self.flat = np.concatenate([self.flat, flat])
-            self.seen = np.insert(self.seen, at[fresh], hashes[fresh])
-            self.begin = np.insert(self.begin, at[fresh], begin)
-            self.lens = np.insert(self.lens, at[fresh], lens[place])
-            at = np.searchsorted(self.seen, hashes)
-        return self.begin[at], self.lens[at]
+            numbers = self._learn([buf[x:y].tobytes() for x, y in zip(a[at[fresh]].tolist(), b[at[fresh]].tolist(), strict=True)])
+            self.seen = np.insert(self.seen, place[fresh], hashes[fresh])
+            self.number = np.insert(self.number, place[fresh], numbers)
+            place = np.searchsorted(self.seen, hashes)
+        found = self.number[place][which]
+        size = self.stop[found] - self.start[found]
+        if (size == b - a).all():
+            back = np.arange(len(buf)) + np.repeat(self.start[found] - a, size)
+            if np.array_equal(self.bytes[back], buf):
+                return found
+        # Two words share a hash: this slice's words are told apart by their bytes.
+        own: dict[bytes, int] = {}
+        raw = [buf[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        new_words = list(dict.fromkeys(raw))
+        for w, k in zip(new_words, self._learn(new_words).tolist(), strict=True):
+            own[w] = k
+        return np.fromiter((own[w] for w in raw), np.int64, len(raw))
+
+    def _learn(self, raw: list[bytes]) -> np.ndarray:
+        """Encodes distinct words and adds them to the table; their numbers."""
+        words = [x.decode().replace(" ", MARK) for x in raw]
+        order = sorted(range(len(words)), key=words.__getitem__)
+        found = self.encode_words([words[i] for i in order])
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        begin = (np.cumsum(lens) - lens + len(self.flat))[place]
+        ends = np.cumsum([len(x) for x in raw]) + len(self.bytes)
+        numbers = np.arange(len(raw)) + len(self.begin)
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lens.sum()))])
+        self.begin, self.lens = np.concatenate([self.begin, begin]), np.concatenate([self.lens, lens[place]])
+        self.start = np.concatenate([self.start, np.concatenate([[len(self.bytes)], ends[:-1]])])
+        self.stop = np.concatenate([self.stop, ends])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
+        return numbers
 
     def _forget(self) -> None:
-        self.seen, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.seen, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.begin, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.stop = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def decode_slice(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of rows of ids; row i has ids[ends[i]:ends[i + 1]]. Piece bytes are gathered, with no loop over ids or rows."""
+        lens = self.text_len[ids]
+        total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+        raw = self.text_bytes[np.arange(int(total[-1])) + np.repeat(self.text_at[ids] - total[:-1], lens)]
+        off = total[ends]
+        if self.prefix:  # the space that encoding put before the text
+            first = off[:-1][off[1:] > off[:-1]]
+            first = first[raw[first] == 32]
+            raw = np.delete(raw, first)
+            off = off - np.searchsorted(first, off)
+        out = pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw)])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # byte pieces that make no character
+            out = pa.array([raw[x:y].tobytes().decode(errors="replace") for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.large_string())
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join(map(self.text.__getitem__, ids))
-        return raw[1 if self.prefix and raw[:1] == b" " else 0 :].decode(errors="replace")
+        ids = np.fromiter(ids, np.int64)
+        return self.decode_slice(ids, np.array([0, len(ids)]))[0].as_py()
 
 
 _MODELS: dict[int, Model] = {}
@@ -275,16 +338,24 @@ def _model(raw: bytes) -> Model:
     return _MODELS[key]
 
 
-def _encode(batches, shared):
+def _list(ids: np.ndarray, ends: np.ndarray, null: pa.Array) -> pa.Array:
+    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+    return pc.if_else(null, pa.scalar(None, out.type), out)
+
+
+def _encode(batches, shared, back: bool = False):
+    """ids of the last column's texts; `back`: with the text that the ids decode to."""
     model = _model(shared.value)
     for batch in batches:
-        text = batch.column(batch.num_columns - 1)
+        text, names = batch.column(batch.num_columns - 1), batch.schema.names[:-1]
         for i, j, buf, off in tk.slices(text, 1 << 20):
             ids, ends = model.encode_slice(buf, off)
             null = pc.is_null(text[i:j])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-            ids = pc.if_else(null, pa.scalar(None, ids.type), ids)
-            yield pa.RecordBatch.from_arrays([*[c[i:j] for c in batch.columns[:-1]], ids], names=[*batch.schema.names[:-1], "ids"])
+            out = [*[c[i:j] for c in batch.columns[:-1]], _list(ids, ends, null)]
+            if back:
+                again = model.decode_slice(ids, ends).cast(pa.string())
+                out.append(pc.if_else(null, pa.scalar(None, pa.string()), again))
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "ids", "text"][: len(out)])
 
 
 def _decode(batches, shared):
@@ -293,9 +364,10 @@ def _decode(batches, shared):
         ids = batch.column(batch.num_columns - 1)
         for i in range(0, len(batch), 256):
             part = ids[i : i + 256]
-            flat, ends, null = part.flatten().to_pylist(), [0, *np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)).tolist()], part.is_null().to_pylist()
-            text = [None if null[k] else model.decode(flat[ends[k] : ends[k + 1]]) for k in range(len(part))]
-            yield pa.RecordBatch.from_arrays([*[c[i : i + 256] for c in batch.columns[:-1]], pa.array(text, pa.string())], names=[*batch.schema.names[:-1], "text"])
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            text = model.decode_slice(part.flatten().to_numpy(zero_copy_only=False), ends).cast(pa.string())
+            text = pc.if_else(part.is_null(), pa.scalar(None, pa.string()), text)
+            yield pa.RecordBatch.from_arrays([*[c[i : i + 256] for c in batch.columns[:-1]], text], names=[*batch.schema.names[:-1], "text"])
 
 
 class SentencePieceCodec:
@@ -305,18 +377,21 @@ class SentencePieceCodec:
         with open(model_file, "rb") as f:
             self.raw = f.read()
 
+    def _run(self, rows: DataFrame, column: str, keep: tuple[str, ...], work, added: str) -> DataFrame:
+        small_batches(rows.sparkSession)
+        shared = rows.sparkSession.sparkContext.broadcast(self.raw)
+        cols = rows.select(*keep, column)
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1]), added])
+        return cols.mapInArrow(lambda it: work(it, shared), schema)
+
     def encode(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The kept columns and ids (array of int) of every row."""
-        small_batches(docs.sparkSession)
-        shared = docs.sparkSession.sparkContext.broadcast(self.raw)
-        cols = docs.select(*keep, text)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1]) + ", ids array<int>"
-        return cols.mapInArrow(lambda it: _encode(it, shared), schema)
+        return self._run(docs, text, keep, _encode, "ids array<int>")
 
     def decode(self, rows: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The kept columns and the text of every row's ids."""
-        small_batches(rows.sparkSession)
-        shared = rows.sparkSession.sparkContext.broadcast(self.raw)
-        cols = rows.select(*keep, ids)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1]) + ", text string"
-        return cols.mapInArrow(lambda it: _decode(it, shared), schema)
+        return self._run(rows, ids, keep, _decode, "text string")
+
+    def round_trip(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """The kept columns, ids and the text that those ids decode to, in one pass: ids don't go through the JVM between the two."""
+        return self._run(docs, text, keep, lambda it, shared: _encode(it, shared, back=True), "ids array<int>, text string")
