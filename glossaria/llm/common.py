@@ -16,10 +16,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where it is unset, a temporary one in local mode; a cluster has to set it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="glossaria-"))
     return _own_dir[0]
@@ -46,6 +48,26 @@ def release(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+#: Keys that hold more than this share of the rows are hot: fewer of them exist than its reciprocal.
+_HOT_SHARE = 1 << 16
+
+
+def spread_join(rows: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows with the columns of right, which has one row a key and the number of rows that hold it; null keys aren't looked up.
+
+    A key with more than 1 / 65,536 of the rows (and more than 64) is hot: there are at most 65,536 of them, whose entries are
+    broadcast, so their rows stay where they are. All other keys are joined by shuffle. Both are left joins.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > F.lit(max(64, total // _HOT_SHARE))
+    few = right.where(hot)
+    names = [c for c in right.columns if c not in keys and c != count]
+    at = rows.join(F.broadcast(few.select(*keys, F.struct(*names).alias("__hot"))), keys, "left")
+    near = at.where("__hot is not null").select(*rows.columns, "__hot.*")
+    far = at.where("__hot is null").drop("__hot").join(right.where(~hot).drop(count), keys, "left")
+    return near.unionByName(far.select(*near.columns))
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words; null text has none."""
     text = F.col(text) if isinstance(text, str) else text

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from .quality_rules import RULES
+from .quality_rules import RULES, STEPS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
-def quality_rules(alpha: float = 0.05, delta: float = 0.05) -> str:
-    """Statistics, base rules, cutoffs by exact binomial tails in fixed order, verdicts. At most 64 languages are labelled in the tables at hand."""
-    a = alpha / len(RULES)
-    grid = ", ".join(f"('{r}', {j}, {c})" for r, g in RULES.items() for j, c in enumerate(g))
+def quality_rules(alpha: float = 0.02, delta: float = 0.05) -> str:
+    """Statistics, base rules, the path of joint cutoffs tested by exact binomial tails in order, verdicts."""
+    grid = ", ".join(f"('{r}', {j * len(RULES) + i}, {c})" for i, (r, g) in enumerate(RULES.items()) for j, c in enumerate(g))
     value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in RULES) + " END"
     order = ", ".join(f"'{r}'" for r in RULES)
     return rf"""
@@ -25,13 +24,14 @@ s AS (SELECT doc_id, lang, n_words, word_chars, n_symbols, len(ls) - len(list_di
 r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(n_symbols / nullif(n_words, 0), 0.0) AS symbol_rate, coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS dup_line_rate,
   coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS repeat_rate, coalesce(n_upper / nullif(word_chars, 0), 0.0) AS upper_rate, coalesce(word_chars / nullif(n_words, 0), 0.0) AS chars_per_word FROM s),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-g AS (SELECT * FROM (VALUES {grid}) AS v(rule, j, cutoff)),
-k AS (SELECT coalesce(lang, '') AS lang, rule, j, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM r, g WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
-p AS (SELECT *, CASE WHEN n = 0 OR k >= n * {a!r} THEN 1.0 ELSE least(1.0, (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({a!r}) + (n - i) * ln(1 - {a!r}))) FROM range(k + 1) AS q(i))) END AS p,
-  {delta!r} / ({len(RULES)} * (SELECT count(DISTINCT lang) FROM k)) AS level FROM k),
-st AS (SELECT *, min(CASE WHEN p > level THEN j END) OVER (PARTITION BY lang, rule) AS stop FROM p),
-c AS (SELECT lang, rule, arg_max(cutoff, j) AS cutoff FROM st WHERE stop IS NULL OR j < stop GROUP BY lang, rule),
-f AS (SELECT doc_id, list(c.rule ORDER BY list_position([{order}], c.rule)) AS failed_rules FROM r JOIN c ON coalesce(r.lang, '') = c.lang WHERE {value.replace('CASE rule', 'CASE c.rule')} > c.cutoff GROUP BY doc_id)
+g AS (SELECT * FROM (VALUES {grid}) AS v(rule, t, cutoff)),
+own AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, base_failed, rule, min(t) FILTER ({value} > cutoff) AS own FROM r, g GROUP BY ALL),
+fst AS (SELECT doc_id, stratum, min(own) AS f FROM own WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+k AS (SELECT stratum, t, count(*) AS n, count(*) FILTER (f <= t) AS k FROM fst, range({STEPS}) AS q(t) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN n = 0 OR k >= n * {alpha!r} THEN 1.0 ELSE least(1.0, (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r}))) FROM range(k + 1) AS q(i))) END AS p,
+  {delta!r} / (SELECT count(DISTINCT stratum) FROM k) AS level FROM k),
+l AS (SELECT stratum, coalesce(min(CASE WHEN p > level THEN t END), {STEPS}) - 1 AS last FROM p GROUP BY stratum),
+f AS (SELECT doc_id, list(rule ORDER BY list_position([{order}], rule)) AS failed_rules FROM own JOIN l USING (stratum) WHERE own <= last GROUP BY doc_id)
 SELECT r.* EXCLUDE (lang), coalesce(failed_rules, []) AS failed_rules, NOT base_failed AND coalesce(len(failed_rules), 0) = 0 AS kept FROM r LEFT JOIN f USING (doc_id)"""
 
 

@@ -1,15 +1,17 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations only.
 
 Base rules are fixed. Beyond them every rule is a statistic of the text with a cutoff chosen on
-labelled documents (quality 1 is good), per stratum (language). For each cutoff of a fixed grid,
-from the loosest on, the hypothesis "more than `alpha / rules` of the stratum's good documents
-exceed it" is tested with the exact binomial tail P(Bin(n, alpha / rules) <= k). Cutoffs of a rule
-are tested in order and testing stops at the first that is not rejected (fixed-sequence testing
-needs no correction within the sequence); levels are divided by rules x strata (Bonferroni). So, with
-confidence 1 - delta, at once in all strata, the learned rules reject at most `alpha` of good documents.
-
-All counts cover all documents and all labels. Strata are the at most `max_strata` most labelled
-languages and one pooled stratum for the rest, so the table of cutoffs has a fixed bound.
+labelled documents (quality 1 is good), per stratum (language). All rules are tightened along one fixed path: a
+step tightens one rule by one place of its grid, in turn, so a step stands for a cutoff of every rule at once.
+Of each step the hypothesis "of the stratum's good documents that pass the base rules, more than `alpha` exceed some
+cutoff" is tested with the exact binomial tail P(Bin(n, alpha) <= k), k of n labelled ones exceeding one. Steps are tested
+in order up to the first that is not rejected (fixed-sequence testing needs no correction within the
+sequence); the level is `delta` over the number of strata (Bonferroni). So, with confidence 1 - delta, at once
+in all strata, the learned rules reject at most `alpha` of the good documents that pass the base rules, whatever the rules'
+dependence. With delta = 0.05 and four strata 217 good labels in a stratum suffice for a first step at alpha = 0.02.
+
+All counts cover all documents and all labels; every language is a stratum, and so are rows without one. The table of chosen
+steps has one row a stratum.
 
 Defined cases: null or empty text has no words and fails the base rules; very long texts take
 O(n log n) array work in one row; repeated rows are judged alike; a document labelled several times
@@ -22,18 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, durable
+from .common import SPACE, WORD, durable, release
 
 #: The statistics and their cutoffs, from the loosest to the tightest.
 RULES = {
     "symbol_rate": (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05),
     "dup_line_rate": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05),
-    "repeat_rate": (0.3, 0.28, 0.26, 0.24, 0.22, 0.2, 0.15, 0.1, 0.05),
-    "upper_rate": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2),
-    "chars_per_word": (40.0, 30.0, 24.0, 20.0, 18.0, 16.0, 14.0, 12.0, 10.0),
+    "repeat_rate": (0.3, 0.28, 0.26, 0.24, 0.22, 0.2, 0.18, 0.15, 0.1, 0.05),
+    "upper_rate": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
+    "chars_per_word": (40.0, 30.0, 24.0, 20.0, 18.0, 16.0, 14.0, 12.0, 10.0, 8.0),
 }
-#: Terms of the binomial tail that are summed one by one; the rest is bounded by a geometric series.
-_TERMS = 200
+STEPS = len(RULES) * max(map(len, RULES.values()))
+#: Up to so many good labels their texts' statistics are taken by a broadcast join of the ids (8 bytes each).
+_FEW_LABELS = 1 << 21
 
 
 def log_gamma(x: Column) -> Column:
@@ -47,7 +50,11 @@ def log_gamma(x: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, a: float) -> Column:
-    """P(Bin(n, a) <= k), from above: summed downwards from k, the part beyond the summed terms bounded by a geometric series."""
+    """P(Bin(n, a) <= k) where k < n a (else 1), summed downwards from k.
+
+    Below the mean, terms fall at least like a normal density; beyond nine deviations they are under the
+    precision of a double, so no more are summed and nothing is left out that a double could hold.
+    """
     kd, nd = k.cast("double"), n.cast("double")
     top = F.exp(
         log_gamma(nd + 1) - log_gamma(kd + 1) - log_gamma(nd - kd + 1) + kd * F.log(F.lit(a)) + (nd - kd) * F.log(F.lit(1 - a))
@@ -60,15 +67,14 @@ def binomial_tail(k: Column, n: Column, a: float) -> Column:
             (s["term"] * i * F.lit(1 - a) / ((nd - i + 1) * F.lit(a))).alias("term"), (s["sum"] + s["term"]).alias("sum")
         )
 
-    terms = F.least(k, F.lit(_TERMS)).cast("int")
-    r = kd * F.lit(1 - a) / ((nd - kd + 1) * F.lit(a))
-    total = F.aggregate(F.sequence(F.lit(0), terms), zero, step, lambda s: s["sum"] + F.when(k > _TERMS, s["term"] / (1 - r)).otherwise(0.0))
+    terms = F.least(k, F.ceil(9 * F.sqrt(nd * F.lit(a * (1 - a)))) + 40).cast("int")
+    total = F.aggregate(F.sequence(F.lit(0), terms), zero, step, lambda s: s["sum"])
     return F.when((n == 0) | (kd >= nd * a), F.lit(1.0)).otherwise(F.least(F.lit(1.0), top * total))
 
 
 class RiskControlledRules:
-    def __init__(self, alpha: float = 0.05, delta: float = 0.05, max_strata: int = 64, window: int = 8):
-        self.alpha, self.delta, self.max_strata, self.window = alpha, delta, max_strata, window
+    def __init__(self, alpha: float = 0.02, delta: float = 0.05, window: int = 8):
+        self.alpha, self.delta, self.window = alpha, delta, window
 
     def statistics(self, docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         """doc_id, lang and the counts of every whole text; one row a document, no shuffle. carry: columns kept as __row."""
@@ -149,68 +155,70 @@ class RiskControlledRules:
             }
         )
 
-    def cutoffs(self, rates: DataFrame, labels: DataFrame) -> list:
-        """Rows (stratum, rule, cutoff, n_good, k, p) of the chosen cutoffs; stratum '' is the pooled rest; cutoff is null where
-        none is safe. At most (max_strata + 1) x rules rows."""
-        good = (
-            labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-        )
-        held = rates.where("not base_failed").join(good, "doc_id", "left_semi")
-        counts = [
-            F.sum(F.when(F.col(r) > F.lit(c), 1).otherwise(0)).alias(f"{r}_{j}") for r, grid in RULES.items() for j, c in enumerate(grid)
-        ]
-        per = held.groupBy(F.concat(F.lit("="), "lang").alias("stratum")).agg(F.count("*").alias("n"), *counts)
-        place = F.row_number().over(W.orderBy(F.col("n").desc(), F.col("stratum").asc_nulls_last()))
-        per = per.withColumn("stratum", F.when((place <= self.max_strata) & F.col("stratum").isNotNull(), F.col("stratum")).otherwise(F.lit("")))
-        per = per.groupBy("stratum").agg(F.sum("n").alias("n"), *[F.sum(f"{r}_{j}").alias(f"{r}_{j}") for r, g in RULES.items() for j in range(len(g))])
-        per = per.withColumn("strata", F.count("*").over(W.partitionBy()))
-        flat = per.select(
-            "stratum",
-            "n",
-            "strata",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(r).alias("rule"), F.lit(j).alias("j"), F.lit(c).alias("cutoff"), F.col(f"{r}_{j}").alias("k"))
-                        for r, g in RULES.items()
-                        for j, c in enumerate(g)
-                    ]
-                )
-            ).alias("t"),
-        ).select("stratum", "n", "strata", "t.*")
-        level = F.lit(self.delta) / (F.lit(len(RULES)) * F.col("strata"))
-        tested = flat.withColumn("p", binomial_tail(F.col("k"), F.col("n"), self.alpha / len(RULES)))
-        stop = F.min(F.when(F.col("p") > level, F.col("j"))).over(W.partitionBy("stratum", "rule"))
-        passed = F.when(F.coalesce(F.col("j") < F.col("stop"), F.lit(True)), F.struct("j", "cutoff", "n", "k", "p"))
-        best = tested.withColumn("stop", stop).groupBy("stratum", "rule").agg(F.max(passed).alias("t"))
-        return best.select("stratum", "rule", "t.*").collect()
-
-    def _verdicts(self, rates: DataFrame, found: list) -> DataFrame:
-        """failed_rules and kept, by the cutoffs of the row's stratum written into the plan."""
-        strata = {x["stratum"] for x in found}
-        named = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
-        own = [s for s in sorted(strata) if s]
-        stratum = F.when(named.isin(own), named).otherwise(F.lit("")) if own else F.lit("")
-        out = rates.withColumn("__stratum", stratum)
-        fails = []
-        for rule in RULES:
-            limit = F.lit(None).cast("double")
-            for x in found:
-                if x["rule"] == rule and x["cutoff"] is not None:
-                    limit = F.when(F.col("__stratum") == F.lit(x["stratum"]), F.lit(x["cutoff"])).otherwise(limit)
-            fails.append(F.when(F.col(rule) > limit, F.lit(rule)))
-        out = out.withColumn("failed_rules", F.array_compact(F.array(*fails))).drop("__stratum")
+    @staticmethod
+    def own_step(rule: str) -> Column:
+        """The first step of the path whose cutoff of this rule the document exceeds; null if none does."""
+        place, out = list(RULES).index(rule), None
+        for j, cutoff in enumerate(RULES[rule]):
+            hit = F.lit(j * len(RULES) + place)
+            out = F.when(F.col(rule) > F.lit(cutoff), hit) if out is None else out.when(F.col(rule) > F.lit(cutoff), hit)
+        return out
+
+    @staticmethod
+    def stratum() -> Column:
+        return F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
+
+    @staticmethod
+    def good(labels: DataFrame) -> DataFrame:
+        """doc_id of the documents all of whose labels are good."""
+        one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
+        return one.where("q = 1").select("doc_id")
+
+    def cutoffs(self, held: DataFrame) -> DataFrame:
+        """rates() of the good documents -> stratum, n, last (the last step that is safe, -1 if none), k, p, and each rule's cutoff (null: none)."""
+        first = F.least(*[self.own_step(r) for r in RULES])
+        counts = F.array(*[F.sum(F.when(F.col("first") <= t, 1).otherwise(0)) for t in range(STEPS)])
+        held = held.where("not base_failed").select(self.stratum().alias("stratum"), first.alias("first"))
+        per = held.groupBy("stratum").agg(F.count("*").alias("n"), counts.alias("counts"))
+        per = per.withColumn("strata", F.count("*").over(W.partitionBy()))  # one row a stratum
+        flat = per.select("stratum", "n", "strata", F.posexplode("counts").alias("t", "k"))
+        tested = flat.withColumn("p", binomial_tail(F.col("k"), F.col("n"), self.alpha))
+        safe = F.col("p") <= F.lit(self.delta) / F.col("strata")
+        stop = F.coalesce(F.min(F.when(~safe, F.col("t"))).over(W.partitionBy("stratum")), F.lit(STEPS))
+        tested = tested.withColumn("last", stop - 1)
+        out = tested.groupBy("stratum", "n", "last").agg(F.max(F.when(F.col("t") == F.col("last"), F.struct("k", "p"))).alias("at"))
+        place = lambda i: F.floor((F.col("last") - i) / len(RULES)).cast("int")
+        values = [F.when(F.col("last") >= i, F.get(F.array(*map(F.lit, RULES[r])), place(i))).alias(f"max_{r}") for i, r in enumerate(RULES)]
+        return out.select("stratum", "n", "last", "at.k", "at.p", *values)
+
+    def _verdicts(self, rates: DataFrame, found: DataFrame) -> DataFrame:
+        """failed_rules and kept, by the last step of the row's stratum."""
+        out = rates.withColumn("__stratum", self.stratum()).join(found.select(F.col("stratum").alias("__stratum"), F.col("last").alias("__last")), "__stratum", "left")
+        fails = [F.when(self.own_step(rule) <= F.col("__last"), F.lit(rule)) for rule in RULES]
+        out = out.withColumn("failed_rules", F.array_compact(F.array(*fails))).drop("__stratum", "__last")
         return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
     def judge(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """The statistics with base_failed, kept and failed_rules (names of the learned rules that the document exceeds)."""
         rates = durable(self.rates(self.statistics(docs)), "rule-stats")
-        return self._verdicts(rates, self.cutoffs(rates, labels))
+        found = durable(self.cutoffs(rates.join(self.good(labels), "doc_id", "left_semi")), "rule-cutoffs")
+        return self._verdicts(rates, found)
 
     def filter(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of docs that are kept, all columns kept: statistics are taken again in the scan, so no text is shuffled."""
-        rates = durable(self.rates(self.statistics(docs)), "rule-stats")
-        found = self.cutoffs(rates, labels)
+        """The rows of docs that are kept, all columns kept.
+
+        Cutoffs are learned from the statistics of the labelled documents alone; then every document's are taken in the scan that filters
+        it, so no text is shuffled and none but the labelled are read twice. With very many labels all statistics are taken first, as
+        light rows that the labels are joined with: the same result by another way.
+        """
+        good = durable(self.good(labels), "rule-good")
+        if good.count() <= _FEW_LABELS:
+            held = rates = durable(self.rates(self.statistics(docs.join(F.broadcast(good), "doc_id", "left_semi"))), "rule-stats")
+        else:
+            rates = durable(self.rates(self.statistics(docs)), "rule-stats")
+            held = rates.join(good, "doc_id", "left_semi")
+        found = durable(self.cutoffs(held), "rule-cutoffs")
+        release(good, rates)
         # The generator keeps the filter above it: pushed further down, the statistics would be inlined and taken many times.
         stats = self.statistics(docs, carry=docs.columns)
         once = F.explode(F.array(F.struct(*[c for c in stats.columns if c != "__row"]))).alias("__s")
