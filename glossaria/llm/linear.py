@@ -55,11 +55,11 @@ def sampled(key: Column, n: int, bound: int, seed: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int, seed: int = 23) -> DataFrame:
     """Rows of docs with `target` (0 or 1) for about `bound` labelled doc_ids at most.
 
-    A doc_id with several labels has the smallest quality and the greatest toxicity. The sampled ids, at most a
-    little over `bound`, are the broadcast side.
+    A doc_id with several labels has the smallest quality and the greatest toxicity. The ids are sampled by hash at a rate
+    that gives `bound` of them, so they are the broadcast side.
     """
     pick = F.max if column == "toxic" else F.min
     one = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(pick(column).cast("int").alias("target"))
     n = one.count()
-    ids = one.where(sampled(F.col("doc_id"), n, bound, seed)).limit(2 * bound)
+    ids = one.where(sampled(F.col("doc_id"), n, bound, seed))
     return docs.where("text is not null").join(F.broadcast(ids.select(F.col("doc_id").alias("__id"), "target")), F.col("doc_id") == F.col("__id")).drop("__id")

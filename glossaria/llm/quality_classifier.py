@@ -2,20 +2,24 @@
 
 The text view sees hashed words, hashed word endings and a few rates of the whole text; the metadata
 view sees source, language and declared length, never the text. Each is a logistic regression.
-Both start from a bounded labelled sample. In every round each view labels the pool's documents that it
-is most confident of and hands them to the other view, which is trained again with them. At the
+Both start from a bounded labelled sample. In every round one distributed pass lets each view judge all documents; of
+those that it is confident of, `per_round` of either kind, drawn evenly by hash, are handed to the other view as pseudo-labels,
+and that view is trained again with them. At the
 end each view is calibrated (Platt) on labelled documents kept apart, the calibrated logits
 are added (the prior counted once), and every document is scored in one pass.
 
 A document is rejected if its probability of being good is below 0.5 and below the score that all but
 `false_rejects` of the calibration's good documents reach.
 
-Bounds (documented parameters): `labelled` labelled and `pool` unlabelled documents are fitted on; all
-documents are scored on their whole texts.
+Bounds (documented parameters): the models are fitted on about `labelled` labelled documents and, a round, view and kind, at
+most about `per_round` pseudo-labelled ones (up to 20 times that if a view gives nearly all documents to a kind that is rare
+among the labelled). Every document may be drawn in every round; all documents are
+scored on their whole texts. Documents of the labelled sample are never pseudo-labelled.
 
 Defined cases: null text and text without words scores 0 and is rejected; without labels of both
 kinds every other document gets the prior and is kept; null source, lang or n_chars are values of
-their own; repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+their own; repeated rows are scored alike; very long texts are read whole, in one slice each; an empty table gives an empty result;
+other columns are ignored, `filter` keeps them.
 """
 
 from __future__ import annotations
@@ -23,11 +27,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import small_batches
-from .linear import fit_logistic, fit_platt, labelled_sample, sampled, sigmoid
+from .linear import fit_logistic, fit_platt, labelled_sample, sigmoid
 
 WORDS, ENDS, RATES = 768, 256, 4
 TEXT = WORDS + ENDS + RATES
@@ -82,31 +85,45 @@ def _features(batches):
             )
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int, share: float, sure: float):
-    """Weights of the two views. y: labels of the first rows. Each round's confident pool documents go to the other view."""
-    views, pools = {"text": text, "meta": meta}, {"text": pool_text, "meta": pool_meta}
-    given = {v: (np.zeros(0, int), np.zeros(0)) for v in views}
-    w = {v: fit_logistic(x, y) for v, x in views.items()}
-    prior = y.mean()
-    for _ in range(rounds if len(pool_text) else 0):
-        for me, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(pools[me] @ w[me][:-1].astype(np.float32) + w[me][-1])
-            most = max(1, int(share * len(p)))
-            good = np.argsort(-p, kind="stable")[: max(1, int(most * prior))]
-            bad = np.argsort(p, kind="stable")[: max(1, most - int(most * prior))]
-            good, bad = good[p[good] >= sure], bad[p[bad] <= 1 - sure]
-            index, label = given[other]
-            at = np.concatenate([index, good, bad])
-            said = np.concatenate([label, np.ones(len(good)), np.zeros(len(bad))])
-            _, last = np.unique(at[::-1], return_index=True)
-            keep = len(at) - 1 - last
-            given[other] = at[keep], said[keep]
-        for v, x in views.items():
-            index, label = given[v]
-            both = np.concatenate([x, pools[v][index]])
-            weight = np.concatenate([np.ones(len(x)), np.full(len(index), 0.5)])
-            w[v] = fit_logistic(both, np.concatenate([y, label]), weight, steps=60, rate=0.1, start=w[v])
-    return w
+def draw(ids: np.ndarray, turn: int) -> np.ndarray:
+    """A number in [0, 1) of each doc_id, another in every round."""
+    return tk.mix(ids.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (turn + 1) % (1 << 64))).astype(np.float64) / 2.0**64
+
+
+def _confident(batches, shared):
+    """Features of the documents that a view is confident of and that are drawn: target 1 or 0, view 0 (text judged) or 1."""
+    w, turn, rate, sure, labelled = shared.value
+    for batch in batches:
+        meta = meta_view(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
+        ids = np.nan_to_num(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        for i, j, buf, off in tk.slices(batch.column(1)):
+            x, count = text_view(buf, off)
+            u, free = draw(ids[i:j], turn), (count > 0) & ~np.isin(ids[i:j], labelled)
+            for number, (view, part) in enumerate((("text", x), ("meta", meta[i:j]))):
+                p = sigmoid(part @ w[view][:-1].astype(np.float32) + w[view][-1])
+                said = np.where(p >= sure, 1, np.where(p <= 1 - sure, 0, -1))
+                at = np.flatnonzero(free & (said >= 0) & (u < np.where(said == 1, rate[1], rate[0])))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[i:j][at]),
+                            pa.array(said[at].astype(np.int32)),
+                            pa.array([r.tobytes() for r in x[at].astype(np.float16)], pa.binary()),
+                            pa.array([r.tobytes() for r in meta[i:j][at].astype(np.float16)], pa.binary()),
+                            pa.array(np.full(len(at), number, np.int32)),
+                        ],
+                        names=["doc_id", "target", "text", "meta", "view"],
+                    )
+
+
+def _retrain(x: np.ndarray, y: np.ndarray, more: np.ndarray, said: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Labelled and pseudo-labelled documents together; these weigh half in all, each kind as among the labelled."""
+    weight = np.ones(len(x))
+    if len(more):
+        many = np.bincount(said.astype(int), minlength=2)
+        share = np.array([1 - y.mean(), y.mean()])
+        weight = np.concatenate([weight, 0.5 * len(x) * share[said.astype(int)] / many[said.astype(int)]])
+    return fit_logistic(np.concatenate([x, more]), np.concatenate([y, said]), weight, steps=60, rate=0.1, start=start)
 
 
 def _score(batches, shared):
@@ -138,19 +155,31 @@ def combine(model: dict, text: np.ndarray, meta: np.ndarray):
 
 
 class CoTraining:
-    def __init__(self, labelled: int = 5000, pool: int = 4000, rounds: int = 4, share: float = 0.1, sure: float = 0.9, false_rejects: float = 0.002):
-        self.labelled, self.pool, self.rounds, self.share, self.sure, self.false_rejects = labelled, pool, rounds, share, sure, false_rejects
+    def __init__(self, labelled: int = 5000, per_round: int = 500, rounds: int = 3, sure: float = 0.9, false_rejects: float = 0.002):
+        self.labelled, self.per_round, self.rounds, self.sure, self.false_rejects = labelled, per_round, rounds, sure, false_rejects
 
     @staticmethod
-    def _load(df: DataFrame):
-        got = df.mapInArrow(_features, "doc_id long, target int, text binary, meta binary").toArrow().sort_by("doc_id")
+    def _read(got: pa.Table):
+        """Features of both views, targets and doc_ids."""
         read = lambda c, d: np.frombuffer(b"".join(got.column(c).to_pylist()), np.float16).reshape(-1, d).astype(np.float32)
-        return read("text", TEXT), read("meta", META), np.array(got.column("target").to_pylist(), dtype=float), np.array(got.column("doc_id").to_pylist())
+        return read("text", TEXT), read("meta", META), np.array(got.column("target").to_pylist(), dtype=float), np.array(got.column("doc_id").to_pylist(), dtype=np.int64)
+
+    def _exchange(self, docs: DataFrame, w: dict, turn: int, rate: tuple[float, float], labelled: np.ndarray) -> dict:
+        """What each view is told by the other: (its features, pseudo-labels)."""
+        shared = docs.sparkSession.sparkContext.broadcast((w, turn, rate, self.sure, labelled))
+        shape = "doc_id long, target int, text binary, meta binary, view int"
+        got = docs.mapInArrow(lambda it: _confident(it, shared), shape).toArrow().sort_by([("doc_id", "ascending"), ("view", "ascending")])
+        text, meta, said, _ = self._read(got)
+        by = np.array(got.column("view").to_pylist(), dtype=int)
+        shared.unpersist()
+        return {"meta": (meta[by == 0], said[by == 0]), "text": (text[by == 1], said[by == 1])}
 
     def fit(self, docs: DataFrame, labels: DataFrame) -> dict:
         small_batches(docs.sparkSession)
         docs = docs.select(*COLUMNS)
-        text, meta, y, ids = self._load(labelled_sample(docs, labels, "quality", self.labelled))
+        sample = labelled_sample(docs, labels, "quality", self.labelled)
+        got = sample.mapInArrow(_features, "doc_id long, target int, text binary, meta binary").toArrow().sort_by("doc_id")
+        text, meta, y, ids = self._read(got)
         y = (y > 0).astype(float)
         model = {"w": None, "prior": (y.sum() + 1) / (len(y) + 2), "cut": 0.0}
         if len(set(y.tolist())) < 2:
@@ -159,16 +188,18 @@ class CoTraining:
         if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
             apart = np.zeros(len(y), bool)
         fit, cal = ~apart, apart if apart.any() else ~apart
-        rows = docs.where("text is not null")
-        pool = rows.where(sampled(F.col("doc_id"), docs.count(), self.pool, 41)).withColumn("target", F.lit(None).cast("int")).limit(2 * self.pool)
-        pool_text, pool_meta, _, _ = self._load(pool)
-        model["w"] = co_train(text[fit], meta[fit], y[fit], pool_text, pool_meta, self.rounds, self.share, self.sure)
-        model["platt"] = {}
-        for v, x in (("text", text), ("meta", meta)):
-            w = model["w"][v]
-            model["platt"][v] = fit_platt(x[cal] @ w[:-1] + w[-1], y[cal])
-        _, _, p = combine(model, text, meta)
-        good = np.sort(p[y == 1])
+        views = {"text": text, "meta": meta}
+        w = {v: fit_logistic(x[fit], y[fit]) for v, x in views.items()}
+        rows, n, good = docs.where("text is not null"), docs.count(), min(0.95, max(0.05, model["prior"]))
+        rate = tuple(min(1.0, self.per_round / (n * share)) for share in (1 - good, good))
+        for turn in range(self.rounds):
+            told = self._exchange(rows, w, turn, rate, ids)
+            w = {v: _retrain(x[fit], y[fit], *told[v], start=w[v]) for v, x in views.items()}
+        model["w"], model["platt"] = w, {}
+        for v, x in views.items():
+            model["platt"][v] = fit_platt(x[cal] @ w[v][:-1] + w[v][-1], y[cal])
+        _, _, p = combine(model, text[cal], meta[cal])
+        good = np.sort(p[y[cal] == 1])
         model["cut"] = float(min(0.5, good[int(self.false_rejects * len(good))]))
         return model
 
