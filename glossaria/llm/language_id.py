@@ -10,8 +10,8 @@ everywhere). Training is backpropagation through time with Adam on at most `docs
 documents a language and `pieces` windows of each, a documented bound; it never looks at held-out
 documents (crc32 of doc_id mod 4 is 2), and only text and lang are read.
 
-Defined cases: null text and text without a letter give `und` with score 0; null lang is never
-learned; without training rows every document is `und`; ties go to the first language in code-point
+Defined cases: null text and text without a letter give `und` with score 0; rows with null lang or null doc_id are never
+learned from; without training rows every document is `und`; ties go to the first language in code-point
 order; repeated rows are labelled alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,7 +29,12 @@ from .common import small_batches
 
 #: Symbol of padding: its update gate is 1, so the state passes through it unchanged.
 PAD = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Does the text hold a character of a Unicode letter category? Digits, fractions and enclosed numbers are none."""
+    return _PLAIN.search(text) is not None or any(map(str.isalpha, text))
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -199,7 +204,7 @@ def _label_batches(batches, shared, width: int, rows: int):
             total /= np.maximum(np.diff(off), 1)[:, None]
             best = total.argmax(axis=1)
             text = batch.column(2)[i:j].to_pylist()
-            known = [net is not None and x is not None and _LETTER.search(x) is not None for x in text]
+            known = [net is not None and x is not None and has_letter(x) for x in text]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0)[i:j],
@@ -218,7 +223,7 @@ class LanguageId:
 
     def fit(self, docs: DataFrame) -> tuple[list[str], dict]:
         """(languages, parameters) of every language, from a sample of rows that are not held out, bounded by language."""
-        rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+        rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
         sizes = rows.groupBy("lang").count().collect()
         labels = sorted(x["lang"] for x in sizes)
         if not labels:
