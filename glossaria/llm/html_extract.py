@@ -50,8 +50,10 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
 }
 
+# A start or end tag runs to the first > outside a quoted value. A quote opens a value only after =; anywhere else, and without its
+# other end, it is a common character. Groups are possessive, so a page is read once.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z", re.S
+    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|[^>=])*+)(?:>|(\Z))|<[!?/][^>]*(?:>|\Z)""", re.S
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
@@ -77,7 +79,7 @@ def _ends(page: str, at: int) -> dict[int, int]:
     while m := _TOKEN.search(page, at):
         at = m.end()
         tag = (m[2] or "").lower()
-        if tag not in RAW:
+        if tag not in RAW or m[4] is not None:
             continue
         if m[1]:
             if open_.get(tag):
@@ -136,7 +138,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             linked += (m.start() - at) * (links > 0)
         at = m.end()
         tag = m[2]
-        if tag is None:
+        if tag is None or m[4] is not None:  # a comment, or a tag that the page's end cuts off
             continue
         tag = tag.lower()
         if m[1]:
