@@ -5,12 +5,12 @@ an allowed last role. Every turn may keep its role or be relabelled, be merged i
 (same role), or be preceded by empty turns; each has a cost. Dynamic programming over the automaton's
 four states (start, system, user, assistant) finds the cheapest sequence, which is then rendered.
 
-Scale: rows are range-partitioned by (conv_id, turn, role, text), so one conversation that holds a third
-of all rows becomes many segments. A segment's effect is a 4 x 4 matrix of cheapest costs between
-states, and matrices of consecutive segments combine by (min, +) product; only conversations
-that reach over a partition's edge, at most one an edge, need that. With the states at its
-edges known, each segment is repaired and rendered on its own. A conversation gives one row a segment
-(part 0, 1, ...), whose texts follow on one another; nearly always that is one row.
+Scale: a conversation of up to `whole` turns is repaired and rendered in one piece; conversations are dealt by their id. Only a
+longer one is cut, into parts of `whole` consecutive turns (part 0, 1, ..., whose texts follow on one another): its rows
+are range-partitioned by their order, and a row's place follows from the sizes of the ranges before its own, so the parts
+don't depend on how many partitions there are. A part's effect is a 4 x 4 matrix of cheapest costs between
+states, and matrices of consecutive parts combine by (min, +) product. With the states at its
+edges known, each part is repaired and rendered on its own.
 
 Defined cases: a null or unknown role must be relabelled; null text is empty; turns are ordered by
 turn (null last), role, text, so repeated rows and ties have an order; rows with null conv_id are one
@@ -25,9 +25,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
+from .common import durable, release, small_batches
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -166,15 +167,15 @@ def role_class(role: str | None) -> int:
     return ROLES.index(role) if role in ROLES else 3
 
 
-def _segments(batches):
-    """((seg, conv_id), roles, texts) of consecutive rows."""
+def _pieces(batches):
+    """((part, conv_id), roles, texts) of consecutive rows."""
     key, roles, texts = None, [], []
     for batch in batches:
-        for seg, conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (seg, conv) != key:
+        for part, conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (part, conv) != key:
                 if roles:
                     yield key, roles, texts
-                key, roles, texts = (seg, conv), [], []
+                key, roles, texts = (part, conv), [], []
             roles.append(role_class(role))
             texts.append(text or "")
     if roles:
@@ -182,17 +183,42 @@ def _segments(batches):
 
 
 def _summaries(batches, repair: Repair):
-    for (seg, conv), roles, _ in _segments(batches):
+    for (part, conv), roles, _ in _pieces(batches):
         yield pa.RecordBatch.from_arrays(
-            [pa.array([seg], pa.int32()), pa.array([conv], pa.int64()), pa.array([repair.matrix(roles).ravel().tolist()], pa.list_(pa.float64()))], names=["seg", "conv_id", "m"]
+            [pa.array([part], pa.int32()), pa.array([conv], pa.int64()), pa.array([repair.matrix(roles).ravel().tolist()], pa.list_(pa.float64()))], names=["part", "conv_id", "m"]
+        )
+
+
+def _chained(batches, repair: Repair):
+    """(conv_id, part, begin, finish, count) of the parts of a long conversation, which come in order; 16 numbers a part."""
+    for _, group in itertools.groupby((x for b in batches for x in b.to_pylist()), key=lambda x: x["conv_id"]):
+        group = list(group)
+        states = repair.chain([np.array(x["m"]).reshape(4, 4) for x in group])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([x["conv_id"] for x in group], pa.int64()),
+                pa.array([x["part"] for x in group], pa.int32()),
+                pa.array([s for s, _ in states], pa.int32()),
+                pa.array([f for _, f in states], pa.int32()),
+                pa.array([len(group)] * len(group), pa.int32()),
+            ],
+            names=["conv_id", "part", "begin", "finish", "count"],
         )
 
 
 _NAMES = ["conv_id", "part", "n_turns", "cost", "n_merged", "n_relabelled", "n_inserted", "text"]
 
 
-def _formatted(batches, repair: Repair, shared):
-    edges = shared.value
+def _formatted(batches, repair: Repair):
+    """Rows of (part, conv_id, role, text, begin, finish, count), a piece's together, to one row a piece."""
+    edges: dict = {}
+
+    def split():
+        for batch in batches:
+            for part, conv, begin, finish, count in {x for x in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6)), strict=True)}:
+                edges[part, conv] = begin, finish, count
+            yield batch
+
     rows, size = [], 0
 
     def flush():
@@ -200,10 +226,10 @@ def _formatted(batches, repair: Repair, shared):
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_NAMES)
 
-    for (seg, conv), roles, texts in _segments(batches):
-        part, begin, finish, count = edges.get((seg, conv), (0, START, None, 1))
-        cost, steps, tail = repair.best(roles, begin, finish)
-        text, turns, merges, inserts = render(steps, tail, texts, part == 0, part == count - 1)
+    for (part, conv), roles, texts in _pieces(split()):
+        begin, finish, count = edges.pop((part, conv))
+        cost, steps, tail = repair.best(roles, START if begin is None else begin, finish)
+        text, turns, merges, inserts = render(steps, tail, texts, part == 0, part == (count or 1) - 1)
         changed = sum(new != role for (_, new, _), role in zip(steps, roles, strict=True))
         rows.append((conv, part, turns, cost, merges, changed, inserts, text))
         size += len(text)
@@ -215,30 +241,44 @@ def _formatted(batches, repair: Repair, shared):
 
 
 class ChatFormat:
-    def __init__(self, repair: Repair | None = None):
-        self.repair = repair or Repair()
+    """whole: turns of the longest conversation that stays in one piece."""
+
+    def __init__(self, repair: Repair | None = None, whole: int = 1024):
+        self.repair, self.whole = repair or Repair(), whole
 
     def format(self, conversations: DataFrame) -> DataFrame:
         """conv_id, part, n_turns, cost, n_merged, n_relabelled, n_inserted, text."""
-        repair, spark = self.repair, conversations.sparkSession
-        small_batches(spark, 4096)
+        repair, whole = self.repair, self.whole
+        small_batches(conversations.sparkSession, 4096)
         order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()]
-        rows = conversations.select("conv_id", "turn", "role", "text").withColumn("row", F.monotonically_increasing_id())
-        placed = rows.repartitionByRange(F.col("conv_id").asc_nulls_last(), *order, F.col("row")).withColumn("seg", F.spark_partition_id())
-        placed = durable(placed, "chat-placed")
-        spread = placed.groupBy("conv_id").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("lo < hi").select("conv_id")
-        by_seg = lambda df: df.repartition("seg").sortWithinPartitions("seg", "conv_id", *order).select("seg", "conv_id", "role", "text")
-        wide = placed.join(F.broadcast(spread), placed["conv_id"].eqNullSafe(spread["conv_id"]), "left_semi")  # at most one conversation an edge
-        found = by_seg(wide).mapInArrow(lambda it: _summaries(it, repair), "seg int, conv_id long, m array<double>").collect()
-        edges = {}
-        key = lambda x: (x["conv_id"] is None, x["conv_id"] or 0)
-        for _, group in itertools.groupby(sorted(found, key=lambda x: (*key(x), x["seg"])), key=key):
-            group = list(group)
-            states = repair.chain([np.array(x["m"]).reshape(4, 4) for x in group])
-            for i, (x, (begin, finish)) in enumerate(zip(group, states, strict=True)):
-                edges[x["seg"], x["conv_id"]] = (i, begin, finish, len(group))
-        shared = spark.sparkContext.broadcast(edges)
-        return by_seg(placed).mapInArrow(
-            lambda it: _formatted(it, repair, shared),
+        rows = conversations.select("conv_id", "turn", "role", "text")
+        # Long ones only: fewer than rows / whole, so AQE broadcasts them unless they are very many.
+        long_ = durable(rows.groupBy("conv_id").count().where(F.col("count") > whole).select(F.col("conv_id").alias("__id")), "chat-long")
+        same = F.col("conv_id").eqNullSafe(F.col("__id"))
+        short = rows.join(long_, same, "left_anti").withColumn("part", F.lit(0))
+        edge = [F.lit(None).cast("int").alias(c) for c in ("begin", "finish", "count")]
+        columns = ["part", "conv_id", "role", "text", "begin", "finish", "count"]
+        by = lambda df: df.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", *order)
+        pieces = by(short).select("part", "conv_id", "role", "text", *edge)
+        if long_.take(1):
+            # The place of a row in its conversation: those of its id in earlier ranges, and its place in its own.
+            # Equal rows change nothing by changing places.
+            ranged = rows.join(long_, same, "left_semi").repartitionByRange(F.col("conv_id").asc_nulls_last(), *order, F.monotonically_increasing_id())
+            ranged = durable(ranged.withColumn("span", F.spark_partition_id()), "chat-ranged")
+            before = F.sum("n").over(W.partitionBy("conv_id").orderBy("span").rowsBetween(W.unboundedPreceding, -1))
+            per = ranged.groupBy("conv_id", "span").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("__id"), F.col("span").alias("__span"), F.coalesce(before, F.lit(0)).alias("offset"))
+            place = F.row_number().over(W.partitionBy("conv_id", "span").orderBy(*order)) - 1
+            placed = ranged.withColumn("place", place).join(per, same & (F.col("span") == F.col("__span")))
+            placed = placed.withColumn("part", F.floor((F.col("place") + F.col("offset")) / whole).cast("int"))
+            placed = durable(placed.select("conv_id", "turn", "role", "text", "part"), "chat-placed")
+            release(ranged)
+            found = by(placed).select("part", "conv_id", "role", "text").mapInArrow(lambda it: _summaries(it, repair), "part int, conv_id long, m array<double>")
+            states = found.repartition("conv_id").sortWithinPartitions("conv_id", "part").select("conv_id", "part", "m")
+            states = states.mapInArrow(lambda it: _chained(it, repair), "conv_id long, part int, begin int, finish int, count int")
+            states = durable(states.select(F.col("conv_id").alias("__id"), F.col("part").alias("__part"), "begin", "finish", "count"), "chat-states")
+            known = placed.join(states, same & (F.col("part") == F.col("__part")))
+            pieces = pieces.unionByName(by(known).select(*columns))
+        return pieces.select(*columns).mapInArrow(
+            lambda it: _formatted(it, repair),
             "conv_id long, part int, n_turns long, cost double, n_merged long, n_relabelled long, n_inserted long, text string",
         )
