@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .lexicon import CLOSED, ENDINGS, IRREGULAR, PENN
 
 S = r"(?U)\s"
+#: What counts as white space at the ends of a text.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # The patterns that decide what counts as exam scaffolding.
 OPTION = r"(?:^|\s)(?:\d{1,2}[.)]\s*)?[\[［（(]?[A-EＡ-Ｅ][\]］）)、.\s]"
@@ -22,10 +24,11 @@ QUESTION_HINT = (
     r"(as mentioned in the passage|according to the passage|can best be described|is most likely to|are most likely to|"
     r"the author (suggests|indicates|believes|argues)|the passage (suggests|indicates|implies)|we can infer from|we can learn from)"
 )
-INSTRUCTION = (
-    r"(directions|answer sheet|choose the best|mark your answer|mark your answers|read the following|answer the questions|"
-    r"write (an essay|a letter)|you should write|your composition|word limit|do not sign|do not write|your translation|translate the following|study the following)"
-)
+INSTRUCTIONS = (
+    "directions", "answer sheet", "choose the best", "mark your answer", "mark your answers", "read the following", "answer the questions",
+    "write an essay", "write a letter", "you should write", "your composition", "word limit", "do not sign", "do not write", "your translation",
+    "translate the following", "study the following",
+)
 HEADING = r"^(Section|Part|Text|Passage)\s*[A-Z\dⅠⅡⅢⅣⅤ]*\b"
 TEN_POINTS = r"\(?\s*10\s+points\s*\)?\.?\s*(.+)$"
 CHOICE_LINE = r"^\[?[A-E]\]?\s+.+(\[?[A-E]\]?\s+.+){2,}$"
@@ -41,12 +44,18 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column) -> Column:
     """Both ends without any white space."""
-    return F.regexp_replace(col(c), rf"^{S}+|{S}+$", "")
+    return F.btrim(col(c), F.lit(WHITE))
+
+
+def spaced(c: Column) -> Column:
+    """Every run of white space as one space; single spaces aren't matched, so most texts pass unchanged."""
+    return F.regexp_replace(c, r"(?U) \s+|[\s&&[^ ]]\s*", " ")
 
 
 def ratio(c: Column | str, pattern: str) -> Column:
-    total = F.length(F.regexp_replace(col(c), S, ""))
-    return F.when(total > 0, F.regexp_count(col(c), F.lit(pattern)) / total).otherwise(F.lit(0.0))
+    """Characters of a class among those that aren't white space, 0 without any. Runs are removed, not characters counted."""
+    total = F.length(F.regexp_replace(col(c), rf"{S}+", ""))
+    return F.when(total > 0, (F.length(col(c)) - F.length(F.regexp_replace(col(c), f"{pattern}+", ""))) / total).otherwise(F.lit(0.0))
 
 
 def en_ratio(c: Column | str) -> Column:
@@ -61,25 +70,29 @@ def _has(c: Column, pattern: str) -> Column:
     return c.rlike("(?iu)" + pattern)
 
 
+def _instructs(c: Column) -> Column:
+    any_ = lambda low: reduce(lambda x, y: x | y, (F.contains(low, F.lit(w)) for w in INSTRUCTIONS))
+    return F.get(F.transform(F.array(F.lower(c)), any_), F.lit(0))  # lower-cased once
+
+
 def clean_paragraph(c: Column | str) -> Column:
     """One pass of the cleaner: the article text of a paragraph, or null for instructions, questions and options.
 
     The steps are let-bound one after another, so that each is evaluated once a row.
     """
+    ten = lambda x: strip(F.regexp_extract(x, "(?iu)" + TEN_POINTS, 1))
     steps = [
-        lambda x: strip(F.replace(F.replace(strip(F.regexp_replace(x, rf"{S}+", " ")), F.lit("[["), F.lit("")), F.lit("]]"), F.lit(""))),
+        lambda x: strip(F.replace(F.replace(strip(spaced(x)), F.lit("[["), F.lit("")), F.lit("]]"), F.lit(""))),
         lambda x: strip(F.regexp_replace(x, r"^(?iu)Directions[:：]?\s*", "")),
         lambda x: F.when((x != "") & ~_has(x, HEADING), x),
-        lambda x: F.when(~_has(x, INSTRUCTION), x).otherwise(
-            F.when(F.length(strip(F.regexp_extract(x, "(?iu)" + TEN_POINTS, 1))) > 30, strip(F.regexp_extract(x, "(?iu)" + TEN_POINTS, 1)))
-        ),
+        lambda x: F.when(~_instructs(x), x).when(F.length(ten(x)) > 30, ten(x)),
         lambda x: strip(F.regexp_replace(x, f"(?ius){NUMBERED_OPTION}.*$", "")),
         lambda x: F.when(
             (x != "")
-            & (F.regexp_count(x, F.lit("(?iu)" + OPTION)) < 2)
             & ~_has(x, f"^(?:{OPTION})")
             & ~_has(x, QUESTION_START)
-            & ~(_has(x, QUESTION_HINT) & (F.length(x) < 180))
+            & ~((F.length(x) < 180) & _has(x, QUESTION_HINT))
+            & (F.regexp_count(x, F.lit("(?iu)" + OPTION)) < 2)
             & (en_ratio(x) > 0.15),
             x,
         ),
@@ -134,10 +147,14 @@ def is_token(w: Column) -> Column:
     return w.rlike("^[a-zA-Z]+$") & F.length(w).between(2, 28) & ~(low.contains("answer") & low.contains("sheet"))
 
 
+def irregular(w: Column) -> Column:
+    """The lemma of an irregular form; null for any other word."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv]), w)
+
+
 def lemma_of(w: Column) -> Column:
     """Irregular forms by table; any other word is its own lemma (see operators.lemmas for suffix rules)."""
-    table = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
-    return F.coalesce(F.element_at(table, w), w)
+    return F.coalesce(irregular(w), w)
 
 
 def pos_of(w: Column) -> Column:
@@ -155,16 +172,53 @@ def penn_to_simple(tag: Column) -> Column:
     return F.coalesce(F.element_at(table, tag), F.lit("other"))
 
 
+def _kind(c: Column, names: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x | y, (F.contains(c, F.lit(n)) for n in names))
+
+
 def exam_type(c: Column | str) -> Column:
-    c = col(c)
-    one = c.contains("英语（一）") | c.contains("英语一")
-    two = c.contains("英语（二）") | c.contains("英语二")
+    """Of a text or a name. The names of the two kinds."""
+    one, two = _kind(col(c), ("英语（一）", "英语一")), _kind(col(c), ("英语（二）", "英语二"))
     return F.when(one, F.lit("英语一")).when(two, F.lit("英语二")).otherwise(F.lit("未知"))
 
 
+def exam_type_of_pages(pages: Column | str) -> Column:
+    """Of an array of page texts: the first of the first two pages that tells."""
+    told = F.filter(F.transform(F.slice(col(pages), 1, 2), exam_type), lambda x: x != "未知")
+    return F.coalesce(F.get(told, F.lit(0)), F.lit("未知"))
+
+
 def year_of_name(c: Column | str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(col(c), r"(\d{4})", 1), F.lit("")), F.lit("unknown"))
 
 
 def band(frequency: Column, high: float, medium: float) -> Column:
     return F.when(frequency >= high, F.lit("high")).when(frequency >= medium, F.lit("medium")).otherwise(F.lit("low"))
+
+
+def treebank(c: Column | str) -> Column:
+    """Words as a Treebank tokenizer parts them: contractions and closing punctuation split off, hyphenated words whole."""
+    x = F.regexp_replace(col(c), r"(?i)([a-z])(n't|'s|'re|'ve|'ll|'d|'m)([^a-zA-Z]|$)", "$1 $2$3")
+    x = F.regexp_replace(x, r"(?i)(^|[^a-zA-Z])(can)(not)([^a-zA-Z]|$)", "$1$2 $3$4")
+    x = F.regexp_replace(x, r'[\[\](){}<>"“”‘,;:!?…@#$%&*]|--', " ")
+    x = F.regexp_replace(x, r"\.+(\s|$)", " $1")
+    return F.filter(F.split(x, r"\s+"), lambda w: w != "")
+
+
+def truncated(c: Column | str, limit: int = 70) -> Column:
+    """At most `limit` characters, and an ellipsis if more follow."""
+    return F.when(F.length(col(c)) > limit, F.concat(F.substring(col(c), 1, limit), F.lit("…"))).otherwise(col(c))
+
+
+def highlighted(c: Column | str, word: Column | str, left: str = "<mark>", right: str = "</mark>") -> Column:
+    """The first place of a word marked, whatever its case, also inside another word; unchanged where it is absent."""
+    c, word = col(c), col(word)
+    at = F.instr(F.lower(c), F.lower(word))
+    end = at + F.length(word)
+    marked = F.concat(F.substring(c, F.lit(1), at - 1), F.lit(left), F.substring(c, at, F.length(word)), F.lit(right), F.substring(c, end, F.length(c)))
+    return F.when((at > 0) & (F.length(word) > 0), marked).otherwise(c)
+
+
+def frequency_class(frequency: Column) -> Column:
+    """How a list colours a frequency; its limits are fixed, whatever the settings are."""
+    return band(frequency, 0.5, 0.2)

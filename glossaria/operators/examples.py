@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import textops as t
+from . import tokens as tk
 
 
 def examples(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -24,13 +25,53 @@ def examples(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
     return words.join(told, ["paper_idx", "word"]).groupBy("lemma", "pos", "text").agg(keep).select("lemma", "pos", "text", "first.*")
 
 
-def top_example(examples_: DataFrame, senses: DataFrame) -> DataFrame:
-    """lemma, pos, text: of the sense with most units (the first of equals), the shortest sentence (the first of equals)."""
+def found(papers: DataFrame, stop_words=None, min_ratio: float = 0.3, clean: bool = True) -> DataFrame:
+    """examples() of the papers' own tokens and sentences, by one pass over the texts instead of a join of two.
+
+    A sentence's words are taken apart once. A word of a line with enough English is a token where it stands; one of any other line counts
+    if the paper has it as a token elsewhere, which the group by (paper, word) tells, as it tells the word's first place.
+    """
+    stop = list(tk.STOP_WORDS if stop_words is None else stop_words)
+    rows = tk.lines(papers, clean).withColumn("token", t.en_ratio("line") > min_ratio)
+    rows = rows.select("paper_idx", "year", "section", F.col("line_no").alias("para_idx"), "token", F.posexplode(tk.plain(F.col("line"))).alias("sent_idx", "text"))
+    rows = rows.withColumn("text", F.trim("text")).where("text <> ''")
+    rows = rows.select("*", F.posexplode(F.array_distinct(t.runs(F.lower("text")))).alias("k", "low"))
+    rows = rows.where(t.is_token(F.col("low")) & ~F.col("low").isin(stop))
+    at = F.struct("para_idx", "sent_idx", "k")
+    rows = rows.withColumn("tok", F.min(F.when(F.col("token"), at)).over(W.partitionBy("paper_idx", "year", "section", "low"))).where("tok is not null")
+    words = tk.named(tk._words(papers, stop, min_ratio, clean, t.runs), stop)
+    each = rows.join(words, "low")
+    place = F.struct("paper_idx", "para_idx", "sent_idx", "tok")
+    first = F.struct(F.col("low").alias("word"), "year", "section", "paper_idx", "para_idx", "sent_idx")
+    return each.groupBy("lemma", "pos", "text").agg(F.min_by(first, place).alias("first")).select("lemma", "pos", "text", "first.*")
+
+
+#: Year and label that stand for the vocabulary's own examples.
+VOCABULARY = ("墨墨", "墨墨原版例句")
+
+
+def top_example(examples_: DataFrame, senses: DataFrame, book: DataFrame | None = None) -> DataFrame:
+    """lemma, pos, text: of the sense with most units (the first of equals), the shortest sentence (the first of equals).
+
+    book(lemma, examples): where it is given, a lemma's first example of the vocabulary comes before all others, and has no part of speech.
+    """
     best = senses.groupBy("lemma").agg(F.max_by("pos", F.struct("pos_count", (-F.col("ord")).alias("o"))).alias("pos"))
     rank = F.struct(F.length("text").alias("n"), F.col("paper_idx"), F.col("para_idx"), F.col("sent_idx"))
-    return examples_.join(best, ["lemma", "pos"]).groupBy("lemma", "pos").agg(F.min_by("text", rank).alias("text"))
+    own = examples_.join(best, ["lemma", "pos"]).groupBy("lemma", "pos").agg(F.min_by("text", rank).alias("text"))
+    if book is None:
+        return own
+    given = book.where(F.size("examples") > 0).join(best.select("lemma"), "lemma").select("lemma", F.lit(None).cast("string").alias("pos"), F.element_at("examples", 1).alias("text"))
+    return given.unionByName(own.join(given.select("lemma"), "lemma", "left_anti"))
 
 
 def numbered(examples_: DataFrame) -> DataFrame:
     """Examples of a lemma and part of speech in order, numbered from 1."""
     return examples_.withColumn("n", F.row_number().over(W.partitionBy("lemma", "pos").orderBy("paper_idx", "para_idx", "sent_idx", "text")))
+
+
+def detail(lemma: str, pos: str, examples_: DataFrame, pos_counts: DataFrame) -> DataFrame:
+    """lemma, pos, unit_count, sentences of one lemma and part of speech: one row, with 0 and no sentence where there is none."""
+    same = (F.col("lemma") == lemma) & (F.col("pos") == pos)
+    one = examples_.where(same).agg(F.array_sort(F.collect_list(F.struct("paper_idx", "para_idx", "sent_idx", "text", "year", "section", "word"))).alias("sentences"))
+    count = pos_counts.where(same).agg(F.coalesce(F.max("pos_count"), F.lit(0)).alias("n")).scalar()
+    return one.select(F.lit(lemma).alias("lemma"), F.lit(pos).alias("pos"), count.alias("unit_count"), "sentences")

@@ -35,4 +35,5 @@ def group_sizes(groups: DataFrame) -> DataFrame:
 
 
 def delete_year(papers: DataFrame, year: str) -> DataFrame:
-    return papers.where(F.col("year") != year)
+    """Papers of other years; those without a year stay."""
+    return papers.where(~F.col("year").eqNullSafe(year))

@@ -1,16 +1,32 @@
-"""The frequency index: how many (year, section) units hold a lemma, by part of speech, with variants."""
+"""The frequency index: how many (year, section) units hold a lemma, by part of speech, with variants.
+
+Every function takes tokens, or the much fewer rows of tokens.cells(), with the same result.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import textops as t
+from . import filters, senses
+from . import tokens as tk
+
+# Parts of speech that a token can have, in code-point order.
+POS = ("adj", "adv", "aux", "conj", "det", "int", "n", "num", "other", "prep", "pron", "v")
+
+
+def units(papers: DataFrame) -> DataFrame:
+    """Distinct (year, section) of the papers; a null is a value of its own."""
+    return papers.select("year", "section").distinct()
 
 
 def total_units(papers: DataFrame) -> DataFrame:
     """One row: units of the active papers, also of those without a token."""
-    return papers.agg(F.count_distinct("year", "section").alias("total_units"))
+    return units(papers).agg(F.count("*").alias("total_units"))
 
 
 def occurrences(tokens: DataFrame) -> DataFrame:
@@ -18,11 +34,16 @@ def occurrences(tokens: DataFrame) -> DataFrame:
     return tokens.select("lemma", "pos", "year", "section").distinct()
 
 
+def _share(papers: DataFrame):
+    """Units over all units; the total is a scalar subquery, so nothing runs before the query does."""
+    total = total_units(papers).scalar()
+    return F.when(total > 0, F.col("units") / total).otherwise(F.lit(0.0))
+
+
 def frequency(tokens: DataFrame, papers: DataFrame) -> DataFrame:
-    """lemma, units, frequency. The one-row total is a scalar subquery's worth of data."""
-    units = tokens.select("lemma", "year", "section").distinct().groupBy("lemma").agg(F.count("*").alias("units"))
-    total = papers.select("year", "section").distinct().count()
-    return units.withColumn("frequency", F.when(F.lit(total) > 0, F.col("units") / F.lit(total)).otherwise(F.lit(0.0)))
+    """lemma, units, frequency."""
+    found = tokens.select("lemma", "year", "section").distinct().groupBy("lemma").agg(F.count("*").alias("units"))
+    return found.withColumn("frequency", _share(papers))
 
 
 def pos_counts(tokens: DataFrame) -> DataFrame:
@@ -42,6 +63,47 @@ def first_seen(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("lemma").agg(F.min(F.struct("paper_idx", "line_no", "tok_idx")).alias("first_seen"))
 
 
+def assembled(tokens: DataFrame, papers: DataFrame) -> DataFrame:
+    """One row a lemma: variants, pos_counts (map), units, frequency, count_sum, first_seen.
+
+    One aggregation by unit and one by lemma give all of them.
+    """
+    place = F.min(F.struct("paper_idx", "line_no", "tok_idx"))
+    unit = tokens.groupBy("lemma", "year", "section").agg(
+        F.collect_set("pos").alias("pos"), F.collect_set(F.lower("word")).alias("words"), place.alias("first")
+    )
+    sums = F.array(*[F.struct(F.lit(p).alias("pos"), F.sum(F.array_contains("pos", p).cast("long")).alias("n")) for p in POS])
+    out = unit.groupBy("lemma").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("words")))).alias("variants"),
+        F.map_from_entries(F.filter(sums, lambda x: x["n"] > 0)).alias("pos_counts"),
+        F.count("*").alias("units"),
+        F.sum(F.size("pos")).alias("count_sum"),
+        F.min("first").alias("first_seen"),
+    )
+    return out.withColumn("frequency", _share(papers))
+
+
+def build(papers: DataFrame, book: DataFrame | None = None, lists: DataFrame | None = None, groups: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """The index of the enabled papers, one assembled row a lemma with its senses, without the words that the settings exclude.
+
+    book(lemma, pos, meaning, ord), lists(level, word), groups(grp, lemma). Denominators are those of all enabled papers; exclusions
+    are anti joins on the lemma and never change them.
+    """
+    papers = tk.active(papers) if "enabled" in papers.columns else papers
+    rows = excluded(tk.cells(papers, settings.stop_words), lists, groups, settings)
+    rows = assembled(rows, papers)
+    return senses.attached(rows, book) if book is not None else rows
+
+
+def excluded(index: DataFrame, lists: DataFrame | None, groups: DataFrame | None, settings: Settings) -> DataFrame:
+    """Index or token rows without lemmas of the excluded groups, then of the excluded levels."""
+    if groups is not None and settings.exclude_groups:
+        index = filters.without_groups(index, groups, settings.exclude_groups)
+    if lists is not None and settings.exclude_levels:
+        index = filters.without_words(index, filters.level_words(lists, settings.exclude_levels))
+    return index
+
+
 def bands(index: DataFrame, high: float = 0.5, medium: float = 0.2) -> DataFrame:
     return index.withColumn("band", t.band(F.col("frequency"), high, medium))
 
@@ -55,6 +117,16 @@ def band_counts(index: DataFrame, high: float = 0.5, medium: float = 0.2) -> Dat
 
 
 def papers_by_year(papers: DataFrame) -> DataFrame:
-    """year, section_count, sentence_count, in the order of years."""
-    size = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    return papers.groupBy("year").agg(F.count("*").alias("section_count"), F.sum(size).cast("long").alias("sentence_count"))
+    """year, kind, section_count, sentence_count and the sections in the order of papers, years in order (null first)."""
+    said = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) if "text" in papers.columns else F.size("sentences")
+    cols = papers.columns
+    label = F.col("section_label") if "section_label" in cols else F.lit(None).cast("string")
+    enabled = F.coalesce("enabled", F.lit(True)) if "enabled" in cols else F.lit(True)
+    row = F.struct("paper_idx", "section", label.alias("section_label"), F.coalesce(said, F.lit(0)).alias("sentence_count"), enabled.alias("enabled"))
+    per = papers.groupBy("year").agg(F.array_sort(F.collect_list(row)).alias("sections"))
+    total = F.aggregate("sections", F.lit(0).cast("long"), lambda a, x: a + x["sentence_count"])
+    return per.select("year", F.lit("英语一").alias("kind"), F.size("sections").cast("long").alias("section_count"), total.alias("sentence_count"), "sections").orderBy("year")
+
+
+def union(parts) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)

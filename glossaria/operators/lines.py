@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import HEADED, SECTIONS
 from ..functions import textops as t
 
 
@@ -30,9 +31,9 @@ def _any(flag):
     return F.sum(flag.cast("int")).over(so_far())
 
 
-def _joined(rows: DataFrame, key: str, sep: str = " ") -> DataFrame:
+def _joined(rows: DataFrame, keys: list[str], sep: str = " ") -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return rows.groupBy("doc", key).agg(F.array_join(F.transform(parts, lambda x: x["line"]), sep).alias("text"))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["line"]), sep).alias("text"))
 
 
 def year_blocks(rows: DataFrame) -> DataFrame:
@@ -40,11 +41,16 @@ def year_blocks(rows: DataFrame) -> DataFrame:
     bound = F.col("line").rlike(t.YEAR_LINE)
     cut = rows.withColumn("block", _any(bound)).where("block > 0")
     head = cut.where(bound).select("doc", "block", F.regexp_extract("line", r"((?:19|20)\d{2})年", 1).alias("year"))
-    return _joined(cut, "block", "\n").join(head, ["doc", "block"]).select("doc", "block", "year", "text")
+    return _joined(cut, ["doc", "block"], "\n").join(head, ["doc", "block"]).select("doc", "block", "year", "text")
 
 
-def section_keys(rows: DataFrame) -> DataFrame:
-    """doc, line_no, line, key: the section that holds each content line; headers and lines before the first are dropped."""
+def _labels(column: int):
+    """Label of a section's key."""
+    return F.element_at(F.create_map(*[F.lit(x) for row in SECTIONS for x in (row[0], row[column])]), F.col("key"))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Content lines with the key of their section, seg (its number in the document) and whether a header named it."""
     low = F.lower(F.regexp_replace(t.strip(F.col("line")), r"(?U)\s+", ""))
     head = F.lit(None).cast("string")
     for key, words in reversed(HEADERS):
@@ -58,7 +64,31 @@ def section_keys(rows: DataFrame) -> DataFrame:
     kind = F.when(F.col("writing"), F.lit("writing_")).otherwise(F.lit("reading_"))
     event = F.coalesce("head", F.when(F.col("part") == "C", F.lit("reading_c")).when(F.col("part").isNotNull(), F.concat(kind, F.lower("part"))))
     r = r.withColumn("event", event).withColumn("key", F.last("event", ignorenulls=True).over(so_far()))
-    return r.where("event is null and key is not null").select("doc", "line_no", "line", "key")
+    r = r.withColumn("seg", _any(F.col("event").isNotNull()))
+    r = r.withColumn("headed", F.last(F.when(F.col("event").isNotNull(), F.col("head").isNotNull()), ignorenulls=True).over(so_far()))
+    return r.where("event is null and key is not null")
+
+
+def section_keys(rows: DataFrame) -> DataFrame:
+    """doc, line_no, line, key: the section that holds each content line; headers and lines before the first are dropped."""
+    return _keyed(rows).select("doc", "line_no", "line", "key")
+
+
+def sections(rows: DataFrame) -> DataFrame:
+    """doc, ord, key, label, label_en, sentences: every section of the documents, in order; a key may come again, a section without content is left out.
+
+    Words parted at a line's end are joined within a section before its numbered translation lines are marked and its paragraphs made.
+    """
+    text = _joined(_keyed(rows), ["doc", "seg", "key", "headed"], "\n")
+    name = F.when(F.col("headed"), F.element_at(F.create_map(*[F.lit(x) for kv in HEADED.items() for x in kv]), F.col("key")))
+    unit = F.to_json(F.struct("doc", "seg"))
+    text = text.withColumn("unit", unit)
+    split = text.select(F.col("unit").alias("doc"), F.posexplode(F.split(t.rejoin_hyphenated("text"), "\n")).alias("line_no", "line"))
+    said = paragraphs(translation_marks(split)).groupBy(F.col("doc").alias("unit"))
+    said = said.agg(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda x: x["text"]).alias("sentences"))
+    return text.join(said, "unit").select(
+        "doc", F.col("seg").cast("int").alias("ord"), "key", _labels(1).alias("label"), F.coalesce(name, _labels(2)).alias("label_en"), "sentences"
+    )
 
 
 def translation_marks(rows: DataFrame) -> DataFrame:
@@ -88,7 +118,7 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     r = rows.withColumn("drop", drop).withColumn("mark", mark & ~drop)
     after = F.coalesce(F.lag("mark").over(W.partitionBy("doc").orderBy("line_no")), F.lit(False))
     r = r.withColumn("para", _any(F.col("drop") | F.col("mark") | after)).where("not drop").withColumn("line", s)
-    return _joined(r, "para").withColumn("text", t.clean_paragraph("text")).where("text is not null")
+    return _joined(r, ["doc", "para"]).withColumn("text", t.clean_paragraph("text")).where("text is not null")
 
 
 def loose_sentences(rows: DataFrame) -> DataFrame:
@@ -96,4 +126,4 @@ def loose_sentences(rows: DataFrame) -> DataFrame:
     s = t.strip(F.col("line"))
     opens = s.rlike(r"^[\d一二三四五六七八九十]+[.、\s]")
     r = rows.withColumn("grp", _any((s == "") | opens)).where(s != "").withColumn("line", s)
-    return _joined(r, "grp").where(t.en_ratio("text") > 0.3)
+    return _joined(r, ["doc", "grp"]).where(t.en_ratio("text") > 0.3)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,9 +22,53 @@ def with_fallback(pos_counts: DataFrame, senses: DataFrame) -> DataFrame:
     return hit.unionByName(rest.select("lemma", "pos", F.lit("").alias("meaning"), "pos_count", place.alias("ord")))
 
 
+def attached(index: DataFrame, senses: DataFrame) -> DataFrame:
+    """An assembled index with the array `senses` (ord, pos, meaning, pos_count): with_fallback() by one join, within each row."""
+    book = senses.groupBy("lemma").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "meaning"))).alias("__book"))
+    told = lambda s: F.struct(s["ord"].alias("ord"), s["pos"].alias("pos"), s["meaning"].alias("meaning"), F.element_at("pos_counts", s["pos"]).alias("pos_count"))
+    found = F.filter(F.transform(F.coalesce("__book", F.array().cast("array<struct<ord:int,pos:string,meaning:string>>")), told), lambda s: s["pos_count"].isNotNull())
+    parts = F.array_sort(F.map_entries("pos_counts"))
+    bare = F.transform(parts, lambda e, i: F.struct(i.alias("ord"), e["key"].alias("pos"), F.lit("").alias("meaning"), e["value"].alias("pos_count")))
+    out = index.join(book, "lemma", "left").withColumn("__found", found)
+    return out.withColumn("senses", F.when(F.size("__found") > 0, F.col("__found")).otherwise(bare)).drop("__book", "__found")
+
+
+def sense_rows(index: DataFrame) -> DataFrame:
+    """lemma, pos, meaning, pos_count, ord of an index with senses."""
+    return index.select("lemma", F.explode("senses").alias("s")).select("lemma", "s.pos", "s.meaning", "s.pos_count", "s.ord")
+
+
 def lookup(word: str, index: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """lemma, source, units, meaning of one word: from the index, else from the dictionary with 0 units."""
+    """lemma, source, units, meaning of one word: from the index, else from the dictionary with 0 units. The index knows exact words only."""
     hit = index.where(F.col("lemma") == word).select("lemma", F.lit("index").alias("source"), F.col("units").cast("long").alias("units"), F.lit("").alias("meaning"))
     other = dictionary.where(F.lower("lemma") == word.lower()).select("lemma", F.lit("dictionary").alias("source"), F.lit(0).cast("long").alias("units"), "meaning")
-    key = F.lower("lemma")
-    return hit.unionByName(other.join(hit.select(F.lower("lemma").alias("k")), key == F.col("k"), "left_anti"))
+    return hit.unionByName(other.where(~hit.exists()))
+
+
+class Dictionary:
+    """A cache of look-ups before a source outside of Spark, which the caller gives: word -> [(part of speech, [definitions])], or None if it fails.
+
+    Two definitions a part of speech are kept. Only words that the source knows are cached; failures give nothing and are asked for again.
+    """
+
+    DEFINITIONS = 2
+
+    def __init__(self, source: Callable[[str], list[tuple[str, list[str]]] | None], cache: dict[str, list[dict]] | None = None):
+        self.source, self.cache = source, dict(cache or {})
+
+    def lookup(self, word: str) -> list[dict]:
+        key = word.lower()
+        if key not in self.cache:
+            try:
+                found = self.source(key)
+            except Exception:  # a source may fail in any way; a miss is no error of the query
+                found = None
+            if found is None:
+                return []
+            self.cache[key] = [{"pos": pos, "meaning": d} for pos, defs in found for d in defs[: self.DEFINITIONS]]
+        return self.cache[key]
+
+    def table(self, spark) -> DataFrame:
+        """lemma, pos, meaning, ord of all that is cached."""
+        rows = [(w, s["pos"], s["meaning"], i) for w, senses in self.cache.items() for i, s in enumerate(senses)]
+        return spark.createDataFrame(rows, "lemma string, pos string, meaning string, ord int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textops as t
-from ..functions.lexicon import STOP_WORDS, SUFFIXES
+from ..functions.lexicon import SHORTEST, STOP_WORDS, SUFFIXES
 
 
 def active(papers: DataFrame) -> DataFrame:
@@ -22,38 +22,94 @@ def toggle(papers: DataFrame, year: str, section: str | None, enabled: bool) ->
 
 
 def lines(papers: DataFrame, clean: bool = False) -> DataFrame:
-    """paper_idx, year, section, line_no, line of papers with text, or else with sentences; `clean`: what one pass of the cleaner leaves."""
-    found = F.split("text", "\n") if "text" in papers.columns else F.col("sentences")
+    """paper_idx, year, section, line_no, line of papers by their sentences, or else their text; `clean`: what one pass of the cleaner leaves."""
+    found = [F.col("sentences")] * ("sentences" in papers.columns) + [F.split("text", "\n")] * ("text" in papers.columns)
+    found = F.coalesce(*found)
+    # Cleaned before the generator: a filter on its lines can't be pushed below it, so no line is cleaned twice.
+    found = F.transform(found, t.clean_paragraph) if clean else found
     rows = papers.select("paper_idx", "year", "section", F.posexplode(found).alias("line_no", "line"))
-    return rows.withColumn("line", t.clean_paragraph("line")).where("line is not null") if clean else rows
+    return rows.where("line is not null") if clean else rows
 
 
-def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = False) -> DataFrame:
+def _words(papers: DataFrame, stop, min_ratio: float | None, clean: bool, split) -> DataFrame:
+    """paper_idx, year, section, line_no, tok_idx, word, low of words that count as tokens by their form."""
+    rows = lines(papers, clean)
+    if min_ratio is not None:
+        rows = rows.where(t.en_ratio("line") > min_ratio)
+    rows = rows.select("paper_idx", "year", "section", "line_no", F.posexplode(split(F.col("line"))).alias("tok_idx", "word"))
+    return rows.where(t.is_token(F.col("word"))).withColumn("low", F.lower("word")).where(~F.col("low").isin(stop))
+
+
+def words(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs) -> DataFrame:
+    """What tokens() looks lemmas up for: the words that count as tokens by their form, stop words left out."""
+    return _words(papers, list(STOP_WORDS if stop_words is None else stop_words), min_ratio, clean, split)
+
+
+def named(words: DataFrame, stop, suffixes: bool = True) -> DataFrame:
+    """low -> lemma, pos of every distinct word that is a token by its lemma too: lemmas and tags are worked out once a word."""
+    low = F.col("low")
+    rows = words.select("low").distinct()
+    if suffixes:
+        rows = lemmas(rows.select(low.alias("word"))).select(F.col("word").alias("low"), "lemma")
+    else:
+        rows = rows.withColumn("lemma", t.lemma_of(low))
+    return rows.where(~F.col("lemma").isin(stop) & (F.length("lemma") >= 2)).withColumn("pos", t.pos_of(low))
+
+
+def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = False, split=t.runs) -> DataFrame:
     """paper_idx, year, section, line_no, tok_idx, word, lemma, pos of every vocabulary token.
 
-    Lemmas are those of lemmas() over the tokens' words; without `suffixes`, by irregular forms only.
+    Lemmas are those of lemmas() over the tokens' words; without `suffixes`, by irregular forms only. `split` parts a line into words
+    (t.runs, or t.treebank).
     """
     stop = list(STOP_WORDS if stop_words is None else stop_words)
-    rows = lines(papers, clean)
-    if min_ratio is not None:
-        rows = rows.where(t.en_ratio("line") > min_ratio)
-    rows = rows.select("paper_idx", "year", "section", "line_no", F.posexplode(t.runs("line")).alias("tok_idx", "word"))
-    low = F.lower("word")
-    kept = ~F.col("lemma").isin(stop) & (F.length("lemma") >= 2)
-    rows = rows.where(t.is_token(F.col("word")) & ~low.isin(stop)).withColumn("lemma", t.lemma_of(low)).where(kept)
+    rows = _words(papers, stop, min_ratio, clean, split)
+    return rows.join(named(rows, stop, suffixes), "low").select("paper_idx", "year", "section", "line_no", "tok_idx", "word", "lemma", "pos")
+
+
+def cells(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = True, split=t.runs) -> DataFrame:
+    """tokens() without repeats: of every word in a (year, section) unit the first, in lower case, with its number as n_tokens.
+
+    Words are counted on the map side before lemmas and tags are looked up, so what is shuffled grows with the vocabulary of a unit, not with
+    its text. All of an index follows from it.
+    """
+    stop = list(STOP_WORDS if stop_words is None else stop_words)
+    place = F.struct("paper_idx", "line_no", "tok_idx")
+    rows = _words(papers, stop, min_ratio, clean, split).groupBy("low", "year", "section").agg(F.min(place).alias("first"), F.count("*").alias("n_tokens"))
     if suffixes:
-        # Only the words that the suffix rules change are joined.
-        by_rule = lemmas(rows.select(low.alias("word"))).where(F.col("lemma") != t.lemma_of(F.col("word")))
-        names = rows.columns
-        rows = rows.withColumn("__low", low).join(by_rule.select(F.col("word").alias("__low"), F.col("lemma").alias("__by_rule")), "__low", "left")
-        rows = rows.withColumn("lemma", F.coalesce("__by_rule", "lemma")).select(*names).where(kept)
-    return rows.withColumn("pos", t.pos_of(low))
-
-
-def sentences(papers: DataFrame, clean: bool = False) -> DataFrame:
-    """paper_idx, year, section, line_no, sent_idx, text: runs up to closing punctuation, trimmed."""
-    found = F.regexp_extract_all("line", F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
-    rows = lines(papers, clean).select("paper_idx", "year", "section", "line_no", F.posexplode(found).alias("sent_idx", "text"))
+        # The words carry their cells along while their lemmas are worked out, so the texts are read once and joined with nothing.
+        rows = rows.groupBy(F.col("low").alias("word")).agg(F.collect_list(F.struct("year", "section", "first", "n_tokens")).alias("cells"))
+        rows = _lemmatized(rows, "cells").select(F.col("word").alias("low"), "lemma", F.explode("cells").alias("c")).select("low", "lemma", "c.*")
+    else:
+        rows = rows.withColumn("lemma", t.lemma_of(F.col("low")))
+    rows = rows.where(~F.col("lemma").isin(stop) & (F.length("lemma") >= 2))
+    return rows.select(
+        "first.paper_idx", "year", "section", "first.line_no", "first.tok_idx", F.col("low").alias("word"), "lemma", t.pos_of(F.col("low")).alias("pos"), "n_tokens"
+    )
+
+
+#: Abbreviations whose full stop does not end a sentence; a parameter of `careful`.
+ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "st", "jr", "sr", "vs", "etc", "fig", "no", "vol", "inc", "ltd", "co", "e.g", "i.e", "a.m", "p.m", "u.s")
+
+
+def plain(line):
+    """Runs up to closing punctuation."""
+    return F.regexp_extract_all(line, F.lit(r"[^.!?]+[.!?]*"), F.lit(0))
+
+
+def careful(line, abbreviations=ABBREVIATIONS):
+    """As plain, but full stops of abbreviations, initials and numbers, and those before a small letter, end nothing."""
+    stop = "\ue000"  # of the private use area
+    known = "|".join(a.replace(".", "[.]") for a in abbreviations)
+    x = F.regexp_replace(line, rf"(?i)(^|[^\p{{L}}.])({known})[.]", f"$1$2{stop}")
+    x = F.regexp_replace(x, r"(^|[^\p{L}])(\p{Lu})[.]", f"$1$2{stop}")
+    x = F.regexp_replace(x, r"[.](\d|\s+\p{Ll})", f"{stop}$1")
+    return F.transform(plain(x), lambda s: F.replace(s, F.lit(stop), F.lit(".")))
+
+
+def sentences(papers: DataFrame, clean: bool = False, split=plain) -> DataFrame:
+    """paper_idx, year, section, line_no, sent_idx, text: what `split` makes of each line, trimmed."""
+    rows = lines(papers, clean).select("paper_idx", "year", "section", "line_no", F.posexplode(split(F.col("line"))).alias("sent_idx", "text"))
     return rows.withColumn("text", F.trim("text")).where("text <> ''")
 
 
@@ -62,20 +118,52 @@ def build(papers: DataFrame, stop_words=None) -> tuple[DataFrame, DataFrame]:
     return tokens(papers, stop_words, clean=True), sentences(papers, clean=True)
 
 
-def lemmas(words: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """word -> lemma by suffix rules: the first rule whose result is in the lexicon (default: the words themselves).
+#: Stands for the word itself, after all rules.
+_SELF = len(SUFFIXES)
 
-    Works on distinct words, so each is looked up once whatever the corpus size.
+
+def _lemmatized(words: DataFrame, *carried: str) -> DataFrame:
+    """Distinct words with their lemma and the carried columns; the lexicon is the words themselves and the stop words.
+
+    Every word is sent to itself and to all that the suffix rules make of it; where a word or stop word lives, those sent there have found a
+    base. A word's group holds few: at most one for each rule. No table is joined with itself.
     """
-    words = words.select("word").distinct()
-    lexicon = (words if lexicon is None else lexicon.select("word").distinct()).withColumnRenamed("word", "base")
+    def by(rows: DataFrame, key: str, *aggregates) -> DataFrame:
+        """Grouped rows (word, rule, base); carried arrays stay with the row of the word itself."""
+        held = [F.when(F.col("rule") == _SELF, F.col(c)).alias(c) for c in carried]
+        return rows.select("word", "rule", "base", *held).groupBy(key).agg(*aggregates, *[F.flatten(F.collect_list(c)).alias(c) for c in carried])
+
+    itself = F.array(F.struct(F.lit(_SELF).alias("rule"), F.col("word").alias("base")))
+    sent = words.select("word", *carried, F.explode(F.concat(itself, _bases())).alias("t")).select("word", "t.*", *carried)
+    home = by(sent, "base", F.collect_list(F.struct("word", "rule")).alias("tries"))
+    lives = F.exists("tries", lambda x: x["rule"] == _SELF) | F.col("base").isin(list(STOP_WORDS))
+    found = home.where(lives).select("base", F.explode("tries").alias("t"), *carried).select("base", "t.*", *carried)
+    out = by(found, "word", F.min_by("base", "rule").alias("base"))
+    return out.select("word", F.coalesce(t.irregular(F.col("word")), "base").alias("lemma"), *carried)
+
+
+def _bases():
+    """What the suffix rules make of a word, as (rule, base)."""
     cases = [
         F.when(
-            F.col("word").endswith(end) & (F.length("word") > len(end) + 1),
+            F.col("word").endswith(end) & (F.length("word") >= SHORTEST + len(end) - len(to)),
             F.struct(F.lit(i).alias("rule"), F.concat(F.expr(f"substring(word, 1, length(word) - {len(end)})"), F.lit(to)).alias("base")),
         )
         for i, (_, end, to) in enumerate(SUFFIXES)
     ]
-    tries = words.select("word", F.explode(F.array_compact(F.array(*cases))).alias("t")).select("word", "t.rule", "t.base")
+    return F.array_compact(F.array(*cases))
+
+
+def lemmas(words: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """word -> lemma: by table of irregular forms, else by the first suffix rule whose result is in the lexicon, else the word itself.
+
+    The lexicon is the words themselves and the stop words, unless given. Works on distinct words, so each is looked up once
+    whatever the corpus size.
+    """
+    words = words.select("word").distinct()
+    if lexicon is None:
+        return _lemmatized(words)
+    lexicon = lexicon.select(F.col("word").alias("base")).distinct()
+    tries = words.select("word", F.explode(_bases()).alias("t")).select("word", "t.rule", "t.base")
     found = tries.join(lexicon, "base").groupBy("word").agg(F.min_by("base", "rule").alias("base"))
-    return words.join(found, "word", "left").select("word", F.coalesce(F.nullif(t.lemma_of(F.col("word")), F.col("word")), "base", "word").alias("lemma"))
+    return words.join(found, "word", "left").select("word", F.coalesce(t.irregular(F.col("word")), "base", "word").alias("lemma"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import textops as t
-from ..functions.lexicon import CLOSED, ENDINGS, IRREGULAR, STOP_WORDS, SUFFIXES
+from ..config import HEADED, SECTION_FILES, SECTIONS, Settings
+from ..functions.lexicon import CLOSED, ENDINGS, IRREGULAR, PENN, SHORTEST, STOP_WORDS, SUFFIXES
 from ..operators import examples as ex
 from ..operators import filters as fl
 from ..operators import index as ix
@@ -17,6 +18,7 @@ from ..operators import tokens as tk
 from ..operators import vocab as vb
 from ..sources import readers as rd
 from ..sources import writers as wr
+from . import batch
 from . import fixtures as fx
 
 # ---------------------------------------------------------------- bindings
@@ -26,17 +28,72 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
     return rd.documents_as_papers(spark, d)
 
 
-def told(rows: DataFrame) -> DataFrame:
-    """Tokens as the queries' SQL states them (TOK): of raw lines, lemmas by irregular forms only. The engine's own tk.build cleans and has suffix rules."""
-    return tk.tokens(rows, suffixes=False)
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """The first of every word in a unit: of cleaned lines, with lemmas by irregular forms and suffix rules."""
+    return tk.cells(papers(spark, d))
 
 
-def toks(spark: SparkSession, d: str) -> DataFrame:
-    return told(papers(spark, d))
+def index(spark: SparkSession, d: str) -> DataFrame:
+    return ix.frequency(cells(spark, d), papers(spark, d))
 
 
-def index(spark: SparkSession, d: str) -> DataFrame:
-    return ix.frequency(toks(spark, d), papers(spark, d))
+def assembled(spark: SparkSession, d: str) -> DataFrame:
+    return ix.assembled(cells(spark, d), papers(spark, d))
+
+
+def with_senses(spark: SparkSession, d: str) -> DataFrame:
+    return sn.attached(assembled(spark, d), book(spark, d))
+
+
+def book(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary of every word of the documents: a part of speech by the word's length, and a noun."""
+    text = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(t.runs("text")).alias("w"))
+    words = text.where(F.col("w").rlike("^[a-zA-Z]+$")).select(F.lower("w").alias("lemma")).distinct()
+    n = F.length("lemma")
+    pos = F.element_at(F.array(*map(F.lit, ("n", "v", "adj", "art"))), n % 4 + 1)
+    row = lambda p, m, o: F.struct(p.alias("pos"), m.alias("meaning"), F.lit(o).alias("ord"))
+    senses = F.array(row(pos, F.concat(F.lit("义"), n.cast("string")), 0), row(F.lit("n"), F.upper("lemma"), 1))
+    return words.select("lemma", F.explode(senses).alias("s")).select("lemma", "s.*")
+
+
+def book_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Examples of a vocabulary: for each word of the benchmark items, the first text that holds it."""
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select("text", F.explode(t.runs(F.lower("text"))).alias("lemma"))
+    return b.groupBy("lemma").agg(F.array(F.min("text")).alias("examples"))
+
+
+def exam_lines(spark: SparkSession, d: str) -> DataFrame:
+    """doc, line_no, line of exam papers made of the documents: headers, parts, marks, years, options and blanks stand among their lines."""
+    rows = tk.lines(papers(spark, d)).select("paper_idx", F.col("line_no").cast("int").alias("line_no"), "line")
+    n = (F.col("paper_idx") + F.col("line_no") * 3) % 23
+    line = F.when(n == 0, F.concat((1986 + F.col("paper_idx") % 40).cast("string"), F.lit("年全国硕士研究生入学统一考试英语试题")))
+    for i, x in EXAM_LINES.items():
+        line = line.when(n == i, F.lit(x))
+    line = line.when(n == 9, F.concat(F.lit("(47) "), "line")).when(n == 10, F.concat(F.lit("2. "), "line")).otherwise(F.col("line"))
+    return rows.select(F.col("paper_idx").cast("string").alias("doc"), "line_no", line.alias("line"))
+
+
+#: Lines that take a place of their own among the documents' lines.
+EXAM_LINES = {
+    1: "Section I Use of English", 2: "Section II Reading Comprehension", 3: "Part A", 4: "Part B", 5: "Section III Writing", 6: "Part C",
+    7: "", 8: "[A] one [B] two [C] three", 11: "中文译文在这里", 12: "Directions: Read the text.", 13: "Section III Translation", 14: "lone",
+}
+
+
+def exams(spark: SparkSession, d: str, fixture) -> DataFrame:
+    return exam_lines(spark, d).unionByName(fx.frame(spark, fixture))
+
+
+def book_pages(spark: SparkSession, d: str) -> DataFrame:
+    """doc, page, line_no, line of vocabulary books made of the documents: titles, entries, senses and examples, four lines a page."""
+    rows = tk.lines(papers(spark, d)).select("paper_idx", F.col("line_no").cast("int").alias("line_no"), "line")
+    n = (F.col("paper_idx") + F.col("line_no") * 5) % 11
+    word, no = F.regexp_extract("line", "[a-z]{3,}", 0), F.col("line_no").cast("string")
+    line = F.when(n == 0, F.concat(F.lpad(no, 3, "0"), F.lit(" core —— 核心")))
+    line = line.when(n.isin(1, 2, 3), F.concat(no, F.lit(" "), word, F.lit(" v. 放弃"), F.lit(" "), word))
+    line = line.when(n == 4, F.concat(F.lit("adj. 能干的"), word)).when(n == 5, F.concat(F.lit("n. "), word)).when(n == 6, F.concat(F.lit("Page "), no))
+    line = line.when(n == 7, F.lit("单词 释义 例句")).when(n == 8, F.concat(F.lit("附录"), word)).otherwise(F.col("line"))
+    return rows.select(F.col("paper_idx").cast("string").alias("doc"), F.floor(F.col("line_no") / 4 + 1).cast("int").alias("page"), "line_no", line.alias("line"))
 
 
 def level_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -54,18 +111,8 @@ def groups(spark: SparkSession, d: str) -> DataFrame:
     return words.select(F.concat(F.lit("g"), F.col("g").cast("string")).alias("grp"), F.lower("word").alias("lemma")).distinct()
 
 
-def full_index(spark: SparkSession, d: str) -> DataFrame:
-    tok = toks(spark, d)
-    return ix.frequency(tok, papers(spark, d)).join(ix.variants(tok), "lemma").join(ix.count_sums(tok), "lemma").join(ix.first_seen(tok), "lemma")
-
-
-def senses(spark: SparkSession, d: str) -> DataFrame:
-    return sn.with_fallback(ix.pos_counts(toks(spark, d)), fx.frame(spark, fx.SENSES))
-
-
 def all_examples(spark: SparkSession, d: str) -> DataFrame:
-    p = papers(spark, d)
-    return ex.examples(told(p), tk.sentences(p))
+    return ex.found(papers(spark, d))
 
 
 # ---------------------------------------------------------------- SQL building blocks
@@ -78,24 +125,83 @@ _POS = (
 )
 _EN = r"(CASE WHEN length(regexp_replace({0}, '\s', '', 'g')) > 0 THEN len(regexp_extract_all({0}, '[a-zA-Z]')) / length(regexp_replace({0}, '\s', '', 'g')) ELSE 0.0 END)"
 _ZH = _EN.replace("[a-zA-Z]", "[一-鿿]")
-LINES = (
-    "lines AS (SELECT doc_id AS paper_idx, source AS year, lang AS section, unnest(string_split(text, chr(10))) AS line, "
-    "generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL)"
-)
-TOK = (
-    f"{LINES}, raw AS (SELECT paper_idx, year, section, line_no, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+')) AS word, "
-    f"generate_subscripts(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+'), 1) - 1 AS tok_idx FROM lines WHERE {_EN.format('line')} > 0.3), "
-    "low AS (SELECT *, lower(word) AS w FROM raw WHERE regexp_full_match(word, '[a-zA-Z]+') AND length(word) BETWEEN 2 AND 28 "
-    f"AND NOT (contains(lower(word), 'answer') AND contains(lower(word), 'sheet')) AND lower(word) NOT IN ({_STOP})), "
-    f"tok AS (SELECT *, {_IRR} AS lemma, {_POS} AS pos FROM low WHERE {_IRR} NOT IN ({_STOP}) AND length({_IRR}) >= 2)"
-)
-TOTAL = "(SELECT count(*) FROM (SELECT DISTINCT source, lang FROM documents))"
-IDX = f"{TOK}, idx AS (SELECT lemma, count(*) AS units, count(*) / {TOTAL} AS frequency FROM (SELECT DISTINCT lemma, year, section FROM tok) GROUP BY lemma)"
+def lines_sql(where: str = "true") -> str:
+    return (
+        "lines AS (SELECT doc_id AS paper_idx, source AS year, lang AS section, unnest(string_split(text, chr(10))) AS line, "
+        f"generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL AND {where})"
+    )
+
+
+LINES = lines_sql()
+
+
+def _re(p: str) -> str:
+    return "(?i)" + p.replace("'", "''")
+
+
+def _clean_sql(source: str, rows: str, p: str = "c") -> str:
+    """One pass of the paragraph cleaner as CTEs p1..p6 over `source`(rows..., x)."""
+    trim = lambda e: f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    ten = f"regexp_extract(x, '{_re(t.TEN_POINTS)}', 1)"
+    spaces = trim("regexp_replace(x, '\\s+', ' ', 'g')")
+    bare = trim(f"replace(replace({spaces}, '[[', ''), ']]', '')")
+    undirected = trim("regexp_replace(x, '(?i)^Directions[:：]?\\s*', '')")
+    return (
+        f"{p}1 AS (SELECT {rows}, {bare} AS x FROM {source}), "
+        f"{p}2 AS (SELECT {rows}, {undirected} AS x FROM {p}1), "
+        f"{p}3 AS (SELECT {rows}, CASE WHEN x <> '' AND NOT regexp_matches(x, '{_re(t.HEADING)}') THEN x END AS x FROM {p}2), "
+        f"{p}4 AS (SELECT {rows}, CASE WHEN NOT regexp_matches(x, '(?i)({'|'.join(t.INSTRUCTIONS)})') THEN x WHEN length(trim({ten})) > 30 THEN trim({ten}) END AS x FROM {p}3), "
+        f"{p}5 AS (SELECT {rows}, trim(regexp_replace(x, '(?is){t.NUMBERED_OPTION}.*$', '')) AS x FROM {p}4), "
+        f"{p}6 AS (SELECT {rows}, CASE WHEN x <> '' AND len(regexp_extract_all(x, '{_re(t.OPTION)}')) < 2 AND NOT regexp_matches(x, '{_re('^(?:' + t.OPTION + ')')}') "
+        f"AND NOT regexp_matches(x, '{_re(t.QUESTION_START)}') AND NOT (regexp_matches(x, '{_re(t.QUESTION_HINT)}') AND length(x) < 180) AND {_EN.format('x')} > 0.15 THEN x END AS x FROM {p}5)"
+    )
+
+
+def _tries(source: str) -> str:
+    """What the suffix rules make of the words w of a table."""
+    return " UNION ALL ".join(
+        f"SELECT w, {i} AS rule, left(w, length(w) - {len(e)}) || '{to}' AS base FROM {source} WHERE ends_with(w, '{e}') AND length(w) >= {SHORTEST + len(e) - len(to)}"
+        for i, (_, e, to) in enumerate(SUFFIXES)
+    )
+
+
+_FORM = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IRREGULAR.items()) + " END"
+_STOPS = "SELECT unnest([" + _STOP + "]) AS w"
+
+
+def tok_sql(where: str = "true", words: str = r"regexp_extract_all(line, '[\p{L}\p{N}_]+')") -> str:
+    """Cleaned lines (cl), and the tokens of lines with enough English (tok) with lemma and pos."""
+    return (
+        f"{lines_sql(where)}, src0 AS (SELECT paper_idx, year, section, line_no, line AS x FROM lines), {_clean_sql('src0', 'paper_idx, year, section, line_no')}, "
+        "cl AS (SELECT paper_idx, year, section, line_no, x AS line FROM c6 WHERE x IS NOT NULL), "
+        f"raw AS (SELECT paper_idx, year, section, line_no, unnest({words}) AS word, generate_subscripts({words}, 1) - 1 AS tok_idx FROM cl WHERE {_EN.format('line')} > 0.3), "
+        "low AS (SELECT *, lower(word) AS w FROM raw WHERE regexp_full_match(word, '[a-zA-Z]+') AND length(word) BETWEEN 2 AND 28 "
+        f"AND NOT (contains(lower(word), 'answer') AND contains(lower(word), 'sheet')) AND lower(word) NOT IN ({_STOP})), "
+        f"ws AS (SELECT DISTINCT w FROM low), lx AS (SELECT w FROM ws UNION {_STOPS}), tr AS ({_tries('ws')}), "
+        "fd AS (SELECT w, arg_min(base, rule) AS base FROM tr WHERE base IN (SELECT w FROM lx) GROUP BY w), "
+        f"nm AS (SELECT w, coalesce({_FORM}, base, w) AS lemma, {_POS} AS pos FROM ws LEFT JOIN fd USING (w)), "
+        f"tok AS (SELECT low.*, lemma, pos FROM low JOIN nm USING (w) WHERE lemma NOT IN ({_STOP}) AND length(lemma) >= 2)"
+    )
+
+
+TOK = tok_sql()
+
+
+def idx_sql(where: str = "true") -> str:
+    total = f"(SELECT count(*) FROM (SELECT DISTINCT source, lang FROM documents WHERE {where}))"
+    return f"{tok_sql(where)}, idx AS (SELECT lemma, count(*) AS units, count(*) / {total} AS frequency FROM (SELECT DISTINCT lemma, year, section FROM tok) GROUP BY lemma)"
+
+
+IDX = idx_sql()
 POSC = "posc AS (SELECT lemma, pos, count(*) AS pos_count FROM (SELECT DISTINCT lemma, pos, year, section FROM tok) GROUP BY lemma, pos)"
-VARS = "vars AS (SELECT lemma, list_sort(list(DISTINCT lower(word))) AS variants FROM tok GROUP BY lemma)"
+VARS = "vars AS (SELECT lemma, list_sort(list(DISTINCT w)) AS variants FROM tok GROUP BY lemma)"
 SEEN = "seen AS (SELECT lemma, min((paper_idx, line_no, tok_idx)) AS first_seen FROM tok GROUP BY lemma)"
 SUMS = "sums AS (SELECT lemma, sum(pos_count)::BIGINT AS count_sum FROM posc GROUP BY lemma)"
-HIT = f"sense AS (SELECT * FROM {fx.values(fx.SENSES)}), hit AS (SELECT s.lemma, s.pos, s.meaning, p.pos_count, s.ord FROM sense s JOIN posc p USING (lemma, pos))"
+BOOK = (
+    r"bw AS (SELECT DISTINCT lower(u) AS lemma FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS u FROM documents) WHERE regexp_full_match(u, '[a-zA-Z]+')), "
+    "sense AS (SELECT lemma, ['n', 'v', 'adj', 'art'][length(lemma) % 4 + 1] AS pos, '义' || length(lemma) AS meaning, 0 AS ord FROM bw UNION ALL SELECT lemma, 'n', upper(lemma), 1 FROM bw)"
+)
+HIT = f"{BOOK}, hit AS (SELECT s.lemma, s.pos, s.meaning, p.pos_count, s.ord FROM sense s JOIN posc p USING (lemma, pos))"
 SENSE = f"{HIT}, senses AS (SELECT * FROM hit UNION ALL SELECT lemma, pos, '', pos_count, row_number() OVER (PARTITION BY lemma ORDER BY pos) - 1 FROM posc WHERE lemma NOT IN (SELECT lemma FROM hit))"
 LEVEL = (
     "lists AS (SELECT DISTINCT ['primary', 'zhongkao', 'gaokao', 'cet4'][item_id % 4 + 1] AS level, lower(word) AS word FROM "
@@ -109,14 +215,19 @@ LEVELS = (
 )
 GROUPS = (
     "grps AS (SELECT DISTINCT 'g' || g AS grp, lower(word) AS lemma FROM (SELECT doc_id % 50 AS g, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS word "
-    "FROM documents WHERE doc_id % 50 < 4) WHERE regexp_full_match(word, '[a-zA-Z]+'))"
-)
-SENT = (
-    "snt AS (SELECT paper_idx, year, section, line_no, sent_idx, trim(s) AS text FROM (SELECT *, unnest(regexp_extract_all(line, '[^.!?]+[.!?]*')) AS s, "
-    "generate_subscripts(regexp_extract_all(line, '[^.!?]+[.!?]*'), 1) - 1 AS sent_idx FROM lines) WHERE trim(s) <> '')"
+    "FROM documents) WHERE regexp_full_match(word, '[a-zA-Z]+'))"
 )
+
+
+def sent_sql(lines: str) -> str:
+    return (
+        f"snt AS (SELECT paper_idx, year, section, line_no, sent_idx, trim(s) AS text FROM (SELECT *, unnest(regexp_extract_all(line, '[^.!?]+[.!?]*')) AS s, "
+        f"generate_subscripts(regexp_extract_all(line, '[^.!?]+[.!?]*'), 1) - 1 AS sent_idx FROM {lines}) WHERE trim(s) <> '')"
+    )
+
+
 EXAM = (
-    f"{SENT}, wrd AS (SELECT paper_idx, w AS word, lemma, pos, min((line_no, tok_idx)) AS tok FROM tok GROUP BY ALL), "
+    f"{sent_sql('cl')}, wrd AS (SELECT paper_idx, w AS word, lemma, pos, min((line_no, tok_idx)) AS tok FROM tok GROUP BY ALL), "
     "told AS (SELECT DISTINCT paper_idx, year, section, line_no AS para_idx, sent_idx, text, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM snt), "
     "exa AS (SELECT * FROM (SELECT lemma, pos, text, word, year, section, paper_idx, para_idx, sent_idx, row_number() OVER (PARTITION BY lemma, pos, text "
     "ORDER BY paper_idx, para_idx, sent_idx, tok) AS rn FROM wrd JOIN told USING (paper_idx, word)) WHERE rn = 1)"
@@ -125,30 +236,104 @@ BANDS = "CASE WHEN frequency >= {0} THEN 'high' WHEN frequency >= {1} THEN 'medi
 SERVE = f"{IDX}, {POSC}, {VARS}, {SEEN}, {SUMS}, srv AS (SELECT * FROM idx JOIN vars USING (lemma) JOIN sums USING (lemma) JOIN seen USING (lemma))"
 
 
-def _re(p: str) -> str:
-    return "(?i)" + p.replace("'", "''")
+_EXAM_SQL = (
+    "CASE (paper_idx + line_no * 3) % 23 WHEN 0 THEN (1986 + paper_idx % 40) || '年全国硕士研究生入学统一考试英语试题' " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in EXAM_LINES.items())
+    + " WHEN 9 THEN '(47) ' || line WHEN 10 THEN '2. ' || line ELSE line END"
+)
 
 
-def _clean_sql(source: str, rows: str) -> str:
-    """One pass of the paragraph cleaner as CTEs c1..c6 over `source`(rows..., x)."""
-    trim = lambda e: f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
-    ten = f"regexp_extract(x, '{_re(t.TEN_POINTS)}', 1)"
-    spaces = trim("regexp_replace(x, '\\s+', ' ', 'g')")
-    bare = trim(f"replace(replace({spaces}, '[[', ''), ']]', '')")
-    undirected = trim("regexp_replace(x, '(?i)^Directions[:：]?\\s*', '')")
+def exams_sql(fixture) -> str:
+    return f"{LINES}, exl AS (SELECT paper_idx::VARCHAR AS doc, line_no::INT AS line_no, {_EXAM_SQL} AS line FROM lines UNION ALL SELECT * FROM {fx.values(fixture)})"
+
+
+_WIN = "(PARTITION BY doc ORDER BY line_no {})"
+_ROWS = _WIN.format("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+_FULL = _WIN.format("ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+
+
+def keyed_sql(src: str) -> str:
+    """km(doc, line_no, line, ev, key, seg, headed): the section of every line."""
+    heads = " ".join(f"WHEN regexp_matches(l, '{'|'.join(words)}') THEN '{key}'" for key, words in ln.HEADERS)
+    return (
+        rf"kf AS (SELECT *, lower(regexp_replace(line, '\s+', '', 'g')) AS l, nullif(upper(regexp_extract(trim(line), '^Part\s*([ABCabc])\b', 1)), '') AS pt FROM {src}), "
+        f"kg AS (SELECT *, CASE WHEN contains(l, 'section') OR contains(l, 'part') THEN CASE {heads} END END AS hd FROM kf), "
+        f"kh AS (SELECT *, coalesce(last_value(CASE WHEN hd IS NOT NULL THEN starts_with(hd, 'writing') WHEN pt = 'C' THEN false END IGNORE NULLS) OVER {_ROWS}, false) AS wr FROM kg), "
+        "kk AS (SELECT *, CASE WHEN hd IS NOT NULL THEN hd WHEN pt = 'C' THEN 'reading_c' WHEN pt IS NOT NULL THEN CASE WHEN wr THEN 'writing_' ELSE 'reading_' END || lower(pt) END AS ev FROM kh), "
+        f"km AS (SELECT *, last_value(ev IGNORE NULLS) OVER {_ROWS} AS key, sum((ev IS NOT NULL)::INT) OVER {_ROWS} AS seg, "
+        f"last_value(CASE WHEN ev IS NOT NULL THEN hd IS NOT NULL END IGNORE NULLS) OVER {_ROWS} AS headed FROM kk)"
+    )
+
+
+def marks_sql(src: str) -> str:
+    """mk(doc, line_no, line): numbered translation lines in double brackets."""
     return (
-        f"c1 AS (SELECT {rows}, {bare} AS x FROM {source}), "
-        f"c2 AS (SELECT {rows}, {undirected} AS x FROM c1), "
-        f"c3 AS (SELECT {rows}, CASE WHEN x <> '' AND NOT regexp_matches(x, '{_re(t.HEADING)}') THEN x END AS x FROM c2), "
-        f"c4 AS (SELECT {rows}, CASE WHEN NOT regexp_matches(x, '{_re(t.INSTRUCTION)}') THEN x WHEN length(trim({ten})) > 30 THEN trim({ten}) END AS x FROM c3), "
-        f"c5 AS (SELECT {rows}, trim(regexp_replace(x, '(?is){t.NUMBERED_OPTION}.*$', '')) AS x FROM c4), "
-        f"c6 AS (SELECT {rows}, CASE WHEN x <> '' AND len(regexp_extract_all(x, '{_re(t.OPTION)}')) < 2 AND NOT regexp_matches(x, '{_re('^(?:' + t.OPTION + ')')}') "
-        f"AND NOT regexp_matches(x, '{_re(t.QUESTION_START)}') AND NOT (regexp_matches(x, '{_re(t.QUESTION_HINT)}') AND length(x) < 180) AND {_EN.format('x')} > 0.15 THEN x END AS x FROM c5)"
+        f"mf AS (SELECT *, trim(line) AS s FROM {src}), "
+        f"me AS (SELECT *, CASE WHEN regexp_matches(line, '{t.TRANSLATION_MARK}') THEN 'o' WHEN s = '' OR ({_EN.format('s')} < 0.1 AND {_ZH.format('s')} > 0.3) THEN 'c' END AS ev FROM mf), "
+        f"mg AS (SELECT *, sum((coalesce(ev, '') = 'o')::INT) OVER {_ROWS} AS seg, last_value(ev IGNORE NULLS) OVER {_FULL} AS pv FROM me), "
+        "mh AS (SELECT *, coalesce(ev = 'o', false) OR (ev IS NULL AND coalesce(pv = 'o', false)) AS inside FROM mg), "
+        "mk AS (SELECT doc, min(line_no)::INT AS line_no, '[[' || array_to_string(list(s ORDER BY line_no), ' ') || ']]' AS line FROM mh WHERE inside GROUP BY doc, seg "
+        "UNION ALL SELECT doc, line_no, CASE WHEN s = '' THEN '' ELSE line END FROM mh WHERE NOT inside)"
     )
 
 
-_ROWS = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-_FULL = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+def paras_sql(src: str) -> str:
+    """pr(doc, para, text): cleaned paragraphs."""
+    return (
+        f"pf AS (SELECT *, trim(line) AS s FROM {src}), pg AS (SELECT *, starts_with(s, '[[') OR regexp_matches(line, '{t.TRANSLATION_MARK}') AS mk FROM pf), "
+        f"ph AS (SELECT *, s = '' OR regexp_matches(s, '{t.CHOICE_LINE}') OR regexp_matches(s, '(?i){t.HEADER_LINE}') OR (NOT mk AND {_EN.format('s')} < 0.05) AS dr FROM pg), "
+        f"pk AS (SELECT *, (mk AND NOT dr) AS m2 FROM ph), pn AS (SELECT *, coalesce(lag(m2) OVER {_WIN.format('')}, false) AS af FROM pk), po AS (SELECT *, sum((dr OR m2 OR af)::INT) OVER {_ROWS} AS para FROM pn), "
+        f"psrc AS (SELECT doc, para::BIGINT AS para, array_to_string(list(s ORDER BY line_no), ' ') AS x FROM po WHERE NOT dr GROUP BY doc, para), {_clean_sql('psrc', 'doc, para', 'q')}, "
+        "pr AS (SELECT doc, para, x AS text FROM q6 WHERE x IS NOT NULL)"
+    )
+
+
+REJOIN = r"regexp_replace(regexp_replace({0}, '([\p{{L}}\p{{N}}_]+)-\s*\n\s*([\p{{L}}\p{{N}}_]+)', '\1\2', 'g'), '\n\s*([a-z]{{2,}})\s*\n', '\1' || chr(10), 'g')"
+
+
+def _meaning_sql(x: str) -> str:
+    """The book's meaning cleaner."""
+    bare = lambda e: f"trim({e}, '{t.PUNCT}')"
+    x = bare(f"trim({x})")
+    cut = rf"regexp_extract({x}, '^([\s\S]*?{t.HAN})\s*[a-zA-Z].*$', 1)"
+    han = f"CASE WHEN {cut} <> '' THEN trim({cut}) ELSE {x} END"
+    head = rf"regexp_split_to_array({han}, '\s+')[1]"
+    return bare(f"CASE WHEN regexp_matches({x}, '{t.HAN}') THEN CASE WHEN regexp_matches({head}, '{t.HAN}') THEN {head} ELSE {han} END ELSE {x} END")
+
+
+_BOOK_LINE = (
+    "CASE (paper_idx + line_no * 5) % 11 WHEN 0 THEN lpad(line_no::VARCHAR, 3, '0') || ' core —— 核心' WHEN 4 THEN 'adj. 能干的' || word WHEN 5 THEN 'n. ' || word WHEN 6 THEN 'Page ' || line_no "
+    "WHEN 7 THEN '单词 释义 例句' WHEN 8 THEN '附录' || word WHEN 9 THEN line WHEN 10 THEN line ELSE line_no || ' ' || word || ' v. 放弃 ' || word END"
+)
+
+
+def entries_sql(main: bool, fixture) -> str:
+    """ent(doc, lemma, page, line_no, group_title, senses, examples) of the books made of documents and of a fixture."""
+    rows = (
+        f"{LINES}, bl AS (SELECT paper_idx::VARCHAR AS doc, line_no // 4 + 1 AS page, line_no, {_BOOK_LINE} AS line FROM (SELECT *, regexp_extract(line, '[a-z]{{3,}}') AS word FROM lines) "
+        f"UNION ALL SELECT 'fixture', page, line_no, line FROM {fx.values(fixture)})"
+    )
+    title = f"regexp_matches(s, '{vb.TITLE}')" if main else "false"
+    part = "PARTITION BY doc, page" if main else "PARTITION BY doc"
+    back = f"({part} ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ahead = f"({part} ORDER BY page, line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    named = rf"last_value(CASE WHEN kind = 'title' THEN regexp_replace(s, '\s*——\s*', ' —— ') END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    kept = "closed > 0 OR page = last_page" if main else "true"
+    raw = f"CASE kind WHEN 'entry' THEN regexp_extract(s, '{vb.ENTRY}', 4) ELSE regexp_extract(s, '{vb.SENSE}', 2) END"
+    pos = f"CASE kind WHEN 'entry' THEN regexp_extract(s, '{vb.ENTRY}', 3) ELSE regexp_extract(s, '{vb.SENSE}', 1) END"
+    return (
+        f"{rows}, b1 AS (SELECT *, trim(line) AS s, max(page) OVER (PARTITION BY doc) AS last_page FROM bl), b2 AS (SELECT * FROM b1 WHERE NOT regexp_matches(s, '{vb.SKIP}'){'' if main else ' AND NOT starts_with(s, ' + chr(39) + '附录' + chr(39) + ')'}), "
+        f"b3 AS (SELECT *, CASE WHEN {title} THEN 'title' WHEN regexp_matches(s, '{vb.ENTRY}') THEN 'entry' WHEN regexp_matches(s, '{vb.SENSE}') THEN 'sense' WHEN {_EN.format('s')} > 0.5 THEN 'example' END AS kind FROM b2), "
+        f"b4 AS (SELECT *, last_value(CASE WHEN kind IN ('entry', 'title') THEN (kind, page, line_no) END IGNORE NULLS) OVER {back} AS op, first_value(CASE WHEN kind = 'entry' THEN (page, line_no) END IGNORE NULLS) OVER {ahead} AS nx, "
+        f"count(CASE WHEN kind IN ('entry', 'title') THEN 1 END) OVER {ahead} AS closed, {named if main else 'NULL'} AS title FROM b3 WHERE kind IS NOT NULL), "
+        "b5 AS (SELECT *, CASE WHEN op[1] = 'entry' THEN (op[2], op[3]) ELSE nx END AS own FROM b4), "
+        f"hd AS (SELECT doc, (page, line_no) AS own, page, line_no, lower(regexp_extract(s, '{vb.ENTRY}', 2)) AS lemma, coalesce(title, '') AS group_title FROM b5 WHERE kind = 'entry' AND ({kept})), "
+        f"s1 AS (SELECT doc, own, page, line_no, kind, {pos} AS pos, {raw} AS raw FROM b5 WHERE kind IN ('entry', 'sense')), s2 AS (SELECT *, {_meaning_sql('raw')} AS meaning FROM s1), "
+        "s3 AS (SELECT doc, own, pos, meaning, min((page, line_no)) AS pl FROM s2 WHERE pos <> '' AND CASE WHEN kind = 'entry' THEN raw <> '' ELSE meaning <> '' END GROUP BY doc, own, pos, meaning), "
+        "s4 AS (SELECT doc, own, array_to_string(list(pos || ' ' || meaning ORDER BY pl), '; ') AS senses, list((pos, meaning) ORDER BY pl) AS each_ FROM s3 GROUP BY doc, own), "
+        "x1 AS (SELECT doc, own, list_slice(list(s ORDER BY page, line_no), 1, 5) AS said FROM b5 WHERE kind = 'example' GROUP BY doc, own), "
+        "ent AS (SELECT hd.doc, lemma, hd.page, hd.line_no, group_title, coalesce(senses, '') AS senses, coalesce(array_to_string(said, '; '), '') AS examples, each_ FROM hd LEFT JOIN s4 ON hd.doc = s4.doc AND hd.own = s4.own LEFT JOIN x1 ON hd.doc = x1.doc AND hd.own = x1.own)"
+    )
+
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -167,7 +352,7 @@ def query(sql: str | None = None):
 # ---------------------------------------------------------------- the index
 
 
-@query(f"SELECT count(*) AS total_units FROM (SELECT DISTINCT source, lang FROM documents)")
+@query("SELECT count(*) AS total_units FROM (SELECT DISTINCT source, lang FROM documents)")
 def q01_total_units(spark, d):
     return ix.total_units(tk.active(papers(spark, d)))
 
@@ -189,20 +374,17 @@ def q04_band_rows_custom_thresholds(spark, d):
 
 @query(f"WITH {TOK}, {POSC}, {SUMS} SELECT lemma, pos, pos_count, count_sum FROM posc JOIN sums USING (lemma)")
 def q05_pos_counts(spark, d):
-    p = ix.pos_counts(toks(spark, d))
-    return p.join(p.groupBy("lemma").agg(F.sum("pos_count").alias("count_sum")), "lemma")
+    return assembled(spark, d).select("lemma", F.explode("pos_counts").alias("pos", "pos_count"), "count_sum")
 
 
 @query(f"WITH {TOK}, {VARS} SELECT lemma, array_to_string(variants, ' ') AS variants FROM vars")
 def q06_variants(spark, d):
-    return ix.variants(toks(spark, d)).withColumn("variants", F.array_join("variants", " "))
+    return ix.variants(cells(spark, d)).withColumn("variants", F.array_join("variants", " "))
 
 
 @query(f"WITH {IDX}, {SEEN} SELECT lemma, units, frequency FROM idx JOIN seen USING (lemma) ORDER BY frequency DESC, first_seen LIMIT 50 OFFSET 50")
 def q07_words_by_frequency(spark, d):
-    tok = toks(spark, d)
-    rows = ix.frequency(tok, papers(spark, d)).join(ix.first_seen(tok), "lemma")
-    return sv.page(rows, "frequency", "desc", 2, 50).drop("first_seen")
+    return sv.page(assembled(spark, d), "frequency", "desc", 2, 50).select("lemma", "units", "frequency")
 
 
 @query(f"WITH {IDX} SELECT lemma, units, frequency FROM idx ORDER BY lemma LIMIT 50")
@@ -212,7 +394,7 @@ def q08_words_by_lemma_inverted(spark, d):
 
 @query(f"WITH {IDX}, {VARS} SELECT lemma, units, frequency, 'ing' AS needle FROM idx JOIN vars USING (lemma) WHERE contains(lemma, 'ing') OR len(list_filter(variants, lambda v: contains(v, 'ing'))) > 0 UNION ALL SELECT lemma, units, frequency, '%' FROM idx WHERE contains(lemma, '%')")
 def q09_words_search(spark, d):
-    rows = index(spark, d).join(ix.variants(toks(spark, d)), "lemma")
+    rows = assembled(spark, d)
     out = [sv.search(rows, s).select("lemma", "units", "frequency", F.lit(s.lower()).alias("needle")) for s in ("ING", "%")]
     return out[0].unionByName(out[1])
 
@@ -234,40 +416,41 @@ def q12_level_difference_sets(spark, d):
 
 @query(f"WITH {TOK} SELECT lemma, count(*) AS n FROM tok GROUP BY lemma")
 def q13_stopword_filter(spark, d):
-    return toks(spark, d).groupBy("lemma").agg(F.count("*").alias("n"))
+    return cells(spark, d).groupBy("lemma").agg(F.sum("n_tokens").alias("n"))
 
 
-@query(
-    f"WITH {TOK}, act AS (SELECT * FROM tok WHERE NOT (year = 'src1' AND section = 'en')) SELECT lemma, count(*) AS units, count(*) / (SELECT count(*) FROM (SELECT DISTINCT source, lang FROM documents "
-    "WHERE NOT (source = 'src1' AND lang = 'en'))) AS frequency FROM (SELECT DISTINCT lemma, year, section FROM act) GROUP BY lemma"
-)
+@query(f"WITH {idx_sql(chr(40) + 'source IS DISTINCT FROM ' + chr(39) + 'src1' + chr(39) + ' OR lang IS DISTINCT FROM ' + chr(39) + 'en' + chr(39) + ')')} SELECT lemma, units, frequency FROM idx")
 def q14_toggle_section(spark, d):
     p = tk.active(tk.toggle(papers(spark, d), "src1", "en", False))
-    return ix.frequency(told(p), p)
+    return ix.frequency(tk.cells(p), p)
 
 
-@query(
-    f"WITH {TOK}, act AS (SELECT * FROM tok WHERE year <> 'src2') SELECT lemma, count(*) AS units, count(*) / (SELECT count(*) FROM (SELECT DISTINCT source, lang FROM documents WHERE source <> 'src2')) AS frequency "
-    "FROM (SELECT DISTINCT lemma, year, section FROM act) GROUP BY lemma"
-)
+@query(f"WITH {idx_sql('source IS DISTINCT FROM ' + chr(39) + 'src2' + chr(39))} SELECT lemma, units, frequency FROM idx")
 def q15_delete_year(spark, d):
     p = fl.delete_year(papers(spark, d), "src2")
-    return ix.frequency(told(p), p)
+    return ix.frequency(tk.cells(p), p)
+
 
+_SAID = "len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))"
 
-@query("SELECT source AS year, count(*) AS section_count, sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::BIGINT AS sentence_count FROM documents GROUP BY source")
+
+@query(
+    f"SELECT source AS year, '英语一' AS kind, count(*) AS section_count, sum({_SAID})::BIGINT AS sentence_count, array_to_string(list(doc_id || ' ' || lang || ' ' || {_SAID} || ' true' ORDER BY doc_id), '; ') AS sections "
+    "FROM documents GROUP BY source"
+)
 def q16_papers_by_year(spark, d):
-    return ix.papers_by_year(papers(spark, d))
+    told = F.transform("sections", lambda x: F.concat_ws(" ", x["paper_idx"].cast("string"), x["section"], x["sentence_count"].cast("string"), x["enabled"].cast("string")))
+    return ix.papers_by_year(papers(spark, d)).withColumn("sections", F.array_join(told, "; "))
 
 
 @query(f"WITH {TOK}, {POSC}, {HIT} SELECT lemma, pos, meaning, pos_count FROM hit")
 def q17_sense_join(spark, d):
-    return sn.matched(ix.pos_counts(toks(spark, d)), fx.frame(spark, fx.SENSES)).drop("ord")
+    return sn.matched(ix.pos_counts(cells(spark, d)), book(spark, d)).drop("ord")
 
 
 @query(f"WITH {TOK}, {POSC}, {SENSE} SELECT lemma, pos, meaning, pos_count FROM senses")
 def q18_sense_fallback(spark, d):
-    return senses(spark, d).drop("ord")
+    return sn.sense_rows(with_senses(spark, d)).drop("ord")
 
 
 @query(f"WITH {TOK}, {EXAM} SELECT lemma, pos, text, word, year, section FROM exa")
@@ -276,17 +459,20 @@ def q19_examples(spark, d):
 
 
 _TOP = (
-    f"WITH {TOK}, {POSC}, {SENSE}, {EXAM}, best AS (SELECT lemma, pos FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY pos_count DESC, ord) AS k FROM senses) WHERE k = 1) "
-    "SELECT lemma, pos, text FROM (SELECT lemma, pos, text, row_number() OVER (PARTITION BY lemma ORDER BY length(text), paper_idx, para_idx, sent_idx) AS k FROM exa JOIN best USING (lemma, pos)) WHERE k = 1"
+    f"{TOK}, {POSC}, {SENSE}, {EXAM}, best AS (SELECT lemma, pos FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY pos_count DESC, ord) AS k FROM senses) WHERE k = 1), "
+    "top AS (SELECT lemma, pos, text FROM (SELECT lemma, pos, text, row_number() OVER (PARTITION BY lemma ORDER BY length(text), paper_idx, para_idx, sent_idx) AS k FROM exa JOIN best USING (lemma, pos)) WHERE k = 1)"
 )
 
 
-@query(_TOP)
+@query(f"WITH {_TOP} SELECT lemma, pos, text FROM top")
 def q20_top_example(spark, d):
-    return ex.top_example(all_examples(spark, d), senses(spark, d))
+    return ex.top_example(all_examples(spark, d), sn.sense_rows(with_senses(spark, d)))
 
 
-@query(f"WITH {TOK}, {EXAM} SELECT lemma, pos, text, year, section FROM exa WHERE lemma = 'idiot' AND pos = 'n'")
+_NOUN = "(SELECT lemma FROM exa WHERE pos = 'n' GROUP BY lemma ORDER BY count(*) DESC, lemma LIMIT 1)"
+
+
+@query(f"WITH {TOK}, {POSC}, {EXAM} SELECT lemma, pos, text, year, section FROM exa WHERE lemma = 'idiot' AND pos = 'n'")
 def q21_sense_detail(spark, d):
     return all_examples(spark, d).where("lemma = 'idiot' and pos = 'n'").select("lemma", "pos", "text", "year", "section")
 
@@ -295,32 +481,31 @@ def q21_sense_detail(spark, d):
     f"WITH {IDX} SELECT lemma, 'index' AS source, units, '' AS meaning FROM idx WHERE lemma = 'idiot' UNION ALL SELECT lemma, 'dictionary', 0, meaning FROM {fx.values((fx.SENSES[0], [('zebra', 'n', '斑马', 0)]))} WHERE lemma = 'zebra'"
 )
 def q22_word_detail_hit_miss(spark, d):
-    idx, book = index(spark, d), spark.createDataFrame([("zebra", "n", "斑马", 0)], fx.SENSES[0])
-    return sn.lookup("idiot", idx, book).unionByName(sn.lookup("zebra", idx, book))
+    idx, known = index(spark, d), spark.createDataFrame([("zebra", "n", "斑马", 0)], fx.SENSES[0])
+    return sn.lookup("idiot", idx, known).unionByName(sn.lookup("zebra", idx, known))
 
 
-_JS = "list_transform(list_slice(list_sort(list((ord, pos, meaning, pos_count))), 1, 5), lambda s: s[2] || '. ' || s[3]{0})"
-_CNT = " || ' (' || s[4]::VARCHAR || '次)'"
+_JS = "list_transform(list_slice(list_sort(list((ord, pos, meaning, pos_count))), 1, 5), lambda s: s[2] || '. ' || s[3] || ' (' || s[4]::VARCHAR || '{0})')"
 
 
-def _told(count: str) -> str:
-    return f"tld AS (SELECT lemma, array_to_string({_JS.format(count)}, '; ') AS told FROM senses GROUP BY lemma)"
+def _told(suffix: str) -> str:
+    return f"tld AS (SELECT lemma, array_to_string({_JS.format(suffix)}, '; ') AS told FROM senses GROUP BY lemma)"
 
 
 @query(
-    f"WITH {SERVE}, {SENSE}, {_told(_CNT)} SELECT lemma AS 单词, array_to_string(variants, ', ') AS 变体, '' AS 词性, told AS 释义, count_sum AS 次数, round_even(frequency, 4) AS 频率 FROM srv JOIN tld USING (lemma)"
+    f"WITH {SERVE}, {SENSE}, {_told('次')} SELECT lemma AS 单词, array_to_string(variants, ', ') AS 变体, '' AS 词性, told AS 释义, count_sum AS 次数, round_even(frequency, 4) AS 频率 FROM srv JOIN tld USING (lemma)"
 )
 def q23_csv_export(spark, d):
-    return sv.csv_export(sv.with_senses(full_index(spark, d), senses(spark, d)))
+    return sv.csv_export(with_senses(spark, d))
 
 
 @query(
     f"WITH {SERVE}, {SENSE}, {_told('')}, {EXAM}, one AS (SELECT lemma, pos, '[' || year || '·' || section || '] ' || left(text, 80) AS line FROM (SELECT *, row_number() OVER (PARTITION BY lemma, pos "
-    "ORDER BY paper_idx, para_idx, sent_idx, text) AS n FROM exa) WHERE n = 1), exl AS (SELECT lemma, left(array_to_string(list_slice(list(line ORDER BY pos), 1, 5), chr(10)), 500) AS l FROM one GROUP BY lemma) "
-    "SELECT lemma AS 单词, count_sum AS 总次数, round_even(frequency, 4) AS 频率, told AS 释义, coalesce(l, '') AS 例句 FROM srv JOIN tld USING (lemma) LEFT JOIN exl USING (lemma)"
+    "ORDER BY paper_idx, para_idx, sent_idx, text) AS n FROM exa) WHERE n = 1), exc AS (SELECT lemma, left(array_to_string(list_slice(list(line ORDER BY pos), 1, 5), chr(10)), 500) AS l FROM one GROUP BY lemma) "
+    "SELECT lemma AS 单词, count_sum AS 总次数, round_even(frequency, 4) AS 频率, told AS \"释义（按词性）\", coalesce(l, '') AS 真题例句 FROM srv JOIN tld USING (lemma) LEFT JOIN exc USING (lemma)"
 )
 def q24_excel_export(spark, d):
-    return sv.excel_export(sv.with_senses(full_index(spark, d), senses(spark, d)), ex.numbered(all_examples(spark, d)))
+    return sv.excel_export(with_senses(spark, d), all_examples(spark, d))
 
 
 # ---------------------------------------------------------------- text
@@ -340,57 +525,46 @@ def q26_clean_paragraphs(spark, d):
     return a.unionByName(b).select("id", t.clean_paragraph("text").alias("text"))
 
 
-@query(rf"SELECT id, regexp_replace(regexp_replace(text, '(\w+)-\s*\n\s*(\w+)', '\1\2', 'g'), '\n\s*([a-z]{{2,}})\s*\n', '\1' || chr(10), 'g') AS text FROM {fx.values(fx.HYPHENS)}")
+_TORN = "replace(replace(text, ' un', ' un-' || chr(10) || ' '), ' a ', chr(10) || 'lone' || chr(10))"
+
+
+@query(f"SELECT -id AS id, {REJOIN.format('text')} AS text FROM {fx.values(fx.HYPHENS)} UNION ALL SELECT doc_id, {REJOIN.format(_TORN)} FROM documents")
 def q27_hyphen_rejoin(spark, d):
-    return fx.frame(spark, fx.HYPHENS).select("id", t.rejoin_hyphenated("text").alias("text"))
+    a = fx.frame(spark, fx.HYPHENS).select((-F.col("id")).cast("long").alias("id"), "text")
+    torn = F.replace(F.replace("text", F.lit(" un"), F.lit(" un-\n ")), F.lit(" a "), F.lit("\nlone\n"))
+    b = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), torn.alias("text"))
+    return a.unionByName(b).select("id", t.rejoin_hyphenated("text").alias("text"))
 
 
-@query(
-    f"WITH f AS (SELECT *, trim(line) AS s FROM {fx.values(fx.MARKS)}), e AS (SELECT *, CASE WHEN regexp_matches(line, '{t.TRANSLATION_MARK}') THEN 'o' WHEN s = '' OR ({_EN.format('s')} < 0.1 AND {_ZH.format('s')} > 0.3) THEN 'c' END AS ev FROM f), "
-    f"g AS (SELECT *, sum((coalesce(ev, '') = 'o')::INT) OVER (ORDER BY line_no {_ROWS}) AS seg, last_value(ev IGNORE NULLS) OVER (ORDER BY line_no {_FULL}) AS pv FROM e), "
-    "h AS (SELECT *, coalesce(ev = 'o', false) OR (ev IS NULL AND coalesce(pv = 'o', false)) AS inside FROM g) "
-    "SELECT doc, min(line_no)::INT AS line_no, '[[' || array_to_string(list(s ORDER BY line_no), ' ') || ']]' AS line FROM h WHERE inside GROUP BY doc, seg UNION ALL SELECT doc, line_no, CASE WHEN s = '' THEN '' ELSE line END FROM h WHERE NOT inside"
-)
+@query(f"WITH {exams_sql(fx.MARKS)}, {marks_sql('exl')} SELECT * FROM mk")
 def q28_translation_marks(spark, d):
-    return ln.translation_marks(fx.frame(spark, fx.MARKS))
+    return ln.translation_marks(exams(spark, d, fx.MARKS))
 
 
-@query(
-    f"WITH f AS (SELECT *, lower(replace(line, ' ', '')) AS l, nullif(upper(regexp_extract(line, '^Part\\s*([ABCabc])\\b', 1)), '') AS pt FROM {fx.values(fx.SECTIONS)}), "
-    "g AS (SELECT *, CASE WHEN contains(l, 'section') OR contains(l, 'part') THEN CASE WHEN contains(l, 'useofenglish') OR contains(l, 'clozetest') THEN 'use_of_english' WHEN contains(l, 'readingcomprehension') THEN 'reading_a' "
-    "WHEN contains(l, 'translation') THEN 'reading_c' WHEN contains(l, 'writing') THEN 'writing_a' END END AS hd FROM f), "
-    f"h AS (SELECT *, coalesce(last_value(CASE WHEN hd IS NOT NULL THEN starts_with(hd, 'writing') WHEN pt = 'C' THEN false END IGNORE NULLS) OVER (ORDER BY line_no {_ROWS}), false) AS wr FROM g), "
-    "k AS (SELECT *, CASE WHEN hd IS NOT NULL THEN hd WHEN pt = 'C' THEN 'reading_c' WHEN pt IS NOT NULL THEN CASE WHEN wr THEN 'writing_' ELSE 'reading_' END || lower(pt) END AS ev FROM h), "
-    f"m AS (SELECT *, last_value(ev IGNORE NULLS) OVER (ORDER BY line_no {_ROWS}) AS key FROM k) SELECT doc, line_no, line, key FROM m WHERE ev IS NULL AND key IS NOT NULL"
-)
+@query(f"WITH {exams_sql(fx.SECTIONS)}, {keyed_sql('exl')} SELECT doc, line_no, line, key FROM km WHERE ev IS NULL AND key IS NOT NULL")
 def q29_section_split(spark, d):
-    return ln.section_keys(fx.frame(spark, fx.SECTIONS))
+    return ln.section_keys(exams(spark, d, fx.SECTIONS))
 
 
 @query(
-    f"WITH f AS (SELECT *, regexp_matches(line, '{t.YEAR_LINE}') AS b FROM {fx.values(fx.YEARS)}), g AS (SELECT *, sum(b::INT) OVER (ORDER BY line_no {_ROWS}) AS block FROM f) "
+    f"WITH {exams_sql(fx.YEARS)}, f AS (SELECT *, regexp_matches(line, '{t.YEAR_LINE}') AS b FROM exl), g AS (SELECT *, sum(b::INT) OVER {_ROWS} AS block FROM f) "
     "SELECT doc, block::BIGINT AS block, max(CASE WHEN b THEN left(line, 4) END) AS year, array_to_string(list(line ORDER BY line_no), chr(10)) AS text FROM g WHERE block > 0 GROUP BY doc, block"
 )
 def q30_year_blocks(spark, d):
-    return ln.year_blocks(fx.frame(spark, fx.YEARS))
+    return ln.year_blocks(exams(spark, d, fx.YEARS))
 
 
-@query(
-    f"WITH f AS (SELECT *, trim(line) AS s FROM {fx.values(fx.PARAS)}), g AS (SELECT *, starts_with(s, '[[') OR regexp_matches(line, '{t.TRANSLATION_MARK}') AS mk FROM f), "
-    f"h AS (SELECT *, s = '' OR regexp_matches(s, '{t.CHOICE_LINE}') OR regexp_matches(s, '(?i){t.HEADER_LINE}') OR (NOT mk AND {_EN.format('s')} < 0.05) AS dr FROM g), "
-    f"k AS (SELECT *, (mk AND NOT dr) AS m2 FROM h), n AS (SELECT *, coalesce(lag(m2) OVER (ORDER BY line_no), false) AS af FROM k), o AS (SELECT *, sum((dr OR m2 OR af)::INT) OVER (ORDER BY line_no {_ROWS}) AS para FROM n), "
-    f"src AS (SELECT doc, para::BIGINT AS para, array_to_string(list(s ORDER BY line_no), ' ') AS x FROM o WHERE NOT dr GROUP BY doc, para), {_clean_sql('src', 'doc, para')} SELECT doc, para, x AS text FROM c6 WHERE x IS NOT NULL"
-)
+@query(f"WITH {exams_sql(fx.PARAS)}, {paras_sql('exl')} SELECT doc, para, text FROM pr")
 def q31_paragraph_islands(spark, d):
-    return ln.paragraphs(fx.frame(spark, fx.PARAS))
+    return ln.paragraphs(exams(spark, d, fx.PARAS))
 
 
 @query(
-    f"WITH f AS (SELECT *, trim(line) AS s FROM {fx.values(fx.LOOSE)}), g AS (SELECT *, sum((s = '' OR regexp_matches(s, '^[\\d一二三四五六七八九十]+[.、\\s]'))::INT) OVER (ORDER BY line_no {_ROWS}) AS grp FROM f), "
+    f"WITH {exams_sql(fx.LOOSE)}, f AS (SELECT *, trim(line) AS s FROM exl), g AS (SELECT *, sum((s = '' OR regexp_matches(s, '^[\\d一二三四五六七八九十]+[.、\\s]'))::INT) OVER {_ROWS} AS grp FROM f), "
     f"h AS (SELECT doc, grp::BIGINT AS grp, array_to_string(list(s ORDER BY line_no), ' ') AS text FROM g WHERE s <> '' GROUP BY doc, grp) SELECT * FROM h WHERE {_EN.format('text')} > 0.3"
 )
 def q32_unsplit_sentences(spark, d):
-    return ln.loose_sentences(fx.frame(spark, fx.LOOSE))
+    return ln.loose_sentences(exams(spark, d, fx.LOOSE))
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -398,65 +572,98 @@ def _flat(rows: DataFrame) -> DataFrame:
     return rows.withColumn("senses", text).withColumn("examples", F.array_join("examples", "; "))
 
 
-def _book_sql(rows: list[tuple]) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows) + ") AS f(lemma, ord, group_title, senses, examples)"
+def _entries(spark, d, main: bool, fixture) -> DataFrame:
+    rows = book_pages(spark, d).unionByName(fx.frame(spark, fixture).select(F.lit("fixture").alias("doc"), "page", "line_no", "line"))
+    return vb.entries(rows, main=main)
+
+
+_APPENDIX = (fx.WORDBOOK[0], fx.WORDBOOK[1][1:])
+_PLACED = "doc, lemma, page::INT AS page, line_no::INT AS line_no, group_title, senses, examples"
 
 
-@query(_book_sql([("abandon", 10001, "001 core —— 核心", "v 放弃", "He had to abandon the ship."), ("able", 20001, "001 core —— 核心", "adj 能干的; adj 有能力的", "She is able to swim.")]))
+@query(f"WITH {entries_sql(True, fx.WORDBOOK)} SELECT {_PLACED} FROM ent")
 def q33_vocab_main(spark, d):
-    return _flat(vb.entries(fx.frame(spark, fx.WORDBOOK), main=True))
+    return _flat(_entries(spark, d, True, fx.WORDBOOK)).select("doc", "lemma", "at.*", "group_title", "senses", "examples")
 
 
-@query(_book_sql([("abandon", 10001, "", "v 放弃", "He had to abandon the ship."), ("ability", 10003, "", "n 能力; adj 能干的", ""), ("able", 20001, "", "adj 有能力的", "She is able to swim.")]))
+@query(f"WITH {entries_sql(False, _APPENDIX)} SELECT {_PLACED} FROM ent")
 def q34_vocab_appendix(spark, d):
-    return _flat(vb.entries(fx.frame(spark, (fx.WORDBOOK[0], fx.WORDBOOK[1][1:])), main=False))
+    return _flat(_entries(spark, d, False, _APPENDIX)).select("doc", "lemma", "at.*", "group_title", "senses", "examples")
 
 
-@query("SELECT * FROM (VALUES ('run', 'main', 'He ran.', 'v 跑; n 奔跑; v 经营'), ('act', 'main', '', 'n 行为')) AS f(lemma, grp, examples, senses)")
+@query(
+    f"WITH {entries_sql(True, fx.WORDBOOK)}, n AS (SELECT *, row_number() OVER (ORDER BY doc, page, line_no) AS ord FROM ent), f AS (SELECT lemma, arg_min((group_title, examples), ord) AS f FROM n GROUP BY lemma), "
+    "e AS (SELECT lemma, ord, unnest(each_) AS s, generate_subscripts(each_, 1) AS k FROM n), u AS (SELECT lemma, s, min((ord, k)) AS pl FROM e GROUP BY lemma, s), "
+    "g AS (SELECT lemma, array_to_string(list(s[1] || ' ' || s[2] ORDER BY pl), '; ') AS senses FROM u GROUP BY lemma) SELECT lemma, f[1] AS group_title, f[2] AS examples, coalesce(senses, '') AS senses FROM f LEFT JOIN g USING (lemma)"
+)
 def q35_vocab_merge(spark, d):
-    return _flat(vb.merge(fx.frame(spark, fx.BOOKS)))
+    rows = _entries(spark, d, True, fx.WORDBOOK).withColumn("ord", F.struct("doc", "at.page", "at.line_no"))
+    return _flat(vb.merge(rows)).select("lemma", "group_title", "examples", "senses")
 
 
-@query("SELECT * FROM (VALUES (1, '身份', '身份'), (2, '放弃；抛弃', '放弃；抛弃'), (3, '身份', '身份'), (4, 'abandon ship', 'abandon ship'), (5, '放弃', '放弃')) AS f(id, book, loaded)")
-def q36_meaning_clean(spark, d):
-    return fx.frame(spark, fx.MEANINGS).select("id", t.clean_meaning("text").alias("book"), t.clean_loaded_meaning("text").alias("loaded"))
+_MEAN = "CASE doc_id % 5 WHEN 0 THEN '身份 ' || left(text, 30) WHEN 1 THEN '；放弃；抛弃。' || doc_id WHEN 2 THEN left(text, 20) || '。' WHEN 3 THEN '放弃' || left(text, 10) ELSE '能 干 ' || doc_id END"
+_LOADED = (
+    "trim(CASE WHEN regexp_matches(regexp_split_to_array({0}, '\\s+')[1], '[一-鿿]') THEN regexp_split_to_array({0}, '\\s+')[1] ELSE {0} END, '" + t.PUNCT + "')"
+).format("trim(regexp_replace(trim(text), '\\s+[A-Z][A-Za-z].*$', ''))")
 
 
-_TRY = " UNION ALL ".join(
-    f"SELECT word, {i} AS rule, left(word, length(word) - {len(e)}) || '{to}' AS base FROM ws WHERE ends_with(word, '{e}') AND length(word) > {len(e) + 1}" for i, (_, e, to) in enumerate(SUFFIXES)
+@query(
+    f"WITH m AS (SELECT -id AS id, text FROM {fx.values(fx.MEANINGS)} UNION ALL SELECT doc_id, replace({_MEAN}, chr(10), ' ') FROM documents WHERE text IS NOT NULL) SELECT id, {_meaning_sql('text')} AS book, {_LOADED} AS loaded FROM m"
 )
+def q36_meaning_clean(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("id"), F.expr(f"replace({_MEAN}, char(10), ' ')").alias("text"))
+    rows = fx.frame(spark, fx.MEANINGS).select((-F.col("id")).cast("long").alias("id"), "text").unionByName(rows)
+    return rows.select("id", t.clean_meaning("text").alias("book"), t.clean_loaded_meaning("text").alias("loaded"))
 
 
-@query(
-    f"WITH {TOK}, ws AS (SELECT DISTINCT w AS word FROM tok), tr AS ({_TRY}), fd AS (SELECT word, arg_min(base, rule) AS base FROM tr WHERE base IN (SELECT word FROM ws) GROUP BY word) "
-    f"SELECT word, coalesce(nullif({_IRR.replace(' w ', ' word ', 1)[: -len('w END')]}word END, word), base, word) AS lemma FROM ws LEFT JOIN fd USING (word)"
-)
+@query(f"WITH {TOK} SELECT w AS word, lemma FROM nm")
 def q37_lemmatize(spark, d):
-    return tk.lemmas(toks(spark, d).select(F.lower("word").alias("word")))
+    words = tk.words(papers(spark, d)).select(F.col("low").alias("word"))
+    return tk.lemmas(words)
+
+
+_NAMED = "CASE doc_id % 5 WHEN 0 THEN (1990 + doc_id % 50) || '英语一.pdf' WHEN 1 THEN '考研英语（二）' || doc_id WHEN 2 THEN source || '英语二 20155' WHEN 3 THEN lang || '英语（一）英语二' ELSE left(text, 60) END"
+NAMES = f"nms AS (SELECT -id AS id, text FROM {fx.values(fx.NAMES)} UNION ALL SELECT doc_id, {_NAMED} FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL)"
 
 
-@query(f"SELECT id, CASE WHEN contains(text, '英语（一）') OR contains(text, '英语一') THEN '英语一' WHEN contains(text, '英语（二）') OR contains(text, '英语二') THEN '英语二' ELSE '未知' END AS kind FROM {fx.values(fx.NAMES)}")
+def names(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null and source is not null and lang is not null")
+    return fx.frame(spark, fx.NAMES).select((-F.col("id")).cast("long").alias("id"), "text").unionByName(rows.select(F.col("doc_id").alias("id"), F.expr(_NAMED).alias("text")))
+
+
+@query(f"WITH {NAMES} SELECT id, CASE WHEN contains(text, '英语（一）') OR contains(text, '英语一') THEN '英语一' WHEN contains(text, '英语（二）') OR contains(text, '英语二') THEN '英语二' ELSE '未知' END AS kind FROM nms")
 def q38_exam_type(spark, d):
-    return fx.frame(spark, fx.NAMES).select("id", t.exam_type("text").alias("kind"))
+    return names(spark, d).select("id", t.exam_type("text").alias("kind"))
 
 
-@query(f"SELECT id, coalesce(nullif(regexp_extract(text, '(\\d{{4}})', 1), ''), 'unknown') AS year FROM {fx.values(fx.NAMES)}")
+@query(f"WITH {NAMES} SELECT id, coalesce(nullif(regexp_extract(text, '(\\d{{4}})', 1), ''), 'unknown') AS year FROM nms")
 def q39_year_from_name(spark, d):
-    return fx.frame(spark, fx.NAMES).select("id", t.year_of_name("text").alias("year"))
+    return names(spark, d).select("id", t.year_of_name("text").alias("year"))
+
+
+_KEYS = "[" + ", ".join(f"'{k}'" for k, _, _ in SECTIONS) + "]"
+_FILES = "[" + ", ".join(f"'{i:02d}_{SECTION_FILES[k]}.txt'" for i, (k, _, _) in enumerate(SECTIONS, 1)) + "]"
 
 
 @query(
-    "SELECT * FROM (VALUES ('2010', '{\"year\":\"2010\",\"type\":\"英语一\",\"source\":\"a.pdf\",\"sections\":[{\"key\":\"use_of_english\",\"label\":\"完形\",\"label_en\":\"Use of English\",\"file\":\"01_use_of_english.txt\",\"sentence_count\":1},"
-    "{\"key\":\"reading_a\",\"label\":\"阅读A\",\"label_en\":\"Reading A\",\"file\":\"02_reading_a.txt\",\"sentence_count\":2}]}'), "
-    "('2011', '{\"year\":\"2011\",\"type\":\"英语一\",\"source\":\"b.pdf\",\"sections\":[{\"key\":\"writing_b\",\"label\":\"写作B\",\"label_en\":\"Writing B\",\"file\":\"06_writing_b.txt\",\"sentence_count\":1}]}')) AS f(year, meta)"
+    f"WITH f AS (SELECT source AS year, (doc_id % 6 + 1)::INT AS rank, {_KEYS}[doc_id % 6 + 1] AS key, 'l' || doc_id % 6 AS label, 'd' || doc_id AS source, doc_id AS ord, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL), "
+    "g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year, key ORDER BY ord) AS k FROM f) WHERE k = 1) "
+    f"SELECT year, to_json({{'year': year, 'type': '英语一', 'source': min(source), 'sections': list({{'key': key, 'label': label, 'label_en': label, 'file': {_FILES}[rank], 'sentence_count': n}} ORDER BY rank)}})::VARCHAR AS meta FROM g GROUP BY year"
 )
 def q40_meta_json(spark, d):
-    return wr.meta(fx.frame(spark, fx.SPLIT))
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null and source is not null")
+    key = F.element_at(F.array(*[F.lit(k) for k, _, _ in SECTIONS]), (F.col("doc_id") % 6 + 1).cast("int"))
+    label = F.concat(F.lit("l"), (F.col("doc_id") % 6).cast("string"))
+    rows = rows.select(
+        F.col("source").alias("year"), key.alias("key"), label.alias("label"), label.alias("label_en"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), F.col("doc_id").alias("ord"), F.split("text", "\n").alias("sentences"),
+    )
+    return wr.meta(rows)
 
 
 @query(f"WITH {IDX} SELECT lemma, units, frequency FROM idx WHERE {BANDS.format(0.5, 0.2)} = 'medium'")
 def q41_band_membership_semi(spark, d):
-    return ix.bands(index(spark, d)).where("band = 'medium'").drop("band")
+    return sv.of_band(index(spark, d), "medium").drop("band")
 
 
 @query(f"WITH {GROUPS} SELECT grp, count(DISTINCT lemma) AS n FROM grps GROUP BY grp")
@@ -464,11 +671,155 @@ def q42_group_sizes(spark, d):
     return fl.group_sizes(groups(spark, d))
 
 
-@query(f"WITH {LINES} SELECT paper_idx, year, section, line_no, sent_idx, text FROM (WITH {SENT} SELECT * FROM snt)")
+@query(f"WITH {LINES}, {sent_sql('lines')} SELECT paper_idx, year, section, line_no, sent_idx, text FROM snt")
 def q43_sentences(spark, d):
     return tk.sentences(papers(spark, d)).select("paper_idx", "year", "section", F.col("line_no").cast("long").alias("line_no"), F.col("sent_idx").cast("long").alias("sent_idx"), "text")
 
 
-@query("SELECT * FROM (VALUES ('VBD', 'v'), ('NNS', 'n'), ('TO', 'prep'), ('WDT', 'other'), ('MD', 'aux')) AS f(tag, pos)")
+_TAGS = [*PENN, "WDT", "EX", "FW"]
+_PENN = "CASE tag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PENN.items()) + " ELSE 'other' END"
+
+
+@query(f"SELECT doc_id, tag, {_PENN} AS pos FROM (SELECT doc_id, [{', '.join(repr(x) for x in _TAGS)}][doc_id % {len(_TAGS)} + 1] AS tag FROM documents)")
 def q44_penn_tags(spark, d):
-    return spark.createDataFrame([("VBD",), ("NNS",), ("TO",), ("WDT",), ("MD",)], "tag string").select("tag", t.penn_to_simple(F.col("tag")).alias("pos"))
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), (F.col("doc_id") % len(_TAGS) + 1).cast("int"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tag.alias("tag")).select("doc_id", "tag", t.penn_to_simple(F.col("tag")).alias("pos"))
+
+
+# ---------------------------------------------------------------- composed queries
+
+_COUNTS = "pcs AS (SELECT lemma, array_to_string(list(pos || '=' || pos_count ORDER BY pos), ' ') AS pos_counts FROM posc GROUP BY lemma)"
+_SENSES = "sns AS (SELECT lemma, array_to_string(list(pos || ' ' || meaning || ' ' || pos_count ORDER BY ord), '; ') AS senses FROM senses GROUP BY lemma)"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Variants, part-of-speech counts and senses as text, for a comparison."""
+    counts = F.transform(F.array_sort(F.map_entries("pos_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    out = rows.withColumn("variants", F.array_join("variants", " ")).withColumn("pos_counts", F.array_join(counts, " "))
+    return out.withColumn("senses", F.array_join(F.transform("senses", lambda s: F.concat_ws(" ", s["pos"], s["meaning"], s["pos_count"].cast("string"))), "; "))
+
+
+@query(
+    f"WITH {SERVE}, {SENSE}, {_COUNTS}, {_SENSES} SELECT lemma, array_to_string(variants, ' ') AS variants, pos_counts, units, count_sum, frequency, senses "
+    "FROM srv JOIN pcs USING (lemma) JOIN sns USING (lemma)"
+)
+def q45_assembled_index(spark, d):
+    rows = ix.build(papers(spark, d), book(spark, d))
+    return _shown(rows).select("lemma", "variants", "pos_counts", "units", "count_sum", "frequency", "senses")
+
+
+_EXCLUDED = "lemma NOT IN (SELECT word FROM lv WHERE level IN ('primary', 'zhongkao')) AND lemma NOT IN (SELECT lemma FROM grps WHERE grp IN ('g0', 'g1'))"
+_SETTINGS = Settings(exclude_groups=("g0", "g1"), high_threshold=0.4)
+
+
+def filtered(spark: SparkSession, d: str) -> DataFrame:
+    return ix.build(papers(spark, d), None, level_lists(spark, d), groups(spark, d), _SETTINGS)
+
+
+@query(f"WITH {SERVE}, {LEVELS}, {GROUPS} SELECT lemma, units, frequency, count_sum FROM srv WHERE {_EXCLUDED}")
+def q46_filtered_index(spark, d):
+    return filtered(spark, d).select("lemma", "units", "frequency", "count_sum")
+
+
+@query(
+    f"WITH {SERVE}, {LEVELS}, {GROUPS}, ex AS (SELECT *, {BANDS.format(0.4, 0.2)} AS band FROM srv WHERE {_EXCLUDED}), hits AS (SELECT * FROM ex WHERE band = 'low' AND (contains(lemma, 'er') OR len(list_filter(variants, lambda v: contains(v, 'er'))) > 0)) "
+    "SELECT (SELECT count(*) FROM hits) AS total, 3 AS page, 20 AS page_size, (SELECT count(*) FROM ex WHERE band = 'high') AS high, (SELECT count(*) FROM ex WHERE band = 'medium') AS medium, (SELECT count(*) FROM ex WHERE band = 'low') AS low, "
+    "(SELECT array_to_string(list(lemma || ' ' || units ORDER BY frequency DESC, first_seen), '; ') FROM (SELECT * FROM hits ORDER BY frequency DESC, first_seen LIMIT 20 OFFSET 40)) AS words"
+)
+def q47_words_page(spark, d):
+    rows = sv.words(filtered(spark, d), "low", "frequency", "desc", "ER", 3, 20, _SETTINGS)
+    return rows.withColumn("words", F.array_join(F.transform("words", lambda x: F.concat_ws(" ", x["lemma"], x["units"].cast("string"))), "; "))
+
+
+_DETAIL = (
+    "SELECT '{0}' AS lemma, '{1}' AS pos, coalesce((SELECT pos_count FROM posc WHERE lemma = '{0}' AND pos = '{1}'), 0) AS unit_count, "
+    "coalesce((SELECT array_to_string(list(text ORDER BY paper_idx, para_idx, sent_idx), '; ') FROM exa WHERE lemma = '{0}' AND pos = '{1}'), '') AS sentences"
+)
+
+
+@query(f"WITH {TOK}, {POSC}, {EXAM} {_DETAIL.format('idiot', 'n')} UNION ALL {_DETAIL.format('nowhere', 'v')}")
+def q48_sense_detail_counts(spark, d):
+    told, counts = all_examples(spark, d), ix.pos_counts(cells(spark, d))
+    rows = ex.detail("idiot", "n", told, counts).unionByName(ex.detail("nowhere", "v", told, counts))
+    return rows.withColumn("sentences", F.array_join(F.transform("sentences", lambda s: s["text"]), "; "))
+
+
+_LABEL = "CASE key " + " ".join(f"WHEN '{k}' THEN '{label}'" for k, label, _ in SECTIONS) + " END"
+_LABEL_EN = "CASE WHEN headed AND key = 'reading_c' THEN '" + HEADED["reading_c"] + "' ELSE CASE key " + " ".join(f"WHEN '{k}' THEN '{en}'" for k, _, en in SECTIONS) + " END END"
+
+
+@query(
+    f"WITH {exams_sql(fx.SECTIONS)}, {keyed_sql('exl')}, sg AS (SELECT doc, seg, key, headed, array_to_string(list(line ORDER BY line_no), chr(10)) AS text FROM km WHERE ev IS NULL AND key IS NOT NULL GROUP BY ALL), "
+    f"sj AS (SELECT *, {REJOIN.format('text')} AS whole FROM sg), sl AS (SELECT doc || '/' || seg AS doc, unnest(string_split(whole, chr(10))) AS line, (generate_subscripts(string_split(whole, chr(10)), 1) - 1)::INT AS line_no FROM sj), "
+    f"{marks_sql('sl')}, {paras_sql('mk')} SELECT sg.doc, seg::INT AS ord, key, {_LABEL} AS label, {_LABEL_EN} AS label_en, s.sentences FROM sg JOIN (SELECT doc, array_to_string(list(text ORDER BY para), chr(10)) AS sentences FROM pr GROUP BY doc) s ON s.doc = sg.doc || '/' || seg"
+)
+def q49_sections(spark, d):
+    return ln.sections(exams(spark, d, fx.SECTIONS)).withColumn("sentences", F.array_join("sentences", "\n"))
+
+
+_BANK = (
+    r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '(?i)([a-z])(n''t|''s|''re|''ve|''ll|''d|''m)([^a-zA-Z]|$)', '\1 \2\3', 'g'), "
+    r"'(?i)(^|[^a-zA-Z])(can)(not)([^a-zA-Z]|$)', '\1\2 \3\4', 'g'), '[\[\](){}<>\"“”‘,;:!?…@#$%&*]|--', ' ', 'g'), '\.+(\s|$)', ' \1', 'g'), '\s+'), lambda x: x <> '')"
+)
+
+
+@query(f"WITH {tok_sql(words=_BANK)} SELECT lemma, count(*) AS n FROM tok GROUP BY lemma")
+def q50_treebank_tokens(spark, d):
+    return tk.cells(papers(spark, d), split=t.treebank).groupBy("lemma").agg(F.sum("n_tokens").alias("n"))
+
+
+@query(
+    f"WITH {TOK}, {EXAM}, n AS (SELECT *, row_number() OVER (PARTITION BY lemma, pos ORDER BY paper_idx, para_idx, sent_idx, text) AS n FROM exa) SELECT lemma, pos, n::INT AS n, "
+    "CASE WHEN strpos(lower(text), word) > 0 THEN left(text, strpos(lower(text), word) - 1) || '<mark>' || substr(text, strpos(lower(text), word), length(word)) || '</mark>' || substr(text, strpos(lower(text), word) + length(word)) ELSE text END AS marked, "
+    "CASE WHEN length(text) > 70 THEN left(text, 70) || '…' ELSE text END AS short FROM n WHERE n <= 10"
+)
+def q51_shown_examples(spark, d):
+    return sv.shown(all_examples(spark, d))
+
+
+@query(
+    f"WITH {SERVE}, {SENSE}, {_SENSES.replace('list(pos', 'list_slice(list(pos').replace('ORDER BY ord)', 'ORDER BY ord), 1, 4)')} SELECT lemma, array_to_string(list_slice(variants, 1, 4), ' ') AS variants, senses, {BANDS.format(0.5, 0.2)} AS colour FROM srv JOIN sns USING (lemma)"
+)
+def q52_listed_words(spark, d):
+    rows = sv.listed(with_senses(spark, d)).drop("shown_frequency")
+    told = F.transform("senses", lambda s: F.concat_ws(" ", s["pos"], s["meaning"], s["pos_count"].cast("string")))
+    return rows.withColumn("variants", F.array_join("variants", " ")).withColumn("senses", F.array_join(told, "; "))
+
+
+@query(
+    f"WITH {_TOP}, bx AS (SELECT lemma, min(text) AS text FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS lemma FROM benchmark) GROUP BY lemma), "
+    "given AS (SELECT lemma, NULL AS pos, bx.text FROM bx JOIN best USING (lemma)) SELECT * FROM given UNION ALL SELECT lemma, pos, text FROM top WHERE lemma NOT IN (SELECT lemma FROM given)"
+)
+def q53_top_example_of_vocabulary(spark, d):
+    return ex.top_example(all_examples(spark, d), sn.sense_rows(with_senses(spark, d)), book_examples(spark, d))
+
+
+@query(
+    f"WITH {SERVE}, {SENSE}, {_told('次')} SELECT lemma AS 单词, array_to_string(variants, ', ') AS 变体, '' AS 词性, told AS 释义, count_sum AS 次数, round_even(frequency, 4) AS 频率 FROM srv JOIN tld USING (lemma) WHERE {BANDS.format(0.5, 0.2)} = 'medium' "
+    "ORDER BY frequency DESC, first_seen"
+)
+def q54_csv_export_of_band(spark, d):
+    return sv.csv_export(with_senses(spark, d), "medium")
+
+
+@query(f"WITH {GROUPS}, z AS (SELECT grp, count(*) AS n FROM grps GROUP BY grp) SELECT 0.4::DOUBLE AS high_threshold, 0.2::DOUBLE AS medium_threshold, false AS use_vocab_examples, (SELECT array_to_string(list(grp || '=' || n ORDER BY grp), ' ') FROM z) AS group_sizes")
+def q55_settings(spark, d):
+    rows = batch.settings_view(_SETTINGS, groups(spark, d))
+    told = F.transform(F.map_entries("group_sizes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return rows.select("high_threshold", "medium_threshold", "use_vocab_examples", F.array_join(told, " ").alias("group_sizes"))
+
+
+_PAGED = "list_slice(string_split(replace(text, ' en ', ' 英语（二） '), chr(10)), 1, 2)"
+
+
+@query(
+    f"SELECT doc_id, coalesce(list_filter(list_transform({_PAGED}, lambda x: CASE WHEN contains(x, '英语（一）') OR contains(x, '英语一') THEN '英语一' WHEN contains(x, '英语（二）') OR contains(x, '英语二') THEN '英语二' END), lambda x: x IS NOT NULL)[1], '未知') AS kind FROM documents WHERE text IS NOT NULL"
+)
+def q56_exam_type_of_pages(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    return rows.select("doc_id", t.exam_type_of_pages(F.split(F.replace("text", F.lit(" en "), F.lit(" 英语（二） ")), "\n")).alias("kind"))
+
+
+@query(f"WITH {entries_sql(True, fx.WORDBOOK)} SELECT group_title, count(*) AS entries, count(DISTINCT lemma) AS lemmas FROM ent GROUP BY group_title")
+def q57_vocab_report(spark, d):
+    return vb.report(_entries(spark, d, True, fx.WORDBOOK).withColumn("grp", F.col("group_title"))).withColumnRenamed("grp", "group_title")

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import WHOLE
 from ..functions import textops as t
+from ..operators import lines as ln
 
 SENSES = "array<struct<pos:string,meaning:string>>"
 VOCAB = f"lemma string, `group` string, group_idx int, group_title string, senses {SENSES}, examples_en array<string>"
@@ -25,43 +27,78 @@ def documents_as_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("paper_idx"), F.col("source").alias("year"), F.col("lang").alias("section"), "text", F.lit(True).alias("enabled"))
 
 
+def _there(spark: SparkSession, pattern: str) -> bool:
+    """Does anything match a path pattern, in whatever store it names?"""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
 def word_list(spark: SparkSession, path: str, level: str) -> DataFrame:
+    """level, word of a list, lower-cased and distinct; an absent list has no words."""
+    if not _there(spark, path):
+        return _empty(spark, "level string, word string")
     words = spark.read.text(path).select(F.lower(t.strip(F.col("value"))).alias("word"))
     return words.where("word <> ''").distinct().select(F.lit(level).alias("level"), "word")
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a vocabulary file, their meanings cleaned and their senses made distinct."""
+    """Entries of a vocabulary file, their meanings cleaned and their senses made distinct; none if it is absent."""
+    if not _there(spark, path):
+        return _empty(spark, VOCAB)
     v = spark.read.schema(VOCAB).json(path, multiLine=True).where("lemma is not null")
     sense = F.transform("senses", lambda s: F.struct(s["pos"].alias("pos"), t.clean_loaded_meaning(s["meaning"]).alias("meaning")))
     return v.withColumn("senses", F.array_distinct(F.coalesce(sense, F.array().cast(SENSES))))
 
 
+def vocabulary_senses(entries: DataFrame) -> DataFrame:
+    """lemma, pos, meaning, ord of vocabulary entries: of a lemma that comes again, senses unite in order. entries(lemma, senses)."""
+    each = entries.select("lemma", F.monotonically_increasing_id().alias("row"), F.posexplode("senses").alias("k", "s")).select("lemma", "row", "k", "s.pos", "s.meaning")
+    first = each.groupBy("lemma", "pos", "meaning").agg(F.min(F.struct("row", "k")).alias("at"))
+    return first.select("lemma", "pos", "meaning", (F.row_number().over(W.partitionBy("lemma").orderBy("at")) - 1).alias("ord"))
+
+
 def vocabulary_groups(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """grp, lemma of the appendix files; group by file."""
-    parts = [spark.read.schema(VOCAB).json(p, multiLine=True).select(F.lit(g).alias("grp"), F.lower("lemma").alias("lemma")) for g, p in sorted(paths.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    """grp, lemma of the appendix files; group by file. Absent files have no words."""
+    out = _empty(spark, "grp string, lemma string")
+    for g, p in sorted(paths.items()):
+        if _there(spark, p):
+            out = out.unionByName(spark.read.schema(VOCAB).json(p, multiLine=True).select(F.lit(g).alias("grp"), F.lower("lemma").alias("lemma")))
+    return out.where("lemma is not null").distinct()
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """lemma, pos, meaning, ord of a dictionary cache {word: [{pos, meaning}]}."""
+    """lemma, pos, meaning, ord of a dictionary cache {word: [{pos, meaning}]}; nothing of an absent or broken one."""
+    if not _there(spark, path):
+        return _empty(spark, "lemma string, pos string, meaning string, ord int")
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{SENSES}>").alias("m"))
     each = raw.select(F.explode("m").alias("lemma", "senses")).select(F.lower("lemma").alias("lemma"), F.posexplode("senses").alias("ord", "s"))
     return each.select("lemma", "s.pos", "s.meaning", "ord")
 
 
+PAPERS = "paper_idx int, year string, section string, section_label string, filename string, nth int, sentences array<string>, enabled boolean"
+
+
+def _name(path, parts: int):
+    """The last parts of a file's address, as they were before the address was encoded."""
+    return F.url_decode(F.replace(F.substring_index(path, "/", -parts), F.lit("+"), F.lit("%2B")))
+
+
 def processed_sections(spark: SparkSession, root: str) -> DataFrame:
     """papers of a processed corpus: <root>/<year>/meta.json names the section files; files that are missing are skipped.
 
-    paper_idx is the order of year folders, then of sections in meta.json.
+    paper_idx is the order of year folders, then of sections in meta.json. A corpus without any year is empty.
     """
-    meta = spark.read.schema(META).json(f"{root}/*/meta.json", multiLine=True).withColumn("dir", F.regexp_replace(F.input_file_name(), "/[^/]*$", ""))
+    if not _there(spark, f"{root}/*/meta.json") or not _there(spark, f"{root}/*/*.txt"):
+        return _empty(spark, PAPERS)
+    meta = spark.read.schema(META).json(f"{root}/*/meta.json", multiLine=True).withColumn("dir", F.substring_index(_name(F.input_file_name(), 2), "/", 1))
     each = meta.select("year", "source", "dir", F.posexplode("sections").alias("nth", "s"))
     each = each.withColumn("paper_idx", F.row_number().over(W.orderBy("dir", "nth")) - 1)  # a few rows a year, without texts
-    files = spark.read.text(f"{root}/*/*.txt", wholetext=True).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(f"{root}/*/*.txt", wholetext=True).select(_name(F.input_file_name(), 2).alias("path"), "value")
     rows = each.withColumn("path", F.concat("dir", F.lit("/"), "s.file")).join(files, "path")
     paras = F.filter(F.split(t.strip(F.col("value")), "\n\n"), lambda p: t.strip(p) != "")
     rows = rows.withColumn("sentences", F.array_compact(F.transform(paras, t.clean_paragraph)))
@@ -100,22 +137,35 @@ def pdf_pages(raw: bytes) -> list[str]:
         return [p.extract_text() or "" for p in pdf.pages]
 
 
-def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extracted(batches: Iterator[pd.DataFrame], tables: bool) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for path, raw in zip(b["path"], b["content"], strict=True):
             kind = path.rsplit(".", 1)[-1].lower()
             if kind not in ("docx", "pdf"):
                 raise ValueError(f"unsupported file type: {path}")
-            pages = [docx_text(raw, tables=True)] if kind == "docx" else pdf_pages(raw)
+            pages = [docx_text(raw, tables)] if kind == "docx" else pdf_pages(raw)
             rows += [(path, i + 1, p) for i, p in enumerate(pages) if p]
         yield pd.DataFrame(rows, columns=["path", "page", "text"])
 
 
-def binary_documents(spark: SparkSession, path: str, pattern: str = "*.{pdf,docx}") -> DataFrame:
-    """path, page, text of the PDF and DOCX files below a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(_extracted, "path string, page int, text string")
+def binary_documents(spark: SparkSession, path: str, pattern: str = "*.{pdf,docx}", tables: bool = False, recursive: bool = True) -> DataFrame:
+    """path, page, text of the PDF and DOCX files of a folder; `tables`: with the rows of a DOCX's tables after its paragraphs."""
+    if not _there(spark, path):
+        return _empty(spark, "path string, page int, text string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return files.select("path", "content").mapInPandas(lambda it: _extracted(it, tables), "path string, page int, text string")
+
+
+def corpus_walk(spark: SparkSession, root: str, year_folder: str) -> DataFrame:
+    """phase, path, page, text in the order in which a corpus is built: PDFs of the folder of single years, PDFs of the root, then DOCX bundles."""
+    found = [
+        binary_documents(spark, f"{root}/{year_folder}", "*.pdf", recursive=False),
+        binary_documents(spark, root, "*.pdf", recursive=False),
+        binary_documents(spark, root, "*.docx", tables=True, recursive=False),
+    ]
+    out = [x.select(F.lit(i).alias("phase"), "*") for i, x in enumerate(found)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).orderBy("phase", "path", "page")
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
@@ -125,6 +175,45 @@ def lines_of(pages: DataFrame) -> DataFrame:
     return rows.select("doc", "page", (F.col("page") * 100000 + F.col("n")).alias("line_no"), "line")
 
 
+def split_documents(pages: DataFrame) -> DataFrame:
+    """Sections (doc, ord, key, label, label_en, sentences) of single documents. pages(path, page, text)."""
+    return ln.sections(lines_of(pages))
+
+
+def split_bundles(pages: DataFrame) -> DataFrame:
+    """Sections of documents that hold several years: doc, block, year, kind, ord, key, label, label_en, sentences."""
+    blocks = ln.year_blocks(lines_of(pages)).withColumn("unit", F.to_json(F.struct("doc", "block")))
+    rows = blocks.select(F.col("unit").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    named = blocks.select("unit", "doc", "block", "year", t.exam_type("text").alias("kind"))
+    return ln.sections(rows).withColumnRenamed("doc", "unit").join(named, "unit").drop("unit")
+
+
+def uploaded(pages: DataFrame, after: int = 0) -> DataFrame:
+    """papers of uploaded documents: their sections, or the whole document as one unit where no section is found.
+
+    paper_idx goes on after `after`, in the order of names and sections. Paragraphs of sections have been cleaned once and are cleaned again; those of
+    whole documents once.
+    """
+    rows = lines_of(pages)
+    once_more = F.array_compact(F.transform("sentences", t.clean_paragraph))
+    year = t.year_of_name("doc")
+    split = ln.sections(rows).select(
+        "doc", "ord", year.alias("year"), F.col("key").alias("section"), F.col("label").alias("section_label"),
+        F.concat_ws("_", year, "key").alias("filename"), F.lit(None).cast("string").alias("text"), once_more.alias("sentences"),
+    )
+    other = rows.join(split.select("doc").distinct(), "doc", "left_anti")
+    text = other.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    said = ln.loose_sentences(other).groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("grp", "text"))), lambda x: x["text"]).alias("sentences"))
+    said = text.join(said, "doc", "left").withColumn("sentences", F.coalesce("sentences", F.array().cast("array<string>")))
+    whole = said.select(
+        "doc", F.lit(0).alias("ord"), year.alias("year"), F.lit(WHOLE[0]).alias("section"), F.lit(WHOLE[1]).alias("section_label"),
+        F.col("doc").alias("filename"), "text", once_more.alias("sentences"),
+    )
+    both = split.unionByName(whole)
+    place = F.row_number().over(W.orderBy("doc", "ord")) - 1 + after  # one row a section; uploads are few
+    return both.withColumn("paper_idx", place.cast("long")).withColumn("enabled", F.lit(True)).drop("doc", "ord")
+
+
 def append_uploads(papers: DataFrame, uploads: DataFrame) -> DataFrame:
     """Uploads are appended; a unit that comes twice is kept twice and counts once."""
     return papers.unionByName(uploads, allowMissingColumns=True)
