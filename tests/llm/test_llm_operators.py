@@ -177,6 +177,7 @@ def test_toxicity_chain(spark):
     got = {r["doc_id"]: r for r in ToxicityChain().predict(docs, labels).collect()}
     assert all(got[i]["toxic"] == (i % 5 == 0) for i in range(400))
     assert not any(got[i]["toxic"] for i in (900, 901, 902)) and got[900]["p_toxic"] == 0.0
+    assert set(got[0].asDict()) == {"doc_id", "p_unfit", "p_toxic", "toxic"}
     assert not any(r["toxic"] for r in ToxicityChain().predict(docs, labels.where("toxic = 0")).collect())
     assert ToxicityChain().predict(documents(spark, []), labels).count() == 0
 
@@ -266,12 +267,38 @@ def test_fair_mix(spark, odd_rows):
     for s in sizes:
         longest = max(size(x) for _, x, _, t in rows if t == s)
         assert abs(taken[s] - want[s]) <= 2 * longest + 0.05 * want[s]
-    again = {(r["doc_id"], r["tie"]): r["taken"] for r in FairMix(rows_per_bin=999).plan(docs.repartition(5)).collect()}
-    assert sum(again.values()) == pytest.approx(sum(taken.values()), rel=0.02)
-    same = {(r["doc_id"], r["tie"]): r["taken"] for r in FairMix(rows_per_bin=16).plan(docs.repartition(5)).collect()}
-    assert same == {(r["doc_id"], r["tie"]): r["taken"] for r in got}
+    # A plain queue over the same shuffle: entries sorted by exact finish time, taken while the words before them don't use up the budget.
+    mix = FairMix()
+    place = {}
+    for r in mix.sizes(docs).collect():
+        place.setdefault((r["source"], tuple(r["at"])), []).append((r["doc_id"], r["size"]))
+    rank = {s: k for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    entries, run = [], {s: 0 for s in sizes}
+    for (s, at), held in sorted(place.items(), key=lambda x: x[0][1]):
+        words_ = sum(n for _, n in held)
+        if words_:
+            run[s] += words_
+            entries += [((e * sizes[s] + run[s]) / want[s], rank[s], words_, (s, at)) for e in range(3)]
+    budget, plain = sum(sizes.values()), {}
+    for _, _, words_, k in sorted(entries, key=lambda x: x[:2]):
+        if budget <= 0:
+            break
+        budget -= words_
+        plain[k] = plain.get(k, 0) + 1
+    expect = sorted(((-1 if i is None else i), n, n * plain.get(k, 0)) for k, held in place.items() for i, n in held)
+    assert expect == sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["size"], r["taken"]) for r in got)
+    key = lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["taken"])
+    for per_bin, other in ((1, docs), (999, docs.repartition(5)), (16, docs.repartition(3))):  # bins and partitions change nothing
+        assert sorted(map(key, FairMix(rows_per_bin=per_bin).plan(other).collect())) == sorted(map(key, got))
     mixed = FairMix(rows_per_bin=16).apply(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
+    many = lambda rows: sorted(x for r in rows for x in [(-1 if r["doc_id"] is None else r["doc_id"])] * r["copies"])
+    ids = lambda rows: [(-1 if r["doc_id"] is None else r["doc_id"]) for r in rows]
+    assert mixed.columns == docs.columns and sorted(ids(mixed.collect())) == many(got)
+    finish = {i: k for k, (_, _, _, key) in reversed(list(enumerate(sorted(entries, key=lambda x: x[:2])))) for i, _ in place[key]}
+    in_order = ids(FairMix().apply(docs, ordered=True).collect())
+    assert sorted(in_order) == many(got)
+    first_seen = list(dict.fromkeys(in_order))
+    assert first_seen == sorted(first_seen, key=finish.__getitem__) or len(set(finish.values())) < len(finish)
     assert FairMix().plan(documents(spark, [])).count() == 0 and FairMix().plan(documents(spark, [(1, None, None, None), (2, " ", "en", "s")])).count() == 2
 
 
