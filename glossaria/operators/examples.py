@@ -39,7 +39,7 @@ def found(papers: DataFrame, stop_words=None, min_ratio: float = 0.3, clean: boo
     rows = rows.where(t.is_token(F.col("low")) & ~F.col("low").isin(stop))
     at = F.struct("para_idx", "sent_idx", "k")
     rows = rows.withColumn("tok", F.min(F.when(F.col("token"), at)).over(W.partitionBy("paper_idx", "year", "section", "low"))).where("tok is not null")
-    words = tk.named(tk._words(papers, stop, min_ratio, clean, t.runs), stop)
+    words = tk.named(tk.words(papers, stop, min_ratio, clean), stop)
     each = rows.join(words, "low")
     place = F.struct("paper_idx", "para_idx", "sent_idx", "tok")
     first = F.struct(F.col("low").alias("word"), "year", "section", "paper_idx", "para_idx", "sent_idx")
@@ -70,8 +70,9 @@ def numbered(examples_: DataFrame) -> DataFrame:
 
 
 def detail(lemma: str, pos: str, examples_: DataFrame, pos_counts: DataFrame) -> DataFrame:
-    """lemma, pos, unit_count, sentences of one lemma and part of speech: one row, with 0 and no sentence where there is none."""
+    """lemma, pos, unit_count and a row for each sentence of one lemma and part of speech; where there is none, one row with 0 and nulls."""
     same = (F.col("lemma") == lemma) & (F.col("pos") == pos)
-    one = examples_.where(same).agg(F.array_sort(F.collect_list(F.struct("paper_idx", "para_idx", "sent_idx", "text", "year", "section", "word"))).alias("sentences"))
     count = pos_counts.where(same).agg(F.coalesce(F.max("pos_count"), F.lit(0)).alias("n")).scalar()
-    return one.select(F.lit(lemma).alias("lemma"), F.lit(pos).alias("pos"), count.alias("unit_count"), "sentences")
+    head = examples_.sparkSession.range(1).select(F.lit(lemma).alias("lemma"), F.lit(pos).alias("pos"), count.alias("unit_count"))
+    said = examples_.where(same).select("lemma", "pos", "text", "word", "year", "section", "paper_idx", "para_idx", "sent_idx")
+    return head.join(said, ["lemma", "pos"], "left")

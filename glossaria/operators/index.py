@@ -5,8 +5,6 @@ Every function takes tokens, or the much fewer rows of tokens.cells(), with the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,17 +114,17 @@ def band_counts(index: DataFrame, high: float = 0.5, medium: float = 0.2) -> Dat
     return one.select(F.explode(row).alias("r")).select("r.*")
 
 
-def papers_by_year(papers: DataFrame) -> DataFrame:
-    """year, kind, section_count, sentence_count and the sections in the order of papers, years in order (null first)."""
+def paper_sections(papers: DataFrame) -> DataFrame:
+    """year, paper_idx, section, section_label, sentence_count, enabled of every paper, in the order of years (null first), then of papers."""
     said = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) if "text" in papers.columns else F.size("sentences")
     cols = papers.columns
     label = F.col("section_label") if "section_label" in cols else F.lit(None).cast("string")
     enabled = F.coalesce("enabled", F.lit(True)) if "enabled" in cols else F.lit(True)
-    row = F.struct("paper_idx", "section", label.alias("section_label"), F.coalesce(said, F.lit(0)).alias("sentence_count"), enabled.alias("enabled"))
-    per = papers.groupBy("year").agg(F.array_sort(F.collect_list(row)).alias("sections"))
-    total = F.aggregate("sections", F.lit(0).cast("long"), lambda a, x: a + x["sentence_count"])
-    return per.select("year", F.lit("英语一").alias("kind"), F.size("sections").cast("long").alias("section_count"), total.alias("sentence_count"), "sections").orderBy("year")
+    count = F.greatest(F.coalesce(said, F.lit(0)), F.lit(0)).alias("sentence_count")
+    return papers.select("year", "paper_idx", "section", label.alias("section_label"), count, enabled.alias("enabled")).orderBy("year", "paper_idx")
 
 
-def union(parts) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def papers_by_year(papers: DataFrame) -> DataFrame:
+    """year, kind, section_count, sentence_count in the order of years. Their sections are rows of paper_sections(), not a list: a year may hold any number."""
+    per = paper_sections(papers).groupBy("year").agg(F.count("*").alias("section_count"), F.sum("sentence_count").cast("long").alias("sentence_count"))
+    return per.select("year", F.lit("英语一").alias("kind"), "section_count", "sentence_count").orderBy("year")

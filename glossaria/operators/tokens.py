@@ -103,7 +103,7 @@ def careful(line, abbreviations=ABBREVIATIONS):
     known = "|".join(a.replace(".", "[.]") for a in abbreviations)
     x = F.regexp_replace(line, rf"(?i)(^|[^\p{{L}}.])({known})[.]", f"$1$2{stop}")
     x = F.regexp_replace(x, r"(^|[^\p{L}])(\p{Lu})[.]", f"$1$2{stop}")
-    x = F.regexp_replace(x, r"[.](\d|\s+\p{Ll})", f"{stop}$1")
+    x = F.regexp_replace(x, r"[.]([\p{L}\p{N}]|\s+\p{Ll})", f"{stop}$1")
     return F.transform(plain(x), lambda s: F.replace(s, F.lit(stop), F.lit(".")))
 
 

@@ -434,13 +434,9 @@ def q15_delete_year(spark, d):
 _SAID = "len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))"
 
 
-@query(
-    f"SELECT source AS year, '英语一' AS kind, count(*) AS section_count, sum({_SAID})::BIGINT AS sentence_count, array_to_string(list(doc_id || ' ' || lang || ' ' || {_SAID} || ' true' ORDER BY doc_id), '; ') AS sections "
-    "FROM documents GROUP BY source"
-)
+@query(f"SELECT source AS year, '英语一' AS kind, count(*) AS section_count, sum({_SAID})::BIGINT AS sentence_count FROM documents GROUP BY source")
 def q16_papers_by_year(spark, d):
-    told = F.transform("sections", lambda x: F.concat_ws(" ", x["paper_idx"].cast("string"), x["section"], x["sentence_count"].cast("string"), x["enabled"].cast("string")))
-    return ix.papers_by_year(papers(spark, d)).withColumn("sections", F.array_join(told, "; "))
+    return ix.papers_by_year(papers(spark, d))
 
 
 @query(f"WITH {TOK}, {POSC}, {HIT} SELECT lemma, pos, meaning, pos_count FROM hit")
@@ -732,8 +728,8 @@ def q47_words_page(spark, d):
 
 
 _DETAIL = (
-    "SELECT '{0}' AS lemma, '{1}' AS pos, coalesce((SELECT pos_count FROM posc WHERE lemma = '{0}' AND pos = '{1}'), 0) AS unit_count, "
-    "coalesce((SELECT array_to_string(list(text ORDER BY paper_idx, para_idx, sent_idx), '; ') FROM exa WHERE lemma = '{0}' AND pos = '{1}'), '') AS sentences"
+    "SELECT h.*, text, year, section FROM (SELECT '{0}' AS lemma, '{1}' AS pos, coalesce((SELECT pos_count FROM posc WHERE lemma = '{0}' AND pos = '{1}'), 0) AS unit_count) h "
+    "LEFT JOIN exa ON exa.lemma = h.lemma AND exa.pos = h.pos"
 )
 
 
@@ -741,7 +737,7 @@ _DETAIL = (
 def q48_sense_detail_counts(spark, d):
     told, counts = all_examples(spark, d), ix.pos_counts(cells(spark, d))
     rows = ex.detail("idiot", "n", told, counts).unionByName(ex.detail("nowhere", "v", told, counts))
-    return rows.withColumn("sentences", F.array_join(F.transform("sentences", lambda s: s["text"]), "; "))
+    return rows.select("lemma", "pos", "unit_count", "text", "year", "section")
 
 
 _LABEL = "CASE key " + " ".join(f"WHEN '{k}' THEN '{label}'" for k, label, _ in SECTIONS) + " END"
@@ -823,3 +819,8 @@ def q56_exam_type_of_pages(spark, d):
 @query(f"WITH {entries_sql(True, fx.WORDBOOK)} SELECT group_title, count(*) AS entries, count(DISTINCT lemma) AS lemmas FROM ent GROUP BY group_title")
 def q57_vocab_report(spark, d):
     return vb.report(_entries(spark, d, True, fx.WORDBOOK).withColumn("grp", F.col("group_title"))).withColumnRenamed("grp", "group_title")
+
+
+@query(f"SELECT source AS year, doc_id AS paper_idx, lang AS section, NULL::VARCHAR AS section_label, coalesce({_SAID}, 0)::INT AS sentence_count, true AS enabled FROM documents")
+def q58_paper_sections(spark, d):
+    return ix.paper_sections(papers(spark, d))
