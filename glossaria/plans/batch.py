@@ -20,16 +20,13 @@ def corpus_sections(files: DataFrame) -> DataFrame:
     with a section counts.
     """
     single, bundles = files.where("phase < 2"), files.where("phase = 2")
-    doc = F.regexp_extract("path", "([^/]*)$", 1)
     pages = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"])
-    kinds = single.groupBy("phase", doc.alias("doc")).agg(t.exam_type_of_pages(pages).alias("kind"))
-    # A name may come in both phases; the phase is part of the document.
-    own = [rd.split_documents(single.where(F.col("phase") == p)).withColumn("phase", F.lit(p)) for p in (0, 1)]
-    own = own[0].unionByName(own[1]).join(kinds, ["phase", "doc"]).withColumn("year", t.year_of_name("doc")).withColumn("block", F.lit(0).cast("long"))
+    kinds = single.groupBy(F.col("path").alias("doc")).agg(F.min("phase").alias("phase"), t.exam_type_of_pages(pages).alias("kind"))
+    own = rd.split_documents(single).join(kinds, "doc").withColumn("year", t.year_of_name(rd.name_of(F.col("doc")))).withColumn("block", F.lit(0).cast("long"))
     many = rd.split_bundles(bundles).withColumn("phase", F.lit(2))
     rows = own.unionByName(many.select(*own.columns)).withColumn("at", F.struct("phase", "doc", "block"))
     last = rows.groupBy("year").agg(F.max("at").alias("at"))
-    return rows.join(last, ["year", "at"], "left_semi").withColumnRenamed("doc", "source").drop("at", "phase", "block")
+    return rows.join(last, ["year", "at"], "left_semi").withColumn("source", rd.name_of(F.col("doc"))).drop("doc", "at", "phase", "block")
 
 
 def build_papers(spark: SparkSession, root: str, out: str, year_folder: str = "single") -> int:

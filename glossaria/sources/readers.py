@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -169,10 +169,13 @@ def corpus_walk(spark: SparkSession, root: str, year_folder: str) -> DataFrame:
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
-    """doc, page, line_no, line in reading order, for the line operators."""
-    doc = F.regexp_extract("path", "([^/]*)$", 1)
-    rows = pages.select(doc.alias("doc"), "page", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return rows.select("doc", "page", (F.col("page") * 100000 + F.col("n")).alias("line_no"), "line")
+    """doc, page, line_no, line in reading order, for the line operators; doc is the file's whole path, as names may come twice."""
+    rows = pages.select(F.col("path").alias("doc"), "page", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return rows.select("doc", "page", (F.shiftleft(F.col("page").cast("long"), 32) + F.col("n")).alias("line_no"), "line")
+
+
+def name_of(path) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
 
 
 def split_documents(pages: DataFrame) -> DataFrame:
@@ -196,7 +199,8 @@ def uploaded(pages: DataFrame, after: int = 0) -> DataFrame:
     """
     rows = lines_of(pages)
     once_more = F.array_compact(F.transform("sentences", t.clean_paragraph))
-    year = t.year_of_name("doc")
+    name = name_of(F.col("doc"))
+    year = t.year_of_name(name)
     split = ln.sections(rows).select(
         "doc", "ord", year.alias("year"), F.col("key").alias("section"), F.col("label").alias("section_label"),
         F.concat_ws("_", year, "key").alias("filename"), F.lit(None).cast("string").alias("text"), once_more.alias("sentences"),
@@ -207,7 +211,7 @@ def uploaded(pages: DataFrame, after: int = 0) -> DataFrame:
     said = text.join(said, "doc", "left").withColumn("sentences", F.coalesce("sentences", F.array().cast("array<string>")))
     whole = said.select(
         "doc", F.lit(0).alias("ord"), year.alias("year"), F.lit(WHOLE[0]).alias("section"), F.lit(WHOLE[1]).alias("section_label"),
-        F.col("doc").alias("filename"), "text", once_more.alias("sentences"),
+        name.alias("filename"), "text", once_more.alias("sentences"),
     )
     both = split.unionByName(whole)
     place = F.row_number().over(W.orderBy("doc", "ord")) - 1 + after  # one row a section; uploads are few
