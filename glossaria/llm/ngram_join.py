@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import components, durable, release, small_batches
+from .common import components, durable, release, small_batches, spread_join
 
 _SLICES = 64
 _HASHES = 4
 
 
-def prefix_length(n, num: int = 80, den: int = 100):
+def prefix_length(n, num: int, den: int):
     """Shingles of a set of n that must include a common one: n - ceil(t n) + 1."""
     return n - (num * n + den - 1) // den + 1
 
@@ -81,7 +81,7 @@ def _add_up(batches):
         )
 
 
-def _prefixes(batches, shared, copies, bits: int, k: int):
+def _prefixes(batches, shared, copies, bits: int, k: int, num: int, den: int):
     counts = np.frombuffer(shared.value, "<u4").astype(np.uint64)
     bitmap = np.frombuffer(copies.value, np.uint64)
     low = np.uint64(0xFFFFFFFF)
@@ -90,7 +90,7 @@ def _prefixes(batches, shared, copies, bits: int, k: int):
         for i, j, buf, off in tk.slices(batch.column(1)):
             s, edge = tk.shingle_sets(buf, off, k)
             n = np.diff(edge)
-            keep = np.where(n > 0, prefix_length(n), 0)
+            keep = np.where(n > 0, prefix_length(n, num, den), 0)
             local = (np.arange(len(s)) - np.repeat(edge[:-1], n)).astype(np.uint64)
             key = (counts[(s >> np.uint64(64 - bits)).astype(np.int64)] << np.uint64(32)) | local
             out = []
@@ -204,12 +204,17 @@ class NgramJaccardJoin:
         for x in rows:
             table[x["part"]] = np.frombuffer(x["counts"], "<u4")
         rows = scan.where("part is null").select("doc_id", "n", "s1", "s2")
-        lead = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-        return durable(rows.join(lead, ["n", "s1", "s2"], "left").select("doc_id", "n", "rep"), "join-classes"), table.tobytes()
+        full = rows.where("n > 0 and doc_id is not null")
+        lead = durable(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "join-lead")
+        bare = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("rep"))  # nothing to look up
+        named = spread_join(full, lead, ["n", "s1", "s2"], "copies").select("doc_id", "n", "rep")
+        out = durable(named.unionByName(bare), "join-classes")
+        release(scan, lead)
+        return out, table.tobytes()
 
     def shared_shingles(self, docs: DataFrame, classes: DataFrame, counters: bytes) -> tuple[DataFrame, DataFrame]:
         """(shingle rows of prefixes that several classes hold, with the leader; suffix histograms of classes)."""
-        k, bits = self.k, self.bits
+        k, bits, num, den = self.k, self.bits, self.num, self.den
         sc = docs.sparkSession.sparkContext
         shared = sc.broadcast(counters)
         # Documents that are surely their class's representative go on as they are; only those that the
@@ -217,7 +222,7 @@ class NgramJaccardJoin:
         others = classes.where("doc_id <> rep or doc_id is null or rep is null").select("doc_id")
         copies = sc.broadcast(_bloom(others.where("doc_id is not null")).tobytes())
         pre = docs.select("doc_id", "text").mapInArrow(
-            lambda it: _prefixes(it, shared, copies, bits, k), "doc_id long, n long, prefix array<long>, hist array<int>, doubt boolean"
+            lambda it: _prefixes(it, shared, copies, bits, k, num, den), "doc_id long, n long, prefix array<long>, hist array<int>, doubt boolean"
         )
         pre = durable(pre, "join-prefix").where("doc_id is not null")
         reps = classes.where("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct()
@@ -270,28 +275,41 @@ class NgramJaccardJoin:
         )
         links = self.links(docs, self._filtered(met, hist, earlier="least(pa, pb)"))
         comp = components(links)
-        # What is left: shingles whose classes are in several components, paired across components only.
+        # What is left: shingles whose classes are in several components, paired across components only. The members of a shingle's
+        # largest component never meet each other, and pairs are held against the length and positional filters as they are made.
         named = shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
         named = durable(named.select("token", "rep", "n", "pos", "comp"), "join-named")
-        open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi and rows > 2")
-        rest = named.join(open_.select("token"), "token", "left_semi")
-        a = rest.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-        b = rest.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-        fit = f"a < b and ca <> cb and {self.den} * least(na, nb) >= {self.num} * greatest(na, nb) and {self.num + self.den} * least(na - pa, nb - pb) >= {self.num} * (na + nb)"
-        more = a.join(b, "token").where(fit).select("a", "b", "na", "nb", "pa", "pb")
+        per = named.groupBy("token", "comp").agg(F.count("*").alias("members"))
+        open_ = per.groupBy("token").agg(F.max_by("comp", F.struct("members", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
+        rest = durable(named.join(open_.select("token", "largest"), "token"), "join-open")
+        a = rest.where("comp <> largest").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+        b = rest.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "largest")
+        fit = (
+            f"ca <> cb and (cb = largest or a < b) and {self.den} * least(na, nb) >= {self.num} * greatest(na, nb) "
+            f"and {self.num + self.den} * least(na - pa, nb - pb) >= {self.num} * (na + nb)"
+        )
+        more = a.join(b, "token").where(fit).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+            F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"), F.expr("if(a < b, pa, pb)").alias("pa"), F.expr("if(a < b, pb, pa)").alias("pb"),
+        )
         tried = met.select("a", "b").distinct()
         more = self._filtered(more, hist).join(tried, ["a", "b"], "left_anti")
         new = self.links(docs, more)
         if new.take(1):
             comp = components(links.unionByName(new))
-        label = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+        release(named, rest)
+        copies = classes.where("rep is not null").groupBy("rep").agg(F.count("*").alias("copies"))
+        found = durable(copies.join(comp.withColumnRenamed("id", "rep"), "rep", "left"), "join-found")
+        label = spread_join(classes.where("rep is not null"), found, ["rep"], "copies")
+        bare = classes.where("rep is null").withColumn("component", F.lit(None).cast("long"))
+        label = label.select("doc_id", "n", "rep", "component").unionByName(bare.select("doc_id", "n", "rep", "component"))
         return label.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
     def one_of_each(self, docs: DataFrame) -> DataFrame:
         """The rows of docs without those whose component has a smaller doc_id; all columns kept.
 
         Only the ids that go or repeat are joined, against a Bloom filter's suspects: the texts of the others are not shuffled.
-        Of rows that share a doc_id one stays; rows with null doc_id stay.
+        Of rows that share a doc_id the first by text, then by the hash of the whole row, stays; rows with null doc_id stay.
         """
         groups = self.groups(docs).where("doc_id is not null")
         per = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows"))
@@ -309,4 +327,6 @@ class NgramJaccardJoin:
         clear = docs.mapInArrow(lambda it: part(it, True), docs.schema)
         doubt = docs.mapInArrow(lambda it: part(it, False), docs.schema)
         left = doubt.join(found.where("gone"), F.col("doc_id") == F.col("__id"), "left_anti")
-        return clear.unionByName(left.dropDuplicates(["doc_id"]))
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        first = left.groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.xxhash64(whole))).alias("__row"))
+        return clear.unionByName(first.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
