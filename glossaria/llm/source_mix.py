@@ -35,7 +35,7 @@ _RANGE = 1 << 20
 class FairMix:
     """weights repeat over the sources in code-point order; targets stop at `cap` times a source's size."""
 
-    def __init__(self, weights=(5, 2, 1), cap: int = 3, seed: int = 20240607, rows_per_bin: int = 4096):
+    def __init__(self, weights=(5, 2, 1), cap: int = 3, seed: int = 20240607, rows_per_bin: int = 256):
         self.weights, self.cap, self.seed, self.rows_per_bin = tuple(weights), cap, seed, rows_per_bin
 
     def targets(self, sources: DataFrame) -> DataFrame:
