@@ -58,3 +58,21 @@ def test_pipeline(spark, tmp_path):
         assert abs(words - sum(total.values()) * w / 8) <= 130
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "ngram_join", "source_mix", "sentencepiece"]
     assert list(corpus_pipeline.classify(spark, docs, str(tmp_path)).columns) == docs.columns
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/piece_bpe_32k.model"), reason="no model file")
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables give an empty result; repeated rows, clashing columns and a null doc_id pass through the stages."""
+    rng = random.Random(12)
+    make = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, copies int, rep long, __row string"
+    rows = [(i, x, "en", f"s{i % 2}", len(x), "i", 1, 2, "r") for i in range(40) for x in [make(40)]]
+    rows += [rows[3], rows[3], (None, make(40), None, None, None, None, None, None, None)]
+    labels = "doc_id long, quality int, toxic int"
+    for name, docs, said in (("empty", [], []), ("odd", rows, [])):
+        spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(said, labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = [r["doc_id"] for r in got]
+    assert got and all(ids.count(i) <= 3 for i in set(ids)) and all(r["n_tokens"] == len(r["ids"]) for r in got)
