@@ -6,8 +6,9 @@ Every class goes to its nearest centroid's cell, and as a guest to each lower-nu
 hold a partner: with x at home in c and y at home in c', cos(x, y) >= t needs y within asin(sqrt(1 - t^2)) of
 the plane between the two centroids. So each pair meets in exactly one cell and none is lost.
 
-A cell is split into blocks by hash and every pair of blocks is one task of at most
-2 x `block` rows, whatever the cell's size. A task emits, for a vector with links, their number and the
+A cell is split into blocks by hash and every pair of blocks is one task of at most about
+2 x `block` rows and 128 MB of vectors, whatever the cell's size. So a vector is copied once for every `block` others that its
+cell holds; blocks are large, and links are kept as bits in a task, to keep these copies few. A task emits, for a vector with links, their number and the
 smallest vector of its component within the task: at most one row a vector, never the pairs.
 Components over those rows are found by distributed star steps.
 
@@ -27,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, release, small_batches
+from .common import components, durable, release, small_batches, spread_join
 
-_LIMIT = 1 << 12
+#: Rows of a block that are multiplied with the other block at once.
+_STEP = 256
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 2) -> np.ndarray:
@@ -84,50 +86,52 @@ def _cells(batches, centroids: dict, t: float):
 
 
 def _unit(table: pa.Table, t: float) -> pa.Table:
-    """One task: the rows of its two blocks (side 0 and 1; a block with itself has side 0 only)."""
+    """One task: the rows of its two blocks (side 0 and 1; a block with itself has side 0 only). Links are kept as bits."""
     empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     side = table.column("side").to_numpy()
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    own = i == j
+    own = table.column("i")[0].as_py() == table.column("j")[0].as_py()
     left = table.filter(pa.array(side == 0))
     right = left if own else table.filter(pa.array(side == 1))
     if not len(left) or not len(right):
         return empty
     dim = table.column("dim")[0].as_py()
-    load = lambda q: (_matrix(q.column("v").combine_chunks(), dim), q.column("rep").to_numpy(), q.column("mult").to_numpy().astype(np.float64))
+    load = lambda q: (_matrix(q.column("v").combine_chunks(), dim), q.column("rep").to_numpy(), q.column("mult").to_numpy())
     x, a, ma = load(left)
     y, b, mb = (x, a, ma) if own else load(right)
-    hit = np.empty((len(x), len(y)), bool)
-    for k in range(0, len(x), 512):
-        np.greater_equal(x[k : k + 512] @ y.T, t, out=hit[k : k + 512])
-    if own:
-        np.fill_diagonal(hit, False)
-    rows, cols = hit.any(axis=1), hit.any(axis=0)
-    if not rows.any():
+    na, nb = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    bits = []  # (rows with a link, their links)
+    for k in range(0, len(x), _STEP):
+        hit = x[k : k + _STEP] @ y.T >= t
+        if own:
+            hit[np.arange(len(hit)), np.arange(k, k + len(hit))] = False
+        rows = np.flatnonzero(hit.any(axis=1))
+        if len(rows):
+            hit = hit[rows]
+            na[k + rows], nb = (hit * mb).sum(axis=1), nb + (hit * ma[k + rows][:, None]).sum(axis=0)
+            bits.append((k + rows, np.packbits(hit, axis=1)))
+    if not bits:
         return empty
-    hit, a, b = hit[rows][:, cols], a[rows], b[cols]
-    h = hit.astype(np.float32)
-    na, nb = (h.astype(np.float64) @ mb[cols]), (ma[rows] @ h.astype(np.float64))
-    del h
     la, lb = a.copy(), b.copy()
     big = np.iinfo(np.int64).max
     while True:
         before = la.sum(), lb.sum()
-        for k in range(0, len(la), 512):
-            la[k : k + 512] = np.minimum(la[k : k + 512], np.where(hit[k : k + 512], lb, big).min(axis=1))
-        for k in range(0, len(lb), 512):
-            lb[k : k + 512] = np.minimum(lb[k : k + 512], np.where(hit[:, k : k + 512], la[:, None], big).min(axis=0))
+        for rows, packed in bits:
+            hit = np.unpackbits(packed, axis=1, count=len(y)).view(bool)
+            la[rows] = np.minimum(la[rows], np.where(hit, lb, big).min(axis=1))
+            lb = np.minimum(lb, np.where(hit, la[rows][:, None], big).min(axis=0))
         if own:
             la = lb = np.minimum(la, lb)
         if (la.sum(), lb.sum()) == before:
             break
+    one = na > 0
     if own:
-        return pa.table({"a": a, "b": la, "n": na.astype(np.int64)})
-    return pa.table({"a": np.concatenate([a, b]), "b": np.concatenate([la, lb]), "n": np.concatenate([na, nb]).astype(np.int64)})
+        return pa.table({"a": a[one], "b": la[one], "n": na[one]})
+    two = nb > 0
+    return pa.table({"a": np.concatenate([a[one], b[two]]), "b": np.concatenate([la[one], lb[two]]), "n": np.concatenate([na[one], nb[two]])})
 
 
 class CosineGroups:
-    def __init__(self, threshold: float = 0.95, sample: int = 20000, per_cell: int = 4096, max_cells: int = 256, block: int = 2048):
+    def __init__(self, threshold: float = 0.95, sample: int = 32768, per_cell: int = 4096, max_cells: int = 1024, block: int = 16384):
         self.t, self.sample, self.per_cell, self.max_cells, self.block = threshold, sample, per_cell, max_cells, block
 
     def groups(self, vectors: DataFrame) -> DataFrame:
@@ -154,9 +158,13 @@ class CosineGroups:
                 if len(got) > k:
                     centroids[dim] = spherical_kmeans(_matrix(got.column("v").combine_chunks(), dim), k)
         shape = f"rep long, mult long, dim int, cell int, guest boolean, v array<{vectors.schema['embedding'].dataType.elementType.simpleString()}>"
+        block = {dim: max(1, min(self.block, (64 << 20) // (8 * dim))) for dim in counts}
+        per_task = F.lit(min(self.block, 256))
+        for dim, rows_ in block.items():
+            per_task = F.when(F.col("dim") == dim, F.lit(rows_)).otherwise(per_task)
         placed = durable(full.select("rep", "mult", "v").mapInArrow(lambda it: _cells(it, centroids, t), shape), "emb-cells")
         size = placed.groupBy("dim", "cell").agg(F.sum(F.when(F.col("guest"), 0).otherwise(1)).alias("own"), F.sum(F.when(F.col("guest"), 1).otherwise(0)).alias("guests"))
-        size = size.select("dim", "cell", F.ceil(F.col("own") / self.block).cast("int").alias("p"), F.ceil(F.col("guests") / self.block).cast("int").alias("g"))
+        size = size.select("dim", "cell", F.ceil(F.col("own") / per_task).cast("int").alias("p"), F.ceil(F.col("guests") / per_task).cast("int").alias("g"))
         p = placed.join(size, ["dim", "cell"]).where("p > 0")
         blk = F.pmod(F.xxhash64(F.lit(5), "rep"), F.when(F.col("guest"), F.col("g")).otherwise(F.col("p"))).cast("int")
         p = p.withColumn("k", blk)
@@ -172,12 +180,15 @@ class CosineGroups:
         release(placed)
         degree = met.groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
         comp = components(met.select("a", "b")).withColumnRenamed("id", "rep")
-        classes = full.drop("v").join(degree, "rep", "left").join(comp, "rep", "left")
-        out = rows.select("vec_id", "h1", "h2").join(classes, ["h1", "h2"], "left")
+        classes = durable(full.drop("v").join(degree, "rep", "left").join(comp, "rep", "left").withColumn("same", F.col("mult")), "emb-named")
+        release(met, full)
+        ids = rows.select("vec_id", "h1", "h2")
+        bare = ids.where("h1 is null").select("vec_id", *[F.lit(None).cast("long").alias(c) for c in ("rep", "same", "links", "component")])
+        out = spread_join(ids.where("h1 is not null"), classes, ["h1", "h2"], "mult").select(*bare.columns).unionByName(bare)
         component = F.coalesce("component", "rep", "vec_id")
         return out.select(
             "vec_id",
-            F.when(F.col("rep").isNull(), F.lit(0)).otherwise(F.col("mult") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+            F.when(F.col("rep").isNull(), F.lit(0)).otherwise(F.col("same") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
             component.alias("component_id"),
             F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
         )
