@@ -53,3 +53,53 @@ c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.
 link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), {_REACH}
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low ON doc_id = low.a"""
+
+
+_HASHES = ", ".join(f"('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+_SPLIT = "array_to_string(u[{}:{}], '')"
+
+#: Units of the whole text by a regular expression, cuts by slices of them.
+FILL_IN_MIDDLE = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_HASHES} FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM t),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, {_SPLIT.format("1", "a")} AS prefix, {_SPLIT.format("a + 1", "b")} AS middle, {_SPLIT.format("b + 1", "n")} AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+#: CRC-32 by its table, prefixes as whole strings, subtrees by the paths of each node's smallest member.
+PREFIX_TRIE = r"""
+WITH src AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) AS i, r, x FROM src),
+tb AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tb),
+cv AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+  xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda a, b: xor(a >> 8, tb[(xor(a, b) & 255) + 1]), 4294967295)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), tb),
+r1 AS (SELECT c.conv_id, t.i AS d, r, x FROM cv c JOIN t ON t.conv_id = c.base AND t.i <= c.h),
+nb AS (SELECT c.conv_id, count(r1.d) AS n FROM cv c LEFT JOIN r1 USING (conv_id) GROUP BY c.conv_id),
+re AS (SELECT * FROM r1 UNION ALL SELECT t.conv_id, t.i - c.h + nb.n, r, x FROM t JOIN cv c USING (conv_id) JOIN nb USING (conv_id) WHERE t.i > c.h),
+ps AS (SELECT conv_id, d, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
+  sha256(string_agg(length(r) || ':' || r || length(x) || ':' || x, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM re),
+pk AS (SELECT *, CASE WHEN d = 1 THEN '' ELSE lag(k) OVER (PARTITION BY conv_id ORDER BY d) END AS pk FROM ps UNION ALL SELECT conv_id, 0, 0, '', NULL FROM cv),
+nd AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, any_value(pk) AS pk FROM pk GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n FROM nd WHERE d > 0 GROUP BY ALL),
+kn AS (SELECT nd.*, coalesce(kids.n, 0) AS n_children FROM nd LEFT JOIN kids ON kids.d = nd.d AND kids.k = nd.k),
+sub AS (SELECT a.d, a.k, sum((kn.n_convs - 1) * kn.words)::BIGINT AS saved_tokens, count(CASE WHEN n_children = 0 THEN 1 END) AS n_leaves FROM kn JOIN pk a ON a.conv_id = kn.conv_id AND a.d <= kn.d GROUP BY a.d, a.k),
+fin AS (SELECT conv_id, max(d) AS d, arg_max(k, d) AS k FROM pk GROUP BY conv_id),
+en AS (SELECT d, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS e FROM fin GROUP BY d, k)
+SELECT kn.conv_id, kn.d AS depth, up.conv_id AS parent_conv_id, kn.n_convs, kn.n_children, sub.n_leaves, sub.saved_tokens, coalesce(en.e, sha256('')) AS ends_sha256
+FROM kn JOIN sub ON sub.d = kn.d AND sub.k = kn.k LEFT JOIN kn up ON up.d = kn.d - 1 AND up.k = kn.pk LEFT JOIN en ON en.d = kn.d AND en.k = kn.k
+"""
+
+#: Base32 from five hexadecimal digits, which are four of its own, at a time.
+ZIP_WARC = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS k, max(page_id) OVER (PARTITION BY html) AS top, sha1(html) AS hex FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS five FROM r)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(five, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to FROM b
+"""

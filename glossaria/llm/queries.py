@@ -73,6 +73,31 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE
     return back.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"), F.length("text").alias("decoded_chars"), F.xxhash64("text").alias("decoded_hash"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text as written for training, and of the text rebuilt from it."""
+    from .fill_in_middle import FillInMiddle, restored
+
+    rows = FillInMiddle().transform(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import PrefixTrie
+
+    return PrefixTrie().nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives say of every page, which are written, read back and deleted."""
+    from .zip_warc import ZipWarc, discard
+
+    warc = ZipWarc()
+    manifest = warc.write(table(spark, sf_dir, "pages"))
+    out = warc.resolved(manifest).drop("url")
+    discard(spark, manifest)
+    return out
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -85,6 +110,9 @@ def queries() -> dict:
         "op8_ngram_join": op8_ngram_join,
         "op9_chat_format": op9_chat_format,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_zip_warc": op13_zip_warc,
     }
 
 
@@ -95,4 +123,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": oracles.quality_rules(),
         "op5_embedding_dedup": oracles.EMBEDDING_DEDUP,
         "op8_ngram_join": oracles.NGRAM_JOIN,
+        "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
+        "op12_prefix_trie": oracles.PREFIX_TRIE,
+        "op13_zip_warc": oracles.ZIP_WARC,
     }
