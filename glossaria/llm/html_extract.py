@@ -14,7 +14,7 @@ Defined cases: null html and a page without main text give an empty text; a page
 character reference loses only that tag; unclosed and stray tags are tolerated: script, style, textarea and title
 without an end tag run to the end of the page, as in browsers, of other skipped elements only the tag is skipped, and
 head ends where <body> or anything shown begins; pages of any
-length are read whole, with memory for one page's blocks; repeated rows give equal texts; an empty table gives
+length and depth are read whole, in time and memory that grow with the page (a block refers to its path, paths share the tags above); repeated rows give equal texts; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -99,12 +99,62 @@ def _ends(page: str, at: int) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path words, text, characters inside links) of the page's leaf blocks with text."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Path:
+    """The open tags at a place: the tag above, the words that no tag above has, the last two words, and the number of tags."""
+
+    __slots__ = ("above", "new", "tail", "depth")
+
+    def __init__(self, above: Path | None, new: tuple[str, ...], tail: tuple[str, ...]):
+        self.above, self.new, self.tail = above, new, tail
+        self.depth = above.depth + 1 if above else 0
+
+
+class _Open:
+    """The stack of open tags. A step costs what it adds or takes away, however many tags are open."""
+
+    def __init__(self):
+        self.path: Path | None = None
+        self.tags: list[tuple[str, list[str]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.held: dict[str, int] = {}
+
+    def push(self, tag: str, names: list[str]) -> None:
+        new = []
+        for w in names:
+            if not self.held.get(w):
+                new.append(w)
+            self.held[w] = self.held.get(w, 0) + 1
+        tail = (*(self.path.tail if self.path else ()), *names)[-2:]
+        self.path = Path(self.path, tuple(new), tail)
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.tags.append((tag, names))
+
+    def top(self, tags) -> int:
+        """The place of the innermost of some tags, -1 without any."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, names, stop=frozenset()) -> None:
+        """Close the innermost of `names`, and all within it, unless one of `stop` stands further in."""
+        place = self.top(names)
+        if place < 0 or place < self.top(stop):
+            return
+        while len(self.tags) > place:
+            tag, words = self.tags.pop()
+            self.at[tag].pop()
+            self.path = self.path.above
+            for w in words:
+                self.held[w] -= 1
+
+
+_INNER = {tag: frozenset({"td", "th", "li", "div", "article", "section", "body"} - {tag}) for tag in BLOCK}
+
+
+def blocks(page: str) -> list[tuple[Path | None, str, int]]:
+    """(path, text, characters inside links) of the page's leaf blocks with text; time and memory grow with the page alone."""
+    out: list[tuple[Path | None, str, int]] = []
+    stack = _Open()
     text: list[str] = []
-    linked = links = 0
+    linked = 0
     at, end = 0, len(page)
     ends: dict[int, int] | None = None
 
@@ -113,29 +163,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if text:
             whole = " ".join(html_lib.unescape("".join(text)).split())
             if whole:
-                out.append((tuple(w for _, names in stack for w in names), whole, linked))
+                out.append((stack.path, whole, linked))
             text.clear()
         linked = 0
 
-    def pop_to(names, stop) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                links -= sum(t == "a" for t, _ in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
-
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
             text.append(page[at:])
-            linked += (end - at) * (links > 0)
+            linked += (end - at) * bool(stack.at.get("a"))
             break
         if m.start() > at:
             text.append(page[at : m.start()])
-            linked += (m.start() - at) * (links > 0)
+            linked += (m.start() - at) * bool(stack.at.get("a"))
         at = m.end()
         tag = m[2]
         if tag is None or m[4] is not None:  # a comment, or a tag that the page's end cuts off
@@ -144,8 +184,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            if any(t == tag for t, _ in stack):
-                pop_to({tag}, frozenset())
+            stack.close((tag,))
             continue
         if tag == "head":
             continue
@@ -163,9 +202,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if tag in BLOCK:
             flush()
-            pop_to({"p"}, {"td", "th", "li", "div", "article", "section", "body"} - {tag})
+            stack.close(("p",), _INNER[tag])
             if tag in CLOSES:
-                pop_to(*CLOSES[tag])
+                stack.close(*CLOSES[tag])
         elif tag == "br":
             text.append(" ")
         if tag in VOID or m[3].endswith("/"):
@@ -173,8 +212,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         names = [tag]
         for value in _NAMES.findall(m[3]):
             names += ["." + w for w in _WORD.findall(value.lower())]
-        links += tag == "a"
-        stack.append((tag, tuple(names)))
+        stack.push(tag, names)
     flush()
     return out
 
@@ -194,9 +232,50 @@ class BlockLstm:
             self.p["w" + d] = f4(n + hidden, 4 * hidden, scale=1 / np.sqrt(n + hidden))
             self.p["c" + d] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)]).astype(np.float32)
 
+    def _tree(self, paths: list[Path | None]) -> dict:
+        """Rows of a tree of paths, those above first, with the numbers of their new words; and the row of every block."""
+        rows: dict[Path | None, int] = {None: 0}
+        order: list[Path] = []
+        for p in paths:
+            chain = []
+            while p not in rows:
+                rows[p] = -1
+                chain.append(p)
+                p = p.above
+            for p in reversed(chain):
+                order.append(p)
+                rows[p] = len(order)
+        new = [[crc32(w.encode()) % self.PATHS for w in p.new] for p in order]
+        return {
+            "above": np.array([0, *(rows[p.above] for p in order)]),
+            "depth": np.array([0, *(p.depth + 1 for p in order)]),
+            "path": np.array([x for ids in new for x in ids], np.int64),
+            "n_path": np.array([0, *map(len, new)]),
+            "row": np.array([rows[p] for p in paths], np.int64),
+        }
+
+    def _path_means(self, f: dict) -> np.ndarray:
+        """Mean vector of the words on each block's path: a tag's sum is that of the tag above and its new words'."""
+        n, table = f["n_path"], self.p["path"]
+        total, count = np.zeros((len(n), self.e), np.float32), n.astype(np.float32)
+        some = np.flatnonzero(n)
+        if len(some):
+            total[some] = np.add.reduceat(table[f["path"]], (np.cumsum(n) - n)[some])
+        order = np.argsort(f["depth"], kind="stable")
+        edge = np.searchsorted(f["depth"][order], np.arange(2, int(f["depth"].max()) + 2))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            at = order[a:b]
+            total[at] += total[f["above"][at]]
+            count[at] += count[f["above"][at]]
+        out = (total / np.maximum(count, 1)[:, None])[f["row"]]
+        out[count[f["row"]] == 0] = table[0]  # outside of all tags
+        return out
+
     def features(self, found: list) -> dict:
-        """Index arrays and numbers of blocks (any number, of any pages)."""
-        paths = [[crc32(w.encode()) % self.PATHS for w in dict.fromkeys(p)] or [0] for p, _, _ in found]
+        """Index arrays and numbers of blocks (any number, of any pages). Paths are all of pages, or all tuples of words, as training has them."""
+        tuples = not found or isinstance(found[0][0], tuple)
+        tails = [p[-2:] if tuples else p.tail if p else () for p, _, _ in found]
+        paths = [[crc32(w.encode()) % self.PATHS for w in dict.fromkeys(p)] or [0] for p, _, _ in found] if tuples else []
         raw = [t.encode() for _, t, _ in found]
         off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         buf = np.frombuffer(b"".join(raw), np.uint8)
@@ -209,10 +288,13 @@ class BlockLstm:
         num = np.zeros((len(found), self.NUM), np.float32)
         num[:, 0], num[:, 1] = np.minimum(np.log1p(chars) / 5, 2), np.minimum(np.log1p(n_words) / 4, 2)
         num[:, 2], num[:, 3] = np.minimum(link / np.maximum(chars, 1), 1), ends
-        num[:, 4] = [p[-1:] == ("a",) or "li" in p[-2:] for p, _, _ in found]
-        num[:, 5] = [len(p) > 0 and len(p[-1]) == 2 and p[-1][0] == "h" for p, _, _ in found]
+        num[:, 4] = [p[-1:] == ("a",) or "li" in p for p in tails]
+        num[:, 5] = [len(p) > 0 and len(p[-1]) == 2 and p[-1][0] == "h" for p in tails]
         num[:, 6], num[:, 7] = n_words < 4, 1
-        return {"path": np.concatenate([np.array(x) for x in paths]), "n_path": np.array([len(x) for x in paths]), "word": words, "n_word": n_words, "num": num}
+        said = {"word": words, "n_word": n_words, "num": num}
+        if not tuples:
+            return self._tree([p for p, _, _ in found]) | said
+        return {"path": np.concatenate([np.array(x) for x in paths]), "n_path": np.array([len(x) for x in paths])} | said
 
     def _embed(self, f: dict) -> np.ndarray:
         def mean(table, index, count):
@@ -233,7 +315,7 @@ class BlockLstm:
                         k = stop
             return out / np.maximum(count, 1)[:, None]
 
-        paths = mean(self.p["path"], f["path"], f["n_path"]) * 3
+        paths = (self._path_means(f) if "above" in f else mean(self.p["path"], f["path"], f["n_path"])) * 3
         return np.concatenate([paths, mean(self.p["word"], f["word"], f["n_word"]), f["num"]], axis=1)
 
     def _run(self, d: str, x: np.ndarray, on: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -259,8 +341,38 @@ class BlockLstm:
                 keep.append((t, was_h, was_c, i, f, o, a, th, m))
         return out
 
+    def _both(self, x: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """What _run gives of both directions, side by side, in one loop over steps (a logistic function is a scaled tanh)."""
+        T, B, n = x.shape
+        H = self.h
+        half = np.concatenate([np.full(3 * H, 0.5), np.ones(H)]).astype(np.float32)
+        w, bias = np.stack([self.p["wf"], self.p["wb"]]) * half, np.stack([self.p["cf"], self.p["cb"]]) * half
+        xw, m = np.empty((T, 2, B, 4 * H), np.float32), np.empty((T, 2, B, 1), np.float32)
+        for k, way in ((0, slice(None)), (1, slice(None, None, -1))):
+            xw[:, k], m[:, k, :, 0] = (x @ w[k, :n] + bias[k])[way], on[way]
+        u, full = w[:, n:].copy(), bool(on.all())
+        out = np.empty((T, 2, B, H), np.float32)
+        h, c = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32)
+        z, part = np.empty((2, B, 4 * H), np.float32), np.empty((2, B, H), np.float32)
+        g, i, f, o, a = z[..., : 3 * H], z[..., :H], z[..., H : 2 * H], z[..., 2 * H : 3 * H], z[..., 3 * H :]
+        for t in range(T):
+            np.matmul(h, u, out=z)
+            z += xw[t]
+            np.tanh(z, out=z)
+            g *= 0.5
+            g += 0.5
+            c *= f
+            np.multiply(i, a, out=part)
+            c += part
+            if not full:
+                c *= m[t]
+            h = np.multiply(np.tanh(c, out=part), o, out=out[t])
+            if not full:
+                h *= m[t]
+        return np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
+
     def probabilities(self, x: np.ndarray, on: np.ndarray) -> np.ndarray:
-        s = np.concatenate([self._run("f", x, on), self._run("b", x, on)], axis=2)
+        s = self._both(x, on)
         return 1 / (1 + np.exp(-(s @ self.p["o"] + self.p["ob"])[..., 0]))
 
     def train(self, pages: list[list], labels: list[list[int]], steps: int = 220, batch: int = 24, rate: float = 0.02, seed: int = 1) -> None:
