@@ -57,6 +57,29 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+#: Vectors that are held against the centroids at once.
+_ROWS = 1024
+
+
+def _guests(s: np.ndarray, home: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the cells below a row's home that can hold a partner of it. s: products with the centroids.
+
+    The distance of two centroids follows from their product; those of a cell are worked out when a row of it comes, one row of
+    distances at a time, so memory is that of a block of rows and not of all pairs of centroids.
+    """
+    rows, cells = [], []
+    for h in np.unique(home).tolist():
+        if not h:
+            continue  # no cell is below the first
+        gap = np.sqrt(np.maximum(2 - 2 * (c[:h] @ c[h]), 0))
+        mine = np.flatnonzero(home == h)
+        r, g = np.nonzero(s[mine, h][:, None] - s[mine, :h] <= reach * gap + 1e-7)
+        rows.append(mine[r])
+        cells.append(g)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(cells)) if rows else (none, none)
+
+
 def _cells(batches, centroids: dict, t: float):
     """(rep, mult, cell, guest, v): a row for the home cell and one for each cell that v is a guest of."""
     reach = np.sqrt(1 - t * t)
@@ -71,10 +94,7 @@ def _cells(batches, centroids: dict, t: float):
             else:
                 s = x @ c.T
                 home = s.argmax(axis=1)
-                gap = np.linalg.norm(c[:, None] - c[None], axis=2)[home]
-                near = s[np.arange(len(x)), home][:, None] - s <= reach * gap + 1e-9
-                near &= np.arange(len(c)) < home[:, None]
-                r, g = np.nonzero(near)
+                r, g = _guests(s, home, c, reach)
                 rows, cell = np.concatenate([np.arange(len(x)), r]), np.concatenate([home, g])
                 guest = np.concatenate([np.zeros(len(x), bool), np.ones(len(r), bool)])
             for i in range(0, len(rows), 8192):
@@ -147,7 +167,7 @@ class CosineGroups:
         ) & F.col("vec_id").isNotNull()
         rows = vectors.select("vec_id", F.when(good, F.xxhash64(e)).alias("h1"), F.when(good, F.xxhash64(F.lit(7), e)).alias("h2"), F.when(good, e).alias("v"))
         full = durable(rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("v").alias("v")), "emb-classes")
-        counts = {x["d"]: x["n"] for x in full.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(16).collect()}
+        counts = {x["d"]: x["n"] for x in full.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") > self.per_cell).collect()}
         centroids = {}
         for dim, n in counts.items():
             k = min(self.max_cells, -(-n // self.per_cell))
@@ -158,11 +178,10 @@ class CosineGroups:
                 if len(got) > k:
                     centroids[dim] = spherical_kmeans(_matrix(got.column("v").combine_chunks(), dim), k)
         shape = f"rep long, mult long, dim int, cell int, guest boolean, v array<{vectors.schema['embedding'].dataType.elementType.simpleString()}>"
-        block = {dim: max(1, min(self.block, (64 << 20) // (8 * dim))) for dim in counts}
-        per_task = F.lit(min(self.block, 256))
-        for dim, rows_ in block.items():
-            per_task = F.when(F.col("dim") == dim, F.lit(rows_)).otherwise(per_task)
-        placed = durable(full.select("rep", "mult", "v").mapInArrow(lambda it: _cells(it, centroids, t), shape), "emb-cells")
+        per_task = F.greatest(F.lit(1), F.least(F.lit(self.block), F.floor(F.lit(8 << 20) / F.col("dim"))))
+        shared = spark.sparkContext.broadcast(centroids)
+        placed = durable(full.select("rep", "mult", "v").mapInArrow(lambda it: _cells(it, shared.value, t), shape), "emb-cells")
+        shared.unpersist()
         size = placed.groupBy("dim", "cell").agg(F.sum(F.when(F.col("guest"), 0).otherwise(1)).alias("own"), F.sum(F.when(F.col("guest"), 1).otherwise(0)).alias("guests"))
         size = size.select("dim", "cell", F.ceil(F.col("own") / per_task).cast("int").alias("p"), F.ceil(F.col("guests") / per_task).cast("int").alias("g"))
         p = placed.join(size, ["dim", "cell"]).where("p > 0")
