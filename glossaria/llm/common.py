@@ -74,11 +74,13 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound the Arrow batches between the JVM and Python: texts are long, and the default of 10,000 rows is not sized for them."""
+def small_batches(spark: SparkSession, rows: int = 1024, size: int | None = None) -> None:
+    """Bound the Arrow batches between the JVM and Python, by rows and by bytes: texts are long, and the defaults of 10,000 rows and 64 MB are not sized for them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    if size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

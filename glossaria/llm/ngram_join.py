@@ -14,7 +14,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Two documents
    left after the first common one) and the suffix filter (shingles in each of 64 hash ranges
    bound the overlap), then both sets are intersected once.
 4. Only shingles that still join classes of different components are paired in full; pairs within a
-   component can't change the result. That makes the components exact.
+   component can't change the result. Members are paired by buckets of equal size and position, and only buckets that the length and
+   positional filters admit meet. That makes the components exact.
 
 No pair, link or component goes to the driver; the broadcast tables have fixed sizes (4 MB of
 counters; a Bloom filter of at most 32 MB that spares shuffling texts and only ever lets too much through).
@@ -190,7 +191,7 @@ class NgramJaccardJoin:
 
     def classes(self, docs: DataFrame) -> tuple[DataFrame, bytes]:
         """Per row doc_id, n, rep (smallest doc_id with an equal set; null if the set is empty); and the counters."""
-        small_batches(docs.sparkSession)
+        small_batches(docs.sparkSession, size=8 << 20)
         k, bits = self.k, self.bits
         scan = durable(
             docs.select("doc_id", "text").mapInArrow(
@@ -225,6 +226,8 @@ class NgramJaccardJoin:
             lambda it: _prefixes(it, shared, copies, bits, k, num, den), "doc_id long, n long, prefix array<long>, hist array<int>, doubt boolean"
         )
         pre = durable(pre, "join-prefix").where("doc_id is not null")
+        shared.unpersist()
+        copies.unpersist()
         reps = classes.where("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct()
         pre = pre.where("not doubt").unionByName(pre.where("doubt").join(reps, "doc_id", "left_semi"))
         rows = pre.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
@@ -259,10 +262,11 @@ class NgramJaccardJoin:
         shared = spark.sparkContext.broadcast(_bloom(ids).tobytes())
         sets = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, shared, k), "doc_id long, members binary")
         sets = durable(sets, "join-sets")
+        shared.unpersist()
         one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
         both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
         found = durable(both.mapInArrow(lambda it: _verify(it, num, den), "a long, b long").distinct(), "join-links")
-        release(sets)
+        release(sets, pairs)
         return found
 
     def groups(self, docs: DataFrame) -> DataFrame:
@@ -282,13 +286,16 @@ class NgramJaccardJoin:
         per = named.groupBy("token", "comp").agg(F.count("*").alias("members"))
         open_ = per.groupBy("token").agg(F.max_by("comp", F.struct("members", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1")
         rest = durable(named.join(open_.select("token", "largest"), "token"), "join-open")
+        # Members of equal size and position are a bucket. Which buckets can hold a link is settled between buckets, before members are
+        # paired: a shingle that stands too late in its members' prefixes pairs none of them, however many they are.
+        bucket = rest.groupBy("token", "n", "pos").agg(F.max(F.col("comp") != F.col("largest")).alias("other"))
+        left = bucket.where("other").select("token", F.col("n").alias("na"), F.col("pos").alias("pa"))
+        right = bucket.select("token", F.col("n").alias("nb"), F.col("pos").alias("pb"))
+        fit = f"{self.den} * least(na, nb) >= {self.num} * greatest(na, nb) and {self.num + self.den} * least(na - pa, nb - pb) >= {self.num} * (na + nb)"
+        meet = durable(left.join(right, "token").where(fit), "join-buckets")
         a = rest.where("comp <> largest").select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
         b = rest.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "largest")
-        fit = (
-            f"ca <> cb and (cb = largest or a < b) and {self.den} * least(na, nb) >= {self.num} * greatest(na, nb) "
-            f"and {self.num + self.den} * least(na - pa, nb - pb) >= {self.num} * (na + nb)"
-        )
-        more = a.join(b, "token").where(fit).select(
+        more = a.join(meet, ["token", "na", "pa"]).join(b, ["token", "nb", "pb"]).where("ca <> cb and (cb = largest or a < b)").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
             F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"), F.expr("if(a < b, pa, pb)").alias("pa"), F.expr("if(a < b, pb, pa)").alias("pb"),
         )
@@ -297,7 +304,7 @@ class NgramJaccardJoin:
         new = self.links(docs, more)
         if new.take(1):
             comp = components(links.unionByName(new))
-        release(named, rest)
+        release(named, rest, meet, shared, *([] if new.take(1) else [new]))
         copies = classes.where("rep is not null").groupBy("rep").agg(F.count("*").alias("copies"))
         found = durable(copies.join(comp.withColumnRenamed("id", "rep"), "rep", "left"), "join-found")
         label = spread_join(classes.where("rep is not null"), found, ["rep"], "copies")
