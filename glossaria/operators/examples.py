@@ -2,6 +2,8 @@
 
 A token matches a sentence of its paper if it is one of the sentence's word runs. That makes the
 match an equi-join on (paper, word) instead of a pattern test of every token against every sentence.
+
+Choices are made on postings (word and place, no text); texts are fetched for the chosen places.
 """
 
 from __future__ import annotations
@@ -25,37 +27,94 @@ def examples(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
     return words.join(told, ["paper_idx", "word"]).groupBy("lemma", "pos", "text").agg(keep).select("lemma", "pos", "text", "first.*")
 
 
-def found(papers: DataFrame, stop_words=None, min_ratio: float = 0.3, clean: bool = True) -> DataFrame:
-    """examples() of the papers' own tokens and sentences, by one pass over the texts instead of a join of two.
+def told(papers: DataFrame, min_ratio: float = 0.3, clean: bool = True, split=tk.plain) -> DataFrame:
+    """paper_idx, year, section, para_idx, token (whether the line has enough English), sent_idx, text of every sentence.
 
-    A sentence's words are taken apart once. A word of a line with enough English is a token where it stands; one of any other line counts
-    if the paper has it as a token elsewhere, which the group by (paper, word) tells, as it tells the word's first place.
+    Sentences are dealt out once, by their place: postings are made where they arrive, and texts are fetched from there.
+    So no text is copied for its words, and none is cleaned twice.
     """
-    stop = list(tk.STOP_WORDS if stop_words is None else stop_words)
     rows = tk.lines(papers, clean).withColumn("token", t.en_ratio("line") > min_ratio)
-    rows = rows.select("paper_idx", "year", "section", F.col("line_no").alias("para_idx"), "token", F.posexplode(tk.plain(F.col("line"))).alias("sent_idx", "text"))
-    rows = rows.withColumn("text", F.trim("text")).where("text <> ''")
-    rows = rows.select("*", F.posexplode(F.array_distinct(t.runs(F.lower("text")))).alias("k", "low"))
+    rows = rows.select("paper_idx", "year", "section", F.col("line_no").alias("para_idx"), "token", F.posexplode(split(F.col("line"))).alias("sent_idx", "text"))
+    return rows.withColumn("text", F.trim("text")).where("text <> ''").repartition("paper_idx", "para_idx", "sent_idx")
+
+
+def _named_texts(rows: DataFrame) -> DataFrame:
+    """t1, t2: two 64-bit hashes that stand for a text until the places are chosen."""
+    return rows.withColumns({"t1": F.xxhash64(F.lit(1), "text"), "t2": F.xxhash64(F.lit(2), "text")})
+
+
+def postings(sentences: DataFrame, stop_words=None) -> DataFrame:
+    """low, paper_idx, year, section, para_idx, sent_idx, t1, t2, n_chars, tok: a row for every word of a sentence of told(), without its text.
+
+    A word of a line with enough English is a token where it stands; one of any other line counts if the paper has it as a token elsewhere.
+    tok is the first place in the paper where it is one.
+    """
+    stop = list(tk.STOP_WORDS if stop_words is None else stop_words)
+    # Two capital letters have small forms that are, or hold, plain letters: what stands in such a text is judged by the words as written.
+    odd, as_written = F.col("text").rlike("[\u0130\u212a]"), F.transform(F.filter(t.runs("text"), t.is_token), F.lower)
+    rows = _named_texts(sentences).withColumn("odd", F.when(odd, as_written)).withColumn("n_chars", F.length("text"))
+    rows = rows.select(*[c for c in rows.columns if c != "text"], F.posexplode(F.array_distinct(t.runs(F.lower("text")))).alias("k", "low"))
     rows = rows.where(t.is_token(F.col("low")) & ~F.col("low").isin(stop))
+    is_one = F.col("token") & F.coalesce(F.array_contains("odd", F.col("low")), F.lit(True))
     at = F.struct("para_idx", "sent_idx", "k")
-    rows = rows.withColumn("tok", F.min(F.when(F.col("token"), at)).over(W.partitionBy("paper_idx", "year", "section", "low"))).where("tok is not null")
-    words = tk.named(tk.words(papers, stop, min_ratio, clean), stop)
-    each = rows.join(words, "low")
-    place = F.struct("paper_idx", "para_idx", "sent_idx", "tok")
-    first = F.struct(F.col("low").alias("word"), "year", "section", "paper_idx", "para_idx", "sent_idx")
-    return each.groupBy("lemma", "pos", "text").agg(F.min_by(first, place).alias("first")).select("lemma", "pos", "text", "first.*")
+    tok = F.min(F.when(is_one, at)).over(W.partitionBy("paper_idx", "year", "section", "low"))
+    return rows.withColumn("tok", tok).where("tok is not null").select("low", "paper_idx", "year", "section", "para_idx", "sent_idx", "t1", "t2", "n_chars", "tok")
+
+
+def places(sentences: DataFrame, stop_words=None) -> DataFrame:
+    """lemma, pos, t1, t2, n_chars, word, year, section and ordinals: where the examples stand. Of equal texts under a lemma and part of speech the first counts."""
+    stop = list(tk.STOP_WORDS if stop_words is None else stop_words)
+    rows = postings(sentences, stop)
+    rows = rows.join(tk.named(rows, stop), "low")
+    first = F.min(F.struct("paper_idx", "para_idx", "sent_idx", "tok", F.col("low").alias("word"), "year", "section", "n_chars")).alias("first")
+    rows = rows.groupBy("lemma", "pos", "t1", "t2").agg(first)
+    return rows.select("lemma", "pos", "t1", "t2", *[f"first.{c}" for c in ("n_chars", "word", "year", "section", "paper_idx", "para_idx", "sent_idx")])
+
+
+_PLACE = ["paper_idx", "para_idx", "sent_idx"]
+
+
+def with_texts(chosen: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Places with their texts, fetched from told() by place. Rows of sentences that come twice count once."""
+    one = _named_texts(sentences).groupBy(*_PLACE, "t1", "t2").agg(F.first("text").alias("text"), F.max(F.struct("year", "section", "token")).alias("any"))
+    # The condition keeps all columns of the sentences, so that both uses of them share one shuffle.
+    return chosen.join(one.where("any is not null").drop("any"), [*_PLACE, "t1", "t2"]).drop("t1", "t2", "n_chars")
+
+
+def first_places(rows: DataFrame, k: int) -> DataFrame:
+    """The first k places of a lemma and part of speech."""
+    order = W.partitionBy("lemma", "pos").orderBy(*_PLACE)
+    return rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).drop("__k")
+
+
+def found(papers: DataFrame, stop_words=None, min_ratio: float = 0.3, clean: bool = True) -> DataFrame:
+    """examples() of the papers' own tokens and sentences: places first, texts last."""
+    sentences = told(papers, min_ratio, clean)
+    return with_texts(places(sentences, stop_words), sentences).select("lemma", "pos", "text", "word", "year", "section", *_PLACE)
 
 
 #: Year and label that stand for the vocabulary's own examples.
 VOCABULARY = ("墨墨", "墨墨原版例句")
 
 
+def top_places(rows: DataFrame, senses: DataFrame) -> DataFrame:
+    """Of the sense with most units (the first of equals), the place of the shortest sentence (the first of equals); rows of places()."""
+    best = _best(senses)
+    rank = F.struct("n_chars", *_PLACE, "t1", "t2")
+    first = rows.join(best, ["lemma", "pos"]).groupBy("lemma", "pos").agg(F.min(rank).alias("first"))
+    return first.select("lemma", "pos", "first.*")
+
+
+def _best(senses: DataFrame) -> DataFrame:
+    return senses.groupBy("lemma").agg(F.max_by("pos", F.struct("pos_count", (-F.col("ord")).alias("o"))).alias("pos"))
+
+
 def top_example(examples_: DataFrame, senses: DataFrame, book: DataFrame | None = None) -> DataFrame:
     """lemma, pos, text: of the sense with most units (the first of equals), the shortest sentence (the first of equals).
 
     book(lemma, examples): where it is given, a lemma's first example of the vocabulary comes before all others, and has no part of speech.
     """
-    best = senses.groupBy("lemma").agg(F.max_by("pos", F.struct("pos_count", (-F.col("ord")).alias("o"))).alias("pos"))
+    best = _best(senses)
     rank = F.struct(F.length("text").alias("n"), F.col("paper_idx"), F.col("para_idx"), F.col("sent_idx"))
     own = examples_.join(best, ["lemma", "pos"]).groupBy("lemma", "pos").agg(F.min_by("text", rank).alias("text"))
     if book is None:

@@ -1,6 +1,6 @@
 """The frequency index: how many (year, section) units hold a lemma, by part of speech, with variants.
 
-Every function takes tokens, or the much fewer rows of tokens.cells(), with the same result.
+Units are bitmaps (see units): every function takes rows of tokens.cells(), or plain token rows, with the same result.
 """
 
 from __future__ import annotations
@@ -12,14 +12,13 @@ from ..config import Settings
 from ..functions import textops as t
 from . import filters, senses
 from . import tokens as tk
+from . import units as un
 
 # Parts of speech that a token can have, in code-point order.
 POS = ("adj", "adv", "aux", "conj", "det", "int", "n", "num", "other", "prep", "pron", "v")
 
 
-def units(papers: DataFrame) -> DataFrame:
-    """Distinct (year, section) of the papers; a null is a value of its own."""
-    return papers.select("year", "section").distinct()
+units = un.units
 
 
 def total_units(papers: DataFrame) -> DataFrame:
@@ -28,57 +27,75 @@ def total_units(papers: DataFrame) -> DataFrame:
 
 
 def occurrences(tokens: DataFrame) -> DataFrame:
-    """Distinct (lemma, pos, year, section): repeated uploads of a unit count once."""
+    """Distinct (lemma, pos, year, section) of token rows: repeated uploads of a unit count once."""
     return tokens.select("lemma", "pos", "year", "section").distinct()
 
 
+def _units_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, units: how many units hold a key."""
+    if "bits" in rows.columns:
+        return un.size(rows, *keys)
+    return rows.select(*keys, "year", "section").distinct().groupBy(*keys).agg(F.count("*").alias("units"))
+
+
 def _share(papers: DataFrame):
     """Units over all units; the total is a scalar subquery, so nothing runs before the query does."""
     total = total_units(papers).scalar()
     return F.when(total > 0, F.col("units") / total).otherwise(F.lit(0.0))
 
 
-def frequency(tokens: DataFrame, papers: DataFrame) -> DataFrame:
+def frequency(rows: DataFrame, papers: DataFrame) -> DataFrame:
     """lemma, units, frequency."""
-    found = tokens.select("lemma", "year", "section").distinct().groupBy("lemma").agg(F.count("*").alias("units"))
-    return found.withColumn("frequency", _share(papers))
+    return _units_of(rows, "lemma").withColumn("frequency", _share(papers))
 
 
-def pos_counts(tokens: DataFrame) -> DataFrame:
-    return occurrences(tokens).groupBy("lemma", "pos").agg(F.count("*").alias("pos_count"))
+def pos_counts(rows: DataFrame) -> DataFrame:
+    return _units_of(rows, "lemma", "pos").withColumnRenamed("units", "pos_count")
 
 
-def count_sums(tokens: DataFrame) -> DataFrame:
+def count_sums(rows: DataFrame) -> DataFrame:
     """Sum of pos counts: a unit with a lemma in two parts of speech counts twice, as exports show it."""
-    return occurrences(tokens).groupBy("lemma").agg(F.count("*").alias("count_sum"))
+    return pos_counts(rows).groupBy("lemma").agg(F.sum("pos_count").alias("count_sum"))
 
 
-def variants(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("lemma").agg(F.array_sort(F.collect_set(F.lower("word"))).alias("variants"))
+def variants(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("lemma").agg(F.array_sort(F.collect_set(F.lower("word"))).alias("variants"))
 
 
-def first_seen(tokens: DataFrame) -> DataFrame:
-    return tokens.groupBy("lemma").agg(F.min(F.struct("paper_idx", "line_no", "tok_idx")).alias("first_seen"))
+def first_seen(rows: DataFrame) -> DataFrame:
+    place = F.col("first") if "first" in rows.columns else F.struct("paper_idx", "line_no", "tok_idx")
+    return rows.groupBy("lemma").agg(F.min(place).alias("first_seen"))
 
 
-def assembled(tokens: DataFrame, papers: DataFrame) -> DataFrame:
+def assembled(rows: DataFrame, papers: DataFrame) -> DataFrame:
     """One row a lemma: variants, pos_counts (map), units, frequency, count_sum, first_seen.
 
-    One aggregation by unit and one by lemma give all of them.
+    One aggregation by (lemma, 64 units) and one by lemma give all of them; the longs of a unit set are never gathered in a row.
     """
-    place = F.min(F.struct("paper_idx", "line_no", "tok_idx"))
-    unit = tokens.groupBy("lemma", "year", "section").agg(
-        F.collect_set("pos").alias("pos"), F.collect_set(F.lower("word")).alias("words"), place.alias("first")
+    rows = rows if "bits" in rows.columns else tk.as_bits(rows, papers)
+    told = [F.bit_or(F.when(F.col("pos") == p, F.col("bits"))).alias("of_" + p) for p in POS]
+    part = rows.groupBy("lemma", "w").agg(
+        *told, F.bit_or("bits").alias("bits"), F.array_sort(F.collect_set("word")).alias("words"), F.min("first").alias("first")
     )
-    sums = F.array(*[F.struct(F.lit(p).alias("pos"), F.sum(F.array_contains("pos", p).cast("long")).alias("n")) for p in POS])
-    out = unit.groupBy("lemma").agg(
+    many = lambda p: F.coalesce(F.sum(F.bit_count("of_" + p)), F.lit(0)).cast("long")
+    out = part.groupBy("lemma").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("words")))).alias("variants"),
-        F.map_from_entries(F.filter(sums, lambda x: x["n"] > 0)).alias("pos_counts"),
-        F.count("*").alias("units"),
-        F.sum(F.size("pos")).alias("count_sum"),
+        F.array(*[F.struct(F.lit(p).alias("pos"), many(p).alias("n")) for p in POS]).alias("__n"),
+        F.sum(F.bit_count("bits")).cast("long").alias("units"),
         F.min("first").alias("first_seen"),
     )
-    return out.withColumn("frequency", _share(papers))
+    out = out.withColumn("__n", F.filter("__n", lambda x: x["n"] > 0))
+    out = out.withColumn("pos_counts", F.map_from_entries("__n")).withColumn("count_sum", F.aggregate("__n", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    return out.select("lemma", "variants", "pos_counts", "units", "count_sum", "first_seen").withColumn("frequency", _share(papers))
+
+
+def without_units(bits: DataFrame, papers: DataFrame, kept: DataFrame) -> DataFrame:
+    """lemma, units, frequency over the units of `kept` alone, from the word_bits() of all papers: an AND with a mask, no text is read again.
+
+    Lemmas are those of the words that are left.
+    """
+    left = un.masked(bits, un.mask(un.numbered(papers), kept))
+    return frequency(tk.with_lemmas(left), kept)
 
 
 def build(papers: DataFrame, book: DataFrame | None = None, lists: DataFrame | None = None, groups: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:

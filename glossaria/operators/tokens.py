@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textops as t
 from ..functions.lexicon import SHORTEST, STOP_WORDS, SUFFIXES
+from . import units as un
 
 
 def active(papers: DataFrame) -> DataFrame:
@@ -67,25 +68,50 @@ def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, su
     return rows.join(named(rows, stop, suffixes), "low").select("paper_idx", "year", "section", "line_no", "tok_idx", "word", "lemma", "pos")
 
 
-def cells(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = True, split=t.runs) -> DataFrame:
-    """tokens() without repeats: of every word in a (year, section) unit the first, in lower case, with its number as n_tokens.
+def counted(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs) -> DataFrame:
+    """low, year, section, first, n_tokens: the words of every unit, with their first place and their number.
 
-    Words are counted on the map side before lemmas and tags are looked up, so what is shuffled grows with the vocabulary of a unit, not with
-    its text. All of an index follows from it.
+    Words are counted on the map side, so what is shuffled grows with the vocabulary of a unit, not with its text. The conditions at the end
+    hold for every row: they keep all columns in any plan on these rows, so that plans which use them twice share one shuffle
+    and read the texts once.
     """
     stop = list(STOP_WORDS if stop_words is None else stop_words)
     place = F.struct("paper_idx", "line_no", "tok_idx")
-    rows = _words(papers, stop, min_ratio, clean, split).groupBy("low", "year", "section").agg(F.min(place).alias("first"), F.count("*").alias("n_tokens"))
-    if suffixes:
-        # The words carry their cells along while their lemmas are worked out, so the texts are read once and joined with nothing.
-        rows = rows.groupBy(F.col("low").alias("word")).agg(F.collect_list(F.struct("year", "section", "first", "n_tokens")).alias("cells"))
-        rows = _lemmatized(rows, "cells").select(F.col("word").alias("low"), "lemma", F.explode("cells").alias("c")).select("low", "lemma", "c.*")
-    else:
-        rows = rows.withColumn("lemma", t.lemma_of(F.col("low")))
-    rows = rows.where(~F.col("lemma").isin(stop) & (F.length("lemma") >= 2))
-    return rows.select(
-        "first.paper_idx", "year", "section", "first.line_no", "first.tok_idx", F.col("low").alias("word"), "lemma", t.pos_of(F.col("low")).alias("pos"), "n_tokens"
-    )
+    rows = _words(papers, stop, min_ratio, clean, split).where("low is not null")
+    return rows.groupBy("low", "year", "section").agg(F.min(place).alias("first"), F.count("*").alias("n_tokens")).where("first is not null and n_tokens > 0")
+
+
+def word_bits(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs) -> DataFrame:
+    """low, w, bits, first, n_tokens: of every word the bitmap of its units (units.numbered of the papers), 64 units a row."""
+    rows = un.marked(counted(papers, stop_words, min_ratio, clean, split), un.numbered(papers))
+    return _or_bits(rows, "low")
+
+
+def _or_bits(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, "w").agg(F.bit_or("bit").alias("bits"), F.min("first").alias("first"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def with_lemmas(bits: DataFrame, words: DataFrame | None = None, stop_words=None, suffixes: bool = True) -> DataFrame:
+    """Rows of word_bits() as word, lemma, pos, w, bits, first, n_tokens; words without a lemma that counts go.
+
+    Lemmas and tags are worked out once a word, for the words of these rows, or for others that the caller knows to be the same ones.
+    """
+    stop = list(STOP_WORDS if stop_words is None else stop_words)
+    names = named(bits if words is None else words, stop, suffixes)
+    return bits.join(names, "low").withColumnRenamed("low", "word")
+
+
+def cells(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = True, split=t.runs) -> DataFrame:
+    """word, lemma, pos, w, bits, first, n_tokens: tokens() as bitmaps of units. All of an index follows from it."""
+    args = (stop_words, min_ratio, clean, split)
+    return with_lemmas(word_bits(papers, *args), counted(papers, *args), stop_words, suffixes)
+
+
+def as_bits(tokens: DataFrame, papers: DataFrame) -> DataFrame:
+    """The rows of cells(), from token rows."""
+    rows = tokens.groupBy(F.lower("word").alias("word"), "lemma", "pos", "year", "section")
+    rows = rows.agg(F.min(F.struct("paper_idx", "line_no", "tok_idx")).alias("first"), F.count("*").alias("n_tokens"))
+    return _or_bits(un.marked(rows, un.numbered(papers)), "word", "lemma", "pos")
 
 
 #: Abbreviations whose full stop does not end a sentence; a parameter of `careful`.
@@ -122,24 +148,19 @@ def build(papers: DataFrame, stop_words=None) -> tuple[DataFrame, DataFrame]:
 _SELF = len(SUFFIXES)
 
 
-def _lemmatized(words: DataFrame, *carried: str) -> DataFrame:
-    """Distinct words with their lemma and the carried columns; the lexicon is the words themselves and the stop words.
+def _lemmatized(words: DataFrame) -> DataFrame:
+    """Distinct words with their lemma; the lexicon is the words themselves and the stop words.
 
     Every word is sent to itself and to all that the suffix rules make of it; where a word or stop word lives, those sent there have found a
     base. A word's group holds few: at most one for each rule. No table is joined with itself.
     """
-    def by(rows: DataFrame, key: str, *aggregates) -> DataFrame:
-        """Grouped rows (word, rule, base); carried arrays stay with the row of the word itself."""
-        held = [F.when(F.col("rule") == _SELF, F.col(c)).alias(c) for c in carried]
-        return rows.select("word", "rule", "base", *held).groupBy(key).agg(*aggregates, *[F.flatten(F.collect_list(c)).alias(c) for c in carried])
-
     itself = F.array(F.struct(F.lit(_SELF).alias("rule"), F.col("word").alias("base")))
-    sent = words.select("word", *carried, F.explode(F.concat(itself, _bases())).alias("t")).select("word", "t.*", *carried)
-    home = by(sent, "base", F.collect_list(F.struct("word", "rule")).alias("tries"))
+    sent = words.select("word", F.explode(F.concat(itself, _bases())).alias("t")).select("word", "t.*")
+    home = sent.groupBy("base").agg(F.collect_list(F.struct("word", "rule")).alias("tries"))
     lives = F.exists("tries", lambda x: x["rule"] == _SELF) | F.col("base").isin(list(STOP_WORDS))
-    found = home.where(lives).select("base", F.explode("tries").alias("t"), *carried).select("base", "t.*", *carried)
-    out = by(found, "word", F.min_by("base", "rule").alias("base"))
-    return out.select("word", F.coalesce(t.irregular(F.col("word")), "base").alias("lemma"), *carried)
+    found = home.where(lives).select("base", F.explode("tries").alias("t")).select("base", "t.*")
+    out = found.groupBy("word").agg(F.min_by("base", "rule").alias("base"))
+    return out.select("word", F.coalesce(t.irregular(F.col("word")), "base").alias("lemma"))
 
 
 def _bases():

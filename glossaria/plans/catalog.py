@@ -29,7 +29,7 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """The first of every word in a unit: of cleaned lines, with lemmas by irregular forms and suffix rules."""
+    """The bitmap of every word's units: of cleaned lines, with lemmas by irregular forms and suffix rules."""
     return tk.cells(papers(spark, d))
 
 
@@ -115,6 +115,17 @@ def all_examples(spark: SparkSession, d: str) -> DataFrame:
     return ex.found(papers(spark, d))
 
 
+def first_examples(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The first k examples of every lemma and part of speech: chosen among places, then fetched."""
+    said = ex.told(papers(spark, d))
+    return ex.with_texts(ex.first_places(ex.places(said), k), said)
+
+
+def top_examples(spark: SparkSession, d: str, senses: DataFrame) -> DataFrame:
+    said = ex.told(papers(spark, d))
+    return ex.with_texts(ex.top_places(ex.places(said), senses), said)
+
+
 # ---------------------------------------------------------------- SQL building blocks
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -421,14 +432,14 @@ def q13_stopword_filter(spark, d):
 
 @query(f"WITH {idx_sql(chr(40) + 'source IS DISTINCT FROM ' + chr(39) + 'src1' + chr(39) + ' OR lang IS DISTINCT FROM ' + chr(39) + 'en' + chr(39) + ')')} SELECT lemma, units, frequency FROM idx")
 def q14_toggle_section(spark, d):
-    p = tk.active(tk.toggle(papers(spark, d), "src1", "en", False))
-    return ix.frequency(tk.cells(p), p)
+    p = papers(spark, d)
+    return ix.without_units(tk.word_bits(p), p, tk.active(tk.toggle(p, "src1", "en", False)))
 
 
 @query(f"WITH {idx_sql('source IS DISTINCT FROM ' + chr(39) + 'src2' + chr(39))} SELECT lemma, units, frequency FROM idx")
 def q15_delete_year(spark, d):
-    p = fl.delete_year(papers(spark, d), "src2")
-    return ix.frequency(tk.cells(p), p)
+    p = papers(spark, d)
+    return ix.without_units(tk.word_bits(p), p, fl.delete_year(p, "src2"))
 
 
 _SAID = "len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))"
@@ -462,7 +473,7 @@ _TOP = (
 
 @query(f"WITH {_TOP} SELECT lemma, pos, text FROM top")
 def q20_top_example(spark, d):
-    return ex.top_example(all_examples(spark, d), sn.sense_rows(with_senses(spark, d)))
+    return top_examples(spark, d, sn.sense_rows(with_senses(spark, d))).select("lemma", "pos", "text")
 
 
 _NOUN = "(SELECT lemma FROM exa WHERE pos = 'n' GROUP BY lemma ORDER BY count(*) DESC, lemma LIMIT 1)"
@@ -501,7 +512,7 @@ def q23_csv_export(spark, d):
     "SELECT lemma AS 单词, count_sum AS 总次数, round_even(frequency, 4) AS 频率, told AS \"释义（按词性）\", coalesce(l, '') AS 真题例句 FROM srv JOIN tld USING (lemma) LEFT JOIN exc USING (lemma)"
 )
 def q24_excel_export(spark, d):
-    return sv.excel_export(with_senses(spark, d), all_examples(spark, d))
+    return sv.excel_export(with_senses(spark, d), first_examples(spark, d, 1))
 
 
 # ---------------------------------------------------------------- text
@@ -770,7 +781,7 @@ def q50_treebank_tokens(spark, d):
     "CASE WHEN length(text) > 70 THEN left(text, 70) || '…' ELSE text END AS short FROM n WHERE n <= 10"
 )
 def q51_shown_examples(spark, d):
-    return sv.shown(all_examples(spark, d))
+    return sv.shown(first_examples(spark, d, 10))
 
 
 @query(
@@ -787,7 +798,8 @@ def q52_listed_words(spark, d):
     "given AS (SELECT lemma, NULL AS pos, bx.text FROM bx JOIN best USING (lemma)) SELECT * FROM given UNION ALL SELECT lemma, pos, text FROM top WHERE lemma NOT IN (SELECT lemma FROM given)"
 )
 def q53_top_example_of_vocabulary(spark, d):
-    return ex.top_example(all_examples(spark, d), sn.sense_rows(with_senses(spark, d)), book_examples(spark, d))
+    senses = sn.sense_rows(with_senses(spark, d))
+    return ex.top_example(top_examples(spark, d, senses), senses, book_examples(spark, d))
 
 
 @query(
