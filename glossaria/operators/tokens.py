@@ -84,10 +84,11 @@ def counted(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, c
 def word_bits(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs) -> DataFrame:
     """low, w, bits, first, n_tokens: of every word the bitmap of its units (units.numbered of the papers), 64 units a row."""
     rows = un.marked(counted(papers, stop_words, min_ratio, clean, split), un.numbered(papers))
-    return _or_bits(rows, "low")
+    return or_bits(rows, "low")
 
 
-def _or_bits(rows: DataFrame, *keys: str) -> DataFrame:
+def or_bits(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows with a unit's bit to rows of 64 units."""
     return rows.groupBy(*keys, "w").agg(F.bit_or("bit").alias("bits"), F.min("first").alias("first"), F.sum("n_tokens").alias("n_tokens"))
 
 
@@ -111,7 +112,7 @@ def as_bits(tokens: DataFrame, papers: DataFrame) -> DataFrame:
     """The rows of cells(), from token rows."""
     rows = tokens.groupBy(F.lower("word").alias("word"), "lemma", "pos", "year", "section")
     rows = rows.agg(F.min(F.struct("paper_idx", "line_no", "tok_idx")).alias("first"), F.count("*").alias("n_tokens"))
-    return _or_bits(un.marked(rows, un.numbered(papers)), "word", "lemma", "pos")
+    return or_bits(un.marked(rows, un.numbered(papers)), "word", "lemma", "pos")
 
 
 #: Abbreviations whose full stop does not end a sentence; a parameter of `careful`.
