@@ -27,13 +27,14 @@ def examples(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
     return words.join(told, ["paper_idx", "word"]).groupBy("lemma", "pos", "text").agg(keep).select("lemma", "pos", "text", "first.*")
 
 
-def told(papers: DataFrame, min_ratio: float = 0.3, clean: bool = True, split=tk.plain) -> DataFrame:
+def told(papers: DataFrame, min_ratio: float = 0.3, clean: bool = True, split=tk.plain, known=None) -> DataFrame:
     """paper_idx, year, section, para_idx, token (whether the line has enough English), sent_idx, text of every sentence.
 
     Sentences are dealt out once, by their place: postings are made where they arrive, and texts are fetched from there.
     So no text is copied for its words, and none is cleaned twice.
     """
     rows = tk.lines(papers, clean).withColumn("token", t.en_ratio("line") > min_ratio)
+    rows = rows if known is None else rows.withColumn("known", known)
     rows = rows.select("paper_idx", "year", "section", F.col("line_no").alias("para_idx"), "token", F.posexplode(split(F.col("line"))).alias("sent_idx", "text"))
     return rows.withColumn("text", F.trim("text")).where("text <> ''").repartition("paper_idx", "para_idx", "sent_idx")
 

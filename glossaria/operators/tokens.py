@@ -134,9 +134,11 @@ def careful(line, abbreviations=ABBREVIATIONS):
     return F.transform(plain(x), lambda s: F.replace(s, F.lit(stop), F.lit(".")))
 
 
-def sentences(papers: DataFrame, clean: bool = False, split=plain) -> DataFrame:
-    """paper_idx, year, section, line_no, sent_idx, text: what `split` makes of each line, trimmed."""
-    rows = lines(papers, clean).select("paper_idx", "year", "section", "line_no", F.posexplode(split(F.col("line"))).alias("sent_idx", "text"))
+def sentences(papers: DataFrame, clean: bool = False, split=plain, known=None) -> DataFrame:
+    """paper_idx, year, section, line_no, sent_idx, text: what `split` makes of each line, trimmed; `known`: a value it needs beside the line."""
+    rows = lines(papers, clean)
+    rows = rows if known is None else rows.withColumn("known", known)
+    rows = rows.select("paper_idx", "year", "section", "line_no", F.posexplode(split(F.col("line"))).alias("sent_idx", "text"))
     return rows.withColumn("text", F.trim("text")).where("text <> ''")
 
 

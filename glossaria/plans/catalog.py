@@ -13,7 +13,9 @@ from ..operators import filters as fl
 from ..operators import index as ix
 from ..operators import lines as ln
 from ..operators import senses as sn
+from ..operators import sentence_ends as se
 from ..operators import serving as sv
+from ..operators import tagger as tg
 from ..operators import tokens as tk
 from ..operators import vocab as vb
 from ..sources import readers as rd
@@ -836,3 +838,50 @@ def q57_vocab_report(spark, d):
 @query(f"SELECT source AS year, doc_id AS paper_idx, lang AS section, NULL::VARCHAR AS section_label, coalesce({_SAID}, 0)::INT AS sentence_count, true AS enabled FROM documents")
 def q58_paper_sections(spark, d):
     return ix.paper_sections(papers(spark, d))
+
+
+# ---------------------------------------------------------------- learned from the corpus
+
+_BARE = r"lower(regexp_replace(regexp_replace({0}, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', ''))"
+_CLEANED = f"{LINES}, src0 AS (SELECT paper_idx, year, section, line_no, line AS x FROM lines), {_clean_sql('src0', 'paper_idx, year, section, line_no')}, cl AS (SELECT paper_idx, year, section, line_no, x AS line FROM c6 WHERE x IS NOT NULL)"
+_ABBR = (
+    rf"{_CLEANED}, tk AS (SELECT {_BARE.format('token')} AS word, ends_with(token, '.') AS stop FROM (SELECT unnest(regexp_split_to_array(line, '\s+')) AS token FROM cl)), "
+    r"ct AS (SELECT word, count(CASE WHEN stop THEN 1 END) AS a, count(CASE WHEN NOT stop THEN 1 END) AS b FROM tk WHERE regexp_matches(word, '\p{L}') AND NOT regexp_matches(word, '\p{N}') GROUP BY word), "
+    "tt AS (SELECT sum(a) / sum(a + b) AS p FROM ct), sc AS (SELECT word, a, b, 2 * (a * (ln(0.99::DOUBLE) - ln(p)) + CASE WHEN b > 0 THEN b * (ln(1 - 0.99::DOUBLE) - ln(1 - p)) ELSE 0 END) "
+    "* exp(-length(replace(word, '.', ''))::DOUBLE) * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', ''))::DOUBLE, -b::DOUBLE) AS score FROM ct, tt WHERE a > 0)"
+)
+
+
+@query(f"WITH {_ABBR} SELECT word, a::BIGINT AS with_stop, b::BIGINT AS without, round(score, 6) AS score FROM sc")
+def q59_abbreviation_scores(spark, d):
+    return se.scores(se.counts(papers(spark, d))).withColumn("score", F.round("score", 6))
+
+
+_QUIET = (
+    rf"i < len(parts) AND ends_with(x, '.') AND NOT ends_with(x, '..') AND (list_contains(known, {_BARE.format('x')}) OR regexp_matches(x, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}\.$'))"
+)
+
+
+@query(
+    f"WITH {_ABBR}, kn AS (SELECT coalesce(list(word), []) AS known FROM (SELECT word FROM sc WHERE score >= 0.3 ORDER BY score DESC, word LIMIT 4096)), pt AS (SELECT cl.*, string_split(line, ' ') AS parts, known FROM cl, kn), "
+    rf"mk AS (SELECT paper_idx, year, section, line_no, array_to_string(list_transform(parts, lambda x, i: regexp_replace(CASE WHEN {_QUIET} THEN left(x, length(x) - 1) || chr(57344) ELSE x END, '\.([\p{{L}}\p{{N}}])', chr(57344) || '\1', 'g')), ' ') AS line FROM pt), "
+    f"{sent_sql('mk')} SELECT paper_idx, year, section, line_no, sent_idx, replace(text, chr(57344), '.') AS text FROM snt"
+)
+def q60_learned_sentences(spark, d):
+    return se.sentences(papers(spark, d)).select("paper_idx", "year", "section", F.col("line_no").cast("long").alias("line_no"), F.col("sent_idx").cast("long").alias("sent_idx"), "text")
+
+
+@query()
+def q61_context_tags(spark, d):
+    """word, pos, n: how often a word has each part of speech, by a model learned from the same papers."""
+    p = papers(spark, d)
+    model, _ = tg.Tagger().fit(p)
+    return tg.Tagger.tag(model, p).groupBy(F.lower("word").alias("word"), "pos").agg(F.count("*").alias("n"))
+
+
+@query()
+def q62_context_index(spark, d):
+    """lemma, pos, pos_count, count_sum of an index whose parts of speech come from context."""
+    p = papers(spark, d)
+    model, _ = tg.Tagger().fit(p)
+    return ix.assembled(tg.tagged_cells(p, model), p).select("lemma", F.explode("pos_counts").alias("pos", "pos_count"), "count_sum")
