@@ -33,7 +33,7 @@ def told(papers: DataFrame, min_ratio: float = 0.3, clean: bool = True, split=tk
     Sentences are dealt out once, by their place: postings are made where they arrive, and texts are fetched from there.
     So no text is copied for its words, and none is cleaned twice.
     """
-    rows = tk.lines(papers, clean).withColumn("token", t.en_ratio("line") > min_ratio)
+    rows = tk.lines(papers, clean).withColumn("token", t.en_ratio("line", clean) > min_ratio)
     rows = rows if known is None else rows.withColumn("known", known)
     rows = rows.select("paper_idx", "year", "section", F.col("line_no").alias("para_idx"), "token", F.posexplode(split(F.col("line"))).alias("sent_idx", "text"))
     return rows.withColumn("text", F.trim("text")).where("text <> ''").repartition("paper_idx", "para_idx", "sent_idx")
@@ -136,3 +136,31 @@ def detail(lemma: str, pos: str, examples_: DataFrame, pos_counts: DataFrame) ->
     head = examples_.sparkSession.range(1).select(F.lit(lemma).alias("lemma"), F.lit(pos).alias("pos"), count.alias("unit_count"))
     said = examples_.where(same).select("lemma", "pos", "text", "word", "year", "section", "paper_idx", "para_idx", "sent_idx")
     return head.join(said, ["lemma", "pos"], "left")
+
+
+class Stored:
+    """Places and sentences as tables below a path: places are parted by lemma, each sentence is kept once, parted by its place.
+
+    A detail reads the part of its lemma, and of the sentences the parts that its places name.
+    """
+
+    def __init__(self, spark, path: str, parts: int = 64):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+
+    def _part(self, *columns):
+        return F.pmod(F.xxhash64(*columns), F.lit(self.parts)).cast("int")
+
+    def write(self, sentences: DataFrame, stop_words=None) -> Stored:
+        """From told(); a hot lemma's places are written by several tasks."""
+        rows = places(sentences, stop_words).withColumn("part", self._part("lemma"))
+        rows.repartition("part", F.pmod("t1", F.lit(8))).sortWithinPartitions("part", "lemma", "pos").write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/places")
+        texts = _named_texts(sentences).select(*_PLACE, "t1", "t2", "text", self._part(*_PLACE).alias("text_part"))
+        texts.repartition("text_part").sortWithinPartitions("text_part", *_PLACE).write.partitionBy("text_part").mode("overwrite").parquet(f"{self.path}/texts")
+        return self
+
+    def of(self, lemma: str, pos: str) -> DataFrame:
+        """examples() of one lemma and part of speech."""
+        rows = self.spark.read.parquet(f"{self.path}/places").where((F.col("part") == self._part(F.lit(lemma))) & (F.col("lemma") == lemma) & (F.col("pos") == pos))
+        rows = rows.drop("part").withColumn("text_part", self._part(*_PLACE))
+        texts = self.spark.read.parquet(f"{self.path}/texts").dropDuplicates(["text_part", *_PLACE, "t1", "t2"])
+        return rows.join(texts, ["text_part", *_PLACE, "t1", "t2"]).select("lemma", "pos", "text", "word", "year", "section", *_PLACE)

@@ -51,7 +51,7 @@ def _labels(column: int):
 
 def _keyed(rows: DataFrame) -> DataFrame:
     """Content lines with the key of their section, seg (its number in the document) and whether a header named it."""
-    low = F.lower(F.regexp_replace(t.strip(F.col("line")), r"(?U)\s+", ""))
+    low = F.lower(F.regexp_replace(t.strip(F.col("line")), f"{t.S}+", ""))
     head = F.lit(None).cast("string")
     for key, words in reversed(HEADERS):
         head = F.when(F.lower(low).rlike("|".join(words)), F.lit(key)).otherwise(head)

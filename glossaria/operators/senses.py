@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +48,49 @@ def lookup(word: str, index: DataFrame, dictionary: DataFrame) -> DataFrame:
     return hit.unionByName(other.where(~hit.exists()))
 
 
+def looked_up(words: DataFrame, source: Callable[[str], list[tuple[str, list[str]]] | None], tasks: int = 8, at_once: int = 8, seconds: float = 5.0) -> DataFrame:
+    """lemma, pos, meaning, ord of what a source outside of Spark says of distinct words(lemma): each is asked for once, in lower case.
+
+    `tasks` partitions ask `at_once` words at a time each. A word whose answer fails, or takes longer than `seconds`, has no rows; neither has one that
+    the source doesn't know. Two definitions a part of speech are kept.
+    """
+
+    def ask(batches):
+        schema = pa.schema([("lemma", pa.string()), ("pos", pa.string()), ("meaning", pa.string()), ("ord", pa.int32())])
+        pool = ThreadPoolExecutor(at_once)
+        try:
+            for batch in batches:
+                asked = batch.column(0).to_pylist()
+                for k in range(0, len(asked), at_once):
+                    part = [(w, pool.submit(source, w)) for w in asked[k : k + at_once]]
+                    until, rows = time.monotonic() + seconds, []
+                    for w, answer in part:
+                        try:
+                            found = answer.result(max(0.0, until - time.monotonic())) or []
+                        except Exception:  # a source may fail in any way; a miss is no error of the query
+                            found = []
+                            if not answer.done():  # a stuck call keeps its thread, so the words after it get threads of their own
+                                pool.shutdown(wait=False, cancel_futures=False)
+                                pool = ThreadPoolExecutor(at_once)
+                        said = [(pos, d) for pos, defs in found for d in defs[: Dictionary.DEFINITIONS]]
+                        rows += [{"lemma": w, "pos": pos, "meaning": d, "ord": i} for i, (pos, d) in enumerate(said)]
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    asked = words.where("lemma is not null").select(F.lower("lemma").alias("lemma")).distinct().repartition(tasks, "lemma")
+    return asked.mapInArrow(ask, "lemma string, pos string, meaning string, ord int")
+
+
+def resolved(words: DataFrame, cache: DataFrame, append: Callable[[DataFrame], DataFrame], source, **limits) -> DataFrame:
+    """lemma, pos, meaning, ord of words(lemma): from the cache, else from the source. What is found is given to `append`, which keeps it and returns it to be
+    read, so no word is asked for twice; misses and failures are not kept."""
+    words = words.select(F.lower("lemma").alias("lemma")).distinct()
+    known = cache.withColumn("lemma", F.lower("lemma"))
+    new = append(looked_up(words.join(known.select("lemma").distinct(), "lemma", "left_anti"), source, **limits))
+    return known.join(words, "lemma", "left_semi").select("lemma", "pos", "meaning", "ord").unionByName(new)
+
+
 class Dictionary:
     """A cache of look-ups before a source outside of Spark, which the caller gives: word -> [(part of speech, [definitions])], or None if it fails.
 

@@ -20,15 +20,22 @@ def search(index: DataFrame, text: str) -> DataFrame:
     return index.where(F.contains("lemma", needle) | F.exists("variants", lambda v: F.contains(v, needle)))
 
 
-def page(index: DataFrame, sort: str = "frequency", order: str = "desc", number: int = 1, size: int = 50) -> DataFrame:
-    """A page. Frequency ties keep first-seen order both ways; lemma order is inverted ("desc" is A to Z), as clients expect."""
+def keys(sort: str, order: str) -> list[Column]:
+    """Frequency ties keep first-seen order both ways; lemma order is inverted ("desc" is A to Z), as clients expect."""
+    if sort == "frequency":
+        return [F.desc("frequency") if order == "desc" else F.asc("frequency"), F.asc("first_seen")]
+    return [F.asc("lemma") if order == "desc" else F.desc("lemma")]
+
+
+def check_page(number: int, size: int) -> None:
     if number < 1 or not 10 <= size <= 500:
         raise ValueError("page starts at 1 and holds 10 to 500 rows")
-    if sort == "frequency":
-        keys = [F.desc("frequency") if order == "desc" else F.asc("frequency"), F.asc("first_seen")]
-    else:
-        keys = [F.asc("lemma") if order == "desc" else F.desc("lemma")]
-    return index.orderBy(*keys).offset((number - 1) * size).limit(size)
+
+
+def page(index: DataFrame, sort: str = "frequency", order: str = "desc", number: int = 1, size: int = 50) -> DataFrame:
+    """A page in the order of keys(). stored.Ranked keeps an order for deep pages."""
+    check_page(number, size)
+    return index.orderBy(*keys(sort, order)).offset((number - 1) * size).limit(size)
 
 
 def of_band(index: DataFrame, band: str, settings: Settings = Settings()) -> DataFrame:

@@ -134,7 +134,7 @@ def _sequences(papers: DataFrame, clean: bool, min_ratio: float | None) -> DataF
     """paper_idx, year, section, line_no, line, words: the word runs of every line with enough English."""
     rows = tk.lines(papers, clean)
     if min_ratio is not None:
-        rows = rows.where(t.en_ratio("line") > min_ratio)
+        rows = rows.where(t.en_ratio("line", clean) > min_ratio)
     return rows.withColumn("words", t.runs("line")).where(F.size("words") > 0).drop("line")
 
 

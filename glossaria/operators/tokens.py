@@ -36,7 +36,7 @@ def _words(papers: DataFrame, stop, min_ratio: float | None, clean: bool, split)
     """paper_idx, year, section, line_no, tok_idx, word, low of words that count as tokens by their form."""
     rows = lines(papers, clean)
     if min_ratio is not None:
-        rows = rows.where(t.en_ratio("line") > min_ratio)
+        rows = rows.where(t.en_ratio("line", clean) > min_ratio)
     rows = rows.select("paper_idx", "year", "section", "line_no", F.posexplode(split(F.col("line"))).alias("tok_idx", "word"))
     return rows.where(t.is_token(F.col("word"))).withColumn("low", F.lower("word")).where(~F.col("low").isin(stop))
 

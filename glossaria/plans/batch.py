@@ -43,8 +43,8 @@ def build_vocabulary(pages: DataFrame, total: int, out: str) -> DataFrame:
 
 def after_uploads(papers: DataFrame, pages: DataFrame, **build) -> tuple[DataFrame, DataFrame]:
     """Papers with the uploads appended, and the index built anew over them."""
-    start = papers.agg(F.max("paper_idx")).first()[0]
-    both = rd.append_uploads(papers, rd.uploaded(pages, 0 if start is None else start + 1))
+    start = papers.agg(F.coalesce(F.max("paper_idx") + 1, F.lit(0)).alias("n")).scalar()
+    both = rd.append_uploads(papers, rd.uploaded(pages, start))
     return both, ix.build(both, **build)
 
 

@@ -15,9 +15,11 @@ from ..operators import lines as ln
 from ..operators import senses as sn
 from ..operators import sentence_ends as se
 from ..operators import serving as sv
+from ..operators import stored as st
 from ..operators import tagger as tg
 from ..operators import tokens as tk
 from ..operators import vocab as vb
+from ..sources import folders
 from ..sources import readers as rd
 from ..sources import writers as wr
 from . import batch
@@ -660,14 +662,18 @@ _FILES = "[" + ", ".join(f"'{i:02d}_{SECTION_FILES[k]}.txt'" for i, (k, _, _) in
     f"SELECT year, to_json({{'year': year, 'type': '英语一', 'source': min(source), 'sections': list({{'key': key, 'label': label, 'label_en': label, 'file': {_FILES}[rank], 'sentence_count': n}} ORDER BY rank)}})::VARCHAR AS meta FROM g GROUP BY year"
 )
 def q40_meta_json(spark, d):
+    return wr.meta(made_sections(spark, d))
+
+
+def made_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections bound to the documents: the year is the source, the section follows from doc_id."""
     rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null and source is not null")
     key = F.element_at(F.array(*[F.lit(k) for k, _, _ in SECTIONS]), (F.col("doc_id") % 6 + 1).cast("int"))
     label = F.concat(F.lit("l"), (F.col("doc_id") % 6).cast("string"))
-    rows = rows.select(
+    return rows.select(
         F.col("source").alias("year"), key.alias("key"), label.alias("label"), label.alias("label_en"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source"), F.col("doc_id").alias("ord"), F.split("text", "\n").alias("sentences"),
     )
-    return wr.meta(rows)
 
 
 @query(f"WITH {IDX} SELECT lemma, units, frequency FROM idx WHERE {BANDS.format(0.5, 0.2)} = 'medium'")
@@ -748,8 +754,9 @@ _DETAIL = (
 
 @query(f"WITH {TOK}, {POSC}, {EXAM} {_DETAIL.format('idiot', 'n')} UNION ALL {_DETAIL.format('nowhere', 'v')}")
 def q48_sense_detail_counts(spark, d):
-    told, counts = all_examples(spark, d), ix.pos_counts(cells(spark, d))
-    rows = ex.detail("idiot", "n", told, counts).unionByName(ex.detail("nowhere", "v", told, counts))
+    counts = ix.pos_counts(cells(spark, d))
+    kept = ex.Stored(spark, folders.scratch(spark, "examples")).write(ex.told(papers(spark, d)))
+    rows = ex.detail("idiot", "n", kept.of("idiot", "n"), counts).unionByName(ex.detail("nowhere", "v", kept.of("nowhere", "v"), counts))
     return rows.select("lemma", "pos", "unit_count", "text", "year", "section")
 
 
@@ -852,9 +859,9 @@ _ABBR = (
 )
 
 
-@query(f"WITH {_ABBR} SELECT word, a::BIGINT AS with_stop, b::BIGINT AS without, round(score, 6) AS score FROM sc")
+@query(f"WITH {_ABBR} SELECT word, a::BIGINT AS with_stop, b::BIGINT AS without, round(score, 6) + 0.0 AS score FROM sc")
 def q59_abbreviation_scores(spark, d):
-    return se.scores(se.counts(papers(spark, d))).withColumn("score", F.round("score", 6))
+    return se.scores(se.counts(papers(spark, d))).withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
 _QUIET = (
@@ -885,3 +892,69 @@ def q62_context_index(spark, d):
     p = papers(spark, d)
     model, _ = tg.Tagger().fit(p)
     return ix.assembled(tg.tagged_cells(p, model), p).select("lemma", F.explode("pos_counts").alias("pos", "pos_count"), "count_sum")
+
+
+# ---------------------------------------------------------------- stored, and read in part
+
+
+@query(
+    f"WITH {SERVE}, r AS (SELECT lemma, units, frequency, row_number() OVER (ORDER BY frequency DESC, first_seen) AS k, row_number() OVER (ORDER BY lemma) AS l FROM srv) "
+    "SELECT 'frequency' AS sort, lemma, units, frequency FROM r WHERE k BETWEEN 1951 AND 2000 UNION ALL SELECT 'lemma', lemma, units, frequency FROM r WHERE l BETWEEN 2081 AND 2120"
+)
+def q63_deep_pages(spark, d):
+    """Page 40 by frequency and page 53 by lemma, from stored orders."""
+    rows, path = assembled(spark, d).select("lemma", "units", "frequency", "first_seen"), folders.scratch(spark, "ranked")
+    out = [
+        st.Ranked(spark, f"{path}/{sort}").write(rows, sort, "desc").page(number, size).select(F.lit(sort).alias("sort"), "lemma", "units", "frequency")
+        for sort, number, size in (("frequency", 40, 50), ("lemma", 53, 40))
+    ]
+    return out[0].unionByName(out[1])
+
+
+_FOUND = "SELECT '{0}' AS needle, lemma, units FROM idx JOIN vars USING (lemma) WHERE contains(lemma, '{0}') OR len(list_filter(variants, lambda v: contains(v, '{0}'))) > 0"
+
+
+@query(f"WITH {IDX}, {VARS} {_FOUND.format('ough')} UNION ALL {_FOUND.format('tion')} UNION ALL {_FOUND.format('zz')}")
+def q64_trigram_search(spark, d):
+    kept = st.Trigrams(spark, folders.scratch(spark, "trigrams")).write(assembled(spark, d).select("lemma", "variants", "units"))
+    out = [kept.search(x).select(F.lit(x).alias("needle"), "lemma", "units") for x in ("ough", "tion", "zz")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _dictionary(word: str) -> list[tuple[str, list[str]]] | None:
+    """Stands for a source outside of Spark: knows words by their length, and fails for some."""
+    if len(word) % 7 == 0:
+        raise OSError("no answer")
+    return None if len(word) % 5 == 0 else [("noun", [word.upper(), f"a {word}", "a third"]), ("verb", [f"to {word}"])]
+
+
+_SAYS = "[('noun', upper(word), 0), ('noun', 'a ' || word, 1), ('verb', 'to ' || word, 2)]"
+
+
+@query(
+    f"WITH {BOOK}, {LEVEL}, ms AS (SELECT DISTINCT lemma AS word FROM bw WHERE lemma NOT IN (SELECT word FROM lists) AND length(lemma) % 7 <> 0 AND length(lemma) % 5 <> 0), "
+    f"sy AS (SELECT word, unnest({_SAYS}) AS s FROM ms) SELECT word AS lemma, s[1] AS pos, s[2] AS meaning, s[3]::INT AS ord FROM sy "
+    "UNION ALL SELECT DISTINCT word, 'known', upper(word), 0 FROM lists WHERE word IN (SELECT lemma FROM bw)"
+)
+def q65_lookup_of_misses(spark, d):
+    """Words of the documents, explained by word lists as a cache, and else by a source; what it says is kept before it is used."""
+    path = folders.scratch(spark, "dictionary")
+
+    def append(rows: DataFrame) -> DataFrame:
+        wr.write_dictionary(rows, path)
+        return spark.read.schema("lemma string, pos string, meaning string, ord int").parquet(path)
+
+    cache = level_lists(spark, d).select(F.col("word").alias("lemma"), F.lit("known").alias("pos"), F.upper("word").alias("meaning"), F.lit(0).alias("ord")).distinct()
+    return sn.resolved(book(spark, d).select("lemma"), cache, append, _dictionary)
+
+
+@query(
+    f"SELECT year, file, length(value) AS n_chars, md5(value) AS digest FROM (SELECT year, {_FILES}[rank] AS file, array_to_string(said, chr(10) || chr(10)) AS value FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY year, rank ORDER BY ord) AS k FROM (SELECT source AS year, (doc_id % 6 + 1)::INT AS rank, string_split(text, chr(10)) AS said, doc_id AS ord FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)) WHERE k = 1)"
+)
+def q66_section_files(spark, d):
+    """Section files written by tasks, as they read back: year, file, length and digest of every text."""
+    path = folders.scratch(spark, "sections")
+    wr.write_sections(made_sections(spark, d), path)
+    rows = spark.read.text(f"{path}/*/*.txt", wholetext=True).select(rd._name(F.input_file_name(), 2).alias("at"), "value")
+    return rows.select(F.substring_index("at", "/", 1).alias("year"), F.substring_index("at", "/", -1).alias("file"), F.length("value").cast("long").alias("n_chars"), F.md5("value").alias("digest"))

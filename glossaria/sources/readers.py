@@ -191,7 +191,7 @@ def split_bundles(pages: DataFrame) -> DataFrame:
     return ln.sections(rows).withColumnRenamed("doc", "unit").join(named, "unit").drop("unit")
 
 
-def uploaded(pages: DataFrame, after: int = 0) -> DataFrame:
+def uploaded(pages: DataFrame, after: int | Column = 0) -> DataFrame:
     """papers of uploaded documents: their sections, or the whole document as one unit where no section is found.
 
     paper_idx goes on after `after`, in the order of names and sections. Paragraphs of sections have been cleaned once and are cleaned again; those of
@@ -214,8 +214,14 @@ def uploaded(pages: DataFrame, after: int = 0) -> DataFrame:
         name.alias("filename"), "text", once_more.alias("sentences"),
     )
     both = split.unionByName(whole)
-    place = F.row_number().over(W.orderBy("doc", "ord")) - 1 + after  # one row a section; uploads are few
-    return both.withColumn("paper_idx", place.cast("long")).withColumn("enabled", F.lit(True)).drop("doc", "ord")
+    # Keys alone are numbered: within ranges of their order, after the sizes of the ranges before. Texts stay where they are until the join.
+    keys = both.select("doc", "ord").repartitionByRange("doc", "ord").withColumn("range", F.spark_partition_id())
+    keys = keys.withColumn("nth", F.row_number().over(W.partitionBy("range").orderBy("doc", "ord")) - 1)
+    sizes = keys.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = (F.col("nth") + F.col("before") + after).cast("long").alias("paper_idx")
+    numbers = keys.join(before, "range").select("doc", "ord", place)
+    return both.join(numbers, ["doc", "ord"]).withColumn("enabled", F.lit(True)).drop("doc", "ord")
 
 
 def append_uploads(papers: DataFrame, uploads: DataFrame) -> DataFrame:

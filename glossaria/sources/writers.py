@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import SECTION_FILES, SECTION_ORDER
+from .sections_sink import SectionFiles, written
 
 
 def first_sections(sections: DataFrame) -> DataFrame:
@@ -44,19 +45,11 @@ def section_files(sections: DataFrame, kind: str = "英语一") -> DataFrame:
 def write_sections(sections: DataFrame, path: str, kind: str = "英语一") -> int:
     """One folder a year with the files that its meta.json names, as readers.processed_sections reads them; files that come again are written anew.
 
-    Exam sections are few and small; they stream through the driver one at a time to whatever store the path names. Returns the number of files.
+    Tasks write the files, whatever their number and size (see sections_sink). Returns the number of files.
     """
-    spark, n = sections.sparkSession, 0
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for r in section_files(sections, kind).toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{r['year']}/{r['file']}")
-        out = target.getFileSystem(conf).create(target, True)
-        try:
-            out.write(bytearray((r["value"] or "").encode()))
-        finally:
-            out.close()
-        n += 1
-    return n
+    sections.sparkSession.dataSource.register(SectionFiles)
+    section_files(sections, kind).write.format("section_files").option("path", path).mode("append").save()
+    return written(path)
 
 
 def write_vocabulary(rows: DataFrame, merged: DataFrame, path: str) -> None:

@@ -226,3 +226,27 @@ def test_tokenizers_and_sentences(spark):
 def test_meta_names_the_files(spark):
     got = {r["year"]: json.loads(r["meta"]) for r in writers.meta(fx.frame(spark, fx.SPLIT)).collect()}
     assert [s["file"] for s in got["2010"]["sections"]] == ["01_完形填空.txt", "02_阅读A.txt"] and [s["sentence_count"] for s in got["2010"]["sections"]] == [1, 2]
+
+
+def test_stored_examples_are_read_by_part(spark, tmp_path):
+    p = papers(spark, ("2010", "a", "The dog at night. Dogs bark at night. Dogs bark."), ("2011", "b", "Dogs bark.\nA night of dogs"), ("2011", "b", None))
+    told = examples.told(p)
+    kept = examples.Stored(spark, str(tmp_path / "s"), parts=8).write(told)
+    every = examples.found(p)
+    for lemma, pos in ((r["lemma"], r["pos"]) for r in every.select("lemma", "pos").distinct().collect()):
+        want = every.where((F.col("lemma") == lemma) & (F.col("pos") == pos))
+        assert sorted(map(str, kept.of(lemma, pos).collect())) == sorted(map(str, want.collect()))
+    rows = kept.of("dog", "n")
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+    assert kept.of("zebra", "n").collect() == []
+
+
+def test_white_space_is_that_of_unicode(spark):
+    every = [chr(c) for c in [*range(1, 0x3001), 0xFEFF] if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, f"a{c}{c} b") for c in every], "c string, x string")
+    got = df.select("c", F.regexp_replace("c", f"^{t.S}$", "") == "", F.regexp_replace("c", r"(?U)^\s$", "") == "", t.spaced(F.col("x")), F.regexp_replace("x", r"(?U) \s+|[\s&&[^ ]]\s*", " ")).collect()
+    assert all(r[1] == r[2] and r[3] == r[4] for r in got) and sum(r[1] for r in got) == 25
+    words = df.select(t.runs("x").alias("a"), F.regexp_extract_all("x", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("b"))
+    assert words.where("a <> b").count() == 0
