@@ -63,28 +63,30 @@ def variants(rows: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame) -> DataFrame:
-    place = F.col("first") if "first" in rows.columns else F.struct("paper_idx", "line_no", "tok_idx")
-    return rows.groupBy("lemma").agg(F.min(place).alias("first_seen"))
+    place = F.col("place") if "place" in rows.columns else tk.place()
+    return rows.groupBy("lemma").agg(F.min(place).alias("place")).select("lemma", tk.unplaced("place").alias("first_seen"))
 
 
 def assembled(rows: DataFrame, papers: DataFrame) -> DataFrame:
     """One row a lemma: variants, pos_counts (map), units, frequency, count_sum, first_seen.
 
     One aggregation by (lemma, 64 units) and one by lemma give all of them; the longs of a unit set are never gathered in a row.
+    Rows without places have no first_seen.
     """
     rows = rows if "bits" in rows.columns else tk.as_bits(rows, papers)
+    rows = rows if "place" in rows.columns else rows.withColumn("place", F.lit(None).cast("decimal(38,0)"))
     told = [F.bit_or(F.when(F.col("pos") == p, F.col("bits"))).alias("of_" + p) for p in POS]
     part = rows.groupBy("lemma", "w").agg(
-        *told, F.bit_or("bits").alias("bits"), F.array_sort(F.collect_set("word")).alias("words"), F.min("first").alias("first")
+        *told, F.bit_or("bits").alias("bits"), F.array_sort(F.collect_set("word")).alias("words"), F.min("place").alias("place")
     )
     many = lambda p: F.coalesce(F.sum(F.bit_count("of_" + p)), F.lit(0)).cast("long")
     out = part.groupBy("lemma").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("words")))).alias("variants"),
         F.array(*[F.struct(F.lit(p).alias("pos"), many(p).alias("n")) for p in POS]).alias("__n"),
         F.sum(F.bit_count("bits")).cast("long").alias("units"),
-        F.min("first").alias("first_seen"),
+        F.min("place").alias("place"),
     )
-    out = out.withColumn("__n", F.filter("__n", lambda x: x["n"] > 0))
+    out = out.withColumn("first_seen", tk.unplaced("place")).withColumn("__n", F.filter("__n", lambda x: x["n"] > 0))
     out = out.withColumn("pos_counts", F.map_from_entries("__n")).withColumn("count_sum", F.aggregate("__n", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
     return out.select("lemma", "variants", "pos_counts", "units", "count_sum", "first_seen").withColumn("frequency", _share(papers))
 
@@ -92,7 +94,7 @@ def assembled(rows: DataFrame, papers: DataFrame) -> DataFrame:
 def without_units(bits: DataFrame, papers: DataFrame, kept: DataFrame) -> DataFrame:
     """lemma, units, frequency over the units of `kept` alone, from the word_bits() of all papers: an AND with a mask, no text is read again.
 
-    Lemmas are those of the words that are left.
+    Lemmas are those of the words that are left. The first places of words aren't told by a mask.
     """
     left = un.masked(bits, un.mask(un.numbered(papers), kept))
     return frequency(tk.with_lemmas(left), kept)

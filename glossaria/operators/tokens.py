@@ -68,32 +68,51 @@ def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, su
     return rows.join(named(rows, stop, suffixes), "low").select("paper_idx", "year", "section", "line_no", "tok_idx", "word", "lemma", "pos")
 
 
-def counted(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs) -> DataFrame:
-    """low, year, section, first, n_tokens: the words of every unit, with their first place and their number.
+#: Line and word of a place take 31 bits each below the paper's number.
+_STEP = "cast(4611686018427387904 as decimal(19,0))"
+
+
+def place():
+    """paper_idx, line_no, tok_idx as one number in their order. Numbers of fixed size are kept in hash tables where structs are sorted."""
+    below = "cast(shiftleft(cast(line_no as bigint), 31) + tok_idx as decimal(20,0))"
+    return F.expr(f"cast(cast(paper_idx as decimal(19,0)) * {_STEP} + {below} as decimal(38,0))")
+
+
+def unplaced(column: str):
+    """The struct (paper_idx, line_no, tok_idx) of a place()."""
+    below = f"cast(pmod({column}, {_STEP}) as bigint)"
+    paper = f"cast(({column} - pmod({column}, {_STEP})) div {_STEP} as bigint)"
+    return F.expr(f"struct({paper} as paper_idx, cast(shiftright({below}, 31) as int) as line_no, cast({below} & 2147483647 as int) as tok_idx)")
+
+
+def counted(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs, places: bool = True) -> DataFrame:
+    """low, year, section, n_tokens: the words of every unit with their number; with `places` also place, the first one.
 
     Words are counted on the map side, so what is shuffled grows with the vocabulary of a unit, not with its text. The conditions at the end
     hold for every row: they keep all columns in any plan on these rows, so that plans which use them twice share one shuffle
     and read the texts once.
     """
     stop = list(STOP_WORDS if stop_words is None else stop_words)
-    place = F.struct("paper_idx", "line_no", "tok_idx")
     rows = _words(papers, stop, min_ratio, clean, split).where("low is not null")
-    return rows.groupBy("low", "year", "section").agg(F.min(place).alias("first"), F.count("*").alias("n_tokens")).where("first is not null and n_tokens > 0")
-
-
-def word_bits(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs) -> DataFrame:
-    """low, w, bits, first, n_tokens: of every word the bitmap of its units (units.numbered of the papers), 64 units a row."""
-    rows = un.marked(counted(papers, stop_words, min_ratio, clean, split), un.numbered(papers))
-    return or_bits(rows, "low")
+    count, always = [F.count("*").alias("n_tokens")], F.col("n_tokens") > 0
+    if places:
+        count, always = [*count, F.min(place()).alias("place")], always & (F.col("place").isNull() | (F.col("place") > F.lit("-" + "9" * 38).cast("decimal(38,0)")))
+    return rows.groupBy("low", "year", "section").agg(*count).where(always)
 
 
 def or_bits(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows with a unit's bit to rows of 64 units."""
-    return rows.groupBy(*keys, "w").agg(F.bit_or("bit").alias("bits"), F.min("first").alias("first"), F.sum("n_tokens").alias("n_tokens"))
+    first = [F.min("place").alias("place")] * ("place" in rows.columns)
+    return rows.groupBy(*keys, "w").agg(F.bit_or("bit").alias("bits"), F.sum("n_tokens").alias("n_tokens"), *first)
+
+
+def word_bits(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs, places: bool = True) -> DataFrame:
+    """low, w, bits, n_tokens, place: of every word the bitmap of its units (units.numbered of the papers), 64 units a row."""
+    return or_bits(un.marked(counted(papers, stop_words, min_ratio, clean, split, places), un.numbered(papers)), "low")
 
 
 def with_lemmas(bits: DataFrame, words: DataFrame | None = None, stop_words=None, suffixes: bool = True) -> DataFrame:
-    """Rows of word_bits() as word, lemma, pos, w, bits, first, n_tokens; words without a lemma that counts go.
+    """Rows of word_bits() as word, lemma, pos, w, bits, n_tokens, place; words without a lemma that counts go.
 
     Lemmas and tags are worked out once a word, for the words of these rows, or for others that the caller knows to be the same ones.
     """
@@ -102,16 +121,15 @@ def with_lemmas(bits: DataFrame, words: DataFrame | None = None, stop_words=None
     return bits.join(names, "low").withColumnRenamed("low", "word")
 
 
-def cells(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = True, split=t.runs) -> DataFrame:
-    """word, lemma, pos, w, bits, first, n_tokens: tokens() as bitmaps of units. All of an index follows from it."""
-    args = (stop_words, min_ratio, clean, split)
+def cells(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = True, split=t.runs, places: bool = True) -> DataFrame:
+    """word, lemma, pos, w, bits, n_tokens, place: tokens() as bitmaps of units. All of an index follows from it; counts alone need no places."""
+    args = (stop_words, min_ratio, clean, split, places)
     return with_lemmas(word_bits(papers, *args), counted(papers, *args), stop_words, suffixes)
 
 
 def as_bits(tokens: DataFrame, papers: DataFrame) -> DataFrame:
     """The rows of cells(), from token rows."""
-    rows = tokens.groupBy(F.lower("word").alias("word"), "lemma", "pos", "year", "section")
-    rows = rows.agg(F.min(F.struct("paper_idx", "line_no", "tok_idx")).alias("first"), F.count("*").alias("n_tokens"))
+    rows = tokens.groupBy(F.lower("word").alias("word"), "lemma", "pos", "year", "section").agg(F.min(place()).alias("place"), F.count("*").alias("n_tokens"))
     return or_bits(un.marked(rows, un.numbered(papers)), "word", "lemma", "pos")
 
 

@@ -32,9 +32,9 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
     return rd.documents_as_papers(spark, d)
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
+def cells(spark: SparkSession, d: str, places: bool = False) -> DataFrame:
     """The bitmap of every word's units: of cleaned lines, with lemmas by irregular forms and suffix rules."""
-    return tk.cells(papers(spark, d))
+    return tk.cells(papers(spark, d), places=places)
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assembled(spark: SparkSession, d: str) -> DataFrame:
-    return ix.assembled(cells(spark, d), papers(spark, d))
+    return ix.assembled(cells(spark, d, places=True), papers(spark, d))
 
 
 def with_senses(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +51,8 @@ def with_senses(spark: SparkSession, d: str) -> DataFrame:
 
 def book(spark: SparkSession, d: str) -> DataFrame:
     """A dictionary of every word of the documents: a part of speech by the word's length, and a noun."""
-    text = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(t.runs("text")).alias("w"))
-    words = text.where(F.col("w").rlike("^[a-zA-Z]+$")).select(F.lower("w").alias("lemma")).distinct()
+    text = rd.spread(spark.read.parquet(f"{d}/documents.parquet").select("text"))
+    words = text.select(F.explode(t.runs("text")).alias("w")).where(F.col("w").rlike("^[a-zA-Z]+$")).select(F.lower("w").alias("lemma")).distinct()
     n = F.length("lemma")
     pos = F.element_at(F.array(*map(F.lit, ("n", "v", "adj", "art"))), n % 4 + 1)
     row = lambda p, m, o: F.struct(p.alias("pos"), m.alias("meaning"), F.lit(o).alias("ord"))
@@ -110,7 +110,7 @@ def level_lists(spark: SparkSession, d: str) -> DataFrame:
 
 def groups(spark: SparkSession, d: str) -> DataFrame:
     """Fifty vocabulary groups: group g is bound to the tokens of the documents with doc_id % 50 = g, so every document is in one."""
-    doc = spark.read.parquet(f"{d}/documents.parquet")
+    doc = rd.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
     words = doc.select((F.col("doc_id") % 50).alias("g"), F.explode(t.runs("text")).alias("word")).where(F.col("word").rlike("^[a-zA-Z]+$"))
     return words.select(F.concat(F.lit("g"), F.col("g").cast("string")).alias("grp"), F.lower("word").alias("lemma")).distinct()
 
@@ -437,13 +437,13 @@ def q13_stopword_filter(spark, d):
 @query(f"WITH {idx_sql(chr(40) + 'source IS DISTINCT FROM ' + chr(39) + 'src1' + chr(39) + ' OR lang IS DISTINCT FROM ' + chr(39) + 'en' + chr(39) + ')')} SELECT lemma, units, frequency FROM idx")
 def q14_toggle_section(spark, d):
     p = papers(spark, d)
-    return ix.without_units(tk.word_bits(p), p, tk.active(tk.toggle(p, "src1", "en", False)))
+    return ix.without_units(tk.word_bits(p, places=False), p, tk.active(tk.toggle(p, "src1", "en", False)))
 
 
 @query(f"WITH {idx_sql('source IS DISTINCT FROM ' + chr(39) + 'src2' + chr(39))} SELECT lemma, units, frequency FROM idx")
 def q15_delete_year(spark, d):
     p = papers(spark, d)
-    return ix.without_units(tk.word_bits(p), p, fl.delete_year(p, "src2"))
+    return ix.without_units(tk.word_bits(p, places=False), p, fl.delete_year(p, "src2"))
 
 
 _SAID = "len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))"
@@ -781,7 +781,7 @@ _BANK = (
 
 @query(f"WITH {tok_sql(words=_BANK)} SELECT lemma, count(*) AS n FROM tok GROUP BY lemma")
 def q50_treebank_tokens(spark, d):
-    return tk.cells(papers(spark, d), split=t.treebank).groupBy("lemma").agg(F.sum("n_tokens").alias("n"))
+    return tk.cells(papers(spark, d), split=t.treebank, places=False).groupBy("lemma").agg(F.sum("n_tokens").alias("n"))
 
 
 @query(

@@ -21,9 +21,19 @@ VOCAB = f"lemma string, `group` string, group_idx int, group_title string, sense
 META = "year string, type string, source string, sections array<struct<key:string,label:string,label_en:string,file:string,sentence_count:int>>"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer partitions than the cluster has cores, dealt out anew; a scan with more stays as it is.
+
+    Work on texts costs far more than moving them once, and one large row group is one task. Inputs worth a cluster have more partitions
+    than cores, so nothing is shuffled there.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def documents_as_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """papers(paper_idx, year, section, section_label, filename, text, enabled) bound to the documents table."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
     return d.select(F.col("doc_id").alias("paper_idx"), F.col("source").alias("year"), F.col("lang").alias("section"), "text", F.lit(True).alias("enabled"))
 
 

@@ -21,7 +21,7 @@ from ..operators import tokens as tk
 from ..operators import units as un
 from ..sources import folders
 
-CELLS = "low string, year string, section string, first struct<paper_idx:{},line_no:int,tok_idx:int>, n_tokens long, seq long, enabled boolean"
+CELLS = "low string, year string, section string, place decimal(38,0), n_tokens long, seq long, enabled boolean"
 UNITS = "year string, section string, seq long, enabled boolean"
 OPS = "seq long, kind string, year string, section string, enabled boolean"
 
@@ -60,7 +60,7 @@ class IndexStore:
         seq = self._next()
         mark = [F.lit(seq).cast("long").alias("seq"), F.lit(True).alias("enabled")]
         cells = tk.counted(papers, self.settings.stop_words)
-        cells.select("low", "year", "section", "first", "n_tokens", *mark).write.mode("overwrite").parquet(f"{self.path}/cells/{name}")
+        cells.select("low", "year", "section", "place", "n_tokens", *mark).write.mode("overwrite").parquet(f"{self.path}/cells/{name}")
         un.units(papers).select("year", "section", *mark).write.mode("overwrite").parquet(f"{self.path}/units/{name}")
         self._commit(seq, name)
         return True
@@ -123,8 +123,8 @@ class IndexStore:
         kept = self.units()
         cells = self._cells(self._standing().where("enabled"))
         if cells is None:
-            cells = self.spark.createDataFrame([], CELLS.format("long"))
-        rows = cells.groupBy("low", "year", "section").agg(F.min("first").alias("first"), F.sum("n_tokens").alias("n_tokens"))
+            cells = self.spark.createDataFrame([], CELLS)
+        rows = cells.groupBy("low", "year", "section").agg(F.min("place").alias("place"), F.sum("n_tokens").alias("n_tokens"))
         return tk.with_lemmas(tk.or_bits(un.marked(rows, un.numbered(kept)), "low"), rows, self.settings.stop_words)
 
     def index(self, book: DataFrame | None = None, lists: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
@@ -140,8 +140,8 @@ class IndexStore:
         cells = self._cells(standing)
         mark = F.lit(seq).cast("long").alias("seq")
         if cells is not None:
-            rows = cells.groupBy("low", "year", "section", "enabled").agg(F.min("first").alias("first"), F.sum("n_tokens").alias("n_tokens"))
-            rows.select("low", "year", "section", "first", "n_tokens", mark, "enabled").write.mode("overwrite").parquet(f"{self.path}/cells/{name}")
+            rows = cells.groupBy("low", "year", "section", "enabled").agg(F.min("place").alias("place"), F.sum("n_tokens").alias("n_tokens"))
+            rows.select("low", "year", "section", "place", "n_tokens", mark, "enabled").write.mode("overwrite").parquet(f"{self.path}/cells/{name}")
         standing.select("year", "section", mark, "enabled").distinct().write.mode("overwrite").parquet(f"{self.path}/units/{name}")
         self._commit(seq, name)
         for _, gone in old:
