@@ -152,24 +152,29 @@ def is_token(w: Column) -> Column:
     return w.rlike("^[a-zA-Z]+$") & F.length(w).between(2, 28) & ~(low.contains("answer") & low.contains("sheet"))
 
 
-def irregular(w: Column) -> Column:
-    """The lemma of an irregular form; null for any other word."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv]), w)
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def lemma_of(w: Column) -> Column:
+def within(name: str, words) -> str:
+    """SQL: is a column one of the words? Long lists are parsed as one text: a call for every word would cost more than the query."""
+    return f"{name} IN ({', '.join(map(_quoted, words))})" if words else f"({name} IS NULL AND {name} IS NOT NULL)"
+
+
+def irregular(name: str) -> Column:
+    """The lemma of an irregular form in a column; null for any other word."""
+    return F.expr(f"element_at(map({', '.join(f'{_quoted(a)}, {_quoted(b)}' for a, b in IRREGULAR.items())}), {name})")
+
+
+def lemma_of(name: str) -> Column:
     """Irregular forms by table; any other word is its own lemma (see operators.lemmas for suffix rules)."""
-    return F.coalesce(irregular(w), w)
+    return F.coalesce(irregular(name), F.col(name))
 
 
-def pos_of(w: Column) -> Column:
-    """Deterministic part of speech: closed classes, then endings, else a noun."""
-    out = F.lit("n")
-    for pos, pattern in reversed(ENDINGS):
-        out = F.when(w.rlike(pattern), F.lit(pos)).otherwise(out)
-    for pos, words in CLOSED.items():
-        out = F.when(w.isin(words.split()), F.lit(pos)).otherwise(out)
-    return out
+def pos_of(name: str) -> Column:
+    """Deterministic part of speech of the words of a column: closed classes, the last named first, then endings, else a noun."""
+    cases = [(within(name, words.split()), pos) for pos, words in reversed(CLOSED.items())] + [(f"{name} RLIKE {_quoted(pattern)}", pos) for pos, pattern in ENDINGS]
+    return F.expr("CASE " + " ".join(f"WHEN {test} THEN '{pos}'" for test, pos in cases) + " ELSE 'n' END")
 
 
 def penn_to_simple(tag: Column) -> Column:

@@ -55,7 +55,7 @@ def postings(sentences: DataFrame, stop_words=None) -> DataFrame:
     odd, as_written = F.col("text").rlike("[\u0130\u212a]"), F.transform(F.filter(t.runs("text"), t.is_token), F.lower)
     rows = _named_texts(sentences).withColumn("odd", F.when(odd, as_written)).withColumn("n_chars", F.length("text"))
     rows = rows.select(*[c for c in rows.columns if c != "text"], F.posexplode(F.array_distinct(t.runs(F.lower("text")))).alias("k", "low"))
-    rows = rows.where(t.is_token(F.col("low")) & ~F.col("low").isin(stop))
+    rows = rows.where(t.is_token(F.col("low"))).where(f"NOT {t.within('low', stop)}")
     is_one = F.col("token") & F.coalesce(F.array_contains("odd", F.col("low")), F.lit(True))
     at = F.struct("para_idx", "sent_idx", "k")
     tok = F.min(F.when(is_one, at)).over(W.partitionBy("paper_idx", "year", "section", "low"))

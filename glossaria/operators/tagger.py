@@ -210,7 +210,7 @@ class Tagger:
 def tagged_cells(papers: DataFrame, model: Model, stop_words=None, clean: bool = True, min_ratio: float | None = 0.3) -> DataFrame:
     """tokens.cells() with a part of speech for every place of a word, in place of one for every word."""
     stop = list(STOP_WORDS if stop_words is None else stop_words)
-    rows = Tagger.tag(model, papers, clean, min_ratio).where(t.is_token(F.col("word"))).withColumn("low", F.lower("word")).where(~F.col("low").isin(stop))
+    rows = Tagger.tag(model, papers, clean, min_ratio).where(t.is_token(F.col("word"))).withColumn("low", F.lower("word")).where(f"NOT {t.within('low', stop)}")
     rows = rows.groupBy("low", "pos", "year", "section").agg(F.min(tk.place()).alias("place"), F.count("*").alias("n_tokens"))
     names = tk.named(rows, stop).drop("pos")
     bits = tk.or_bits(un.marked(rows, un.numbered(papers)), "low", "pos")

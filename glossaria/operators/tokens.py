@@ -38,7 +38,7 @@ def _words(papers: DataFrame, stop, min_ratio: float | None, clean: bool, split)
     if min_ratio is not None:
         rows = rows.where(t.en_ratio("line", clean) > min_ratio)
     rows = rows.select("paper_idx", "year", "section", "line_no", F.posexplode(split(F.col("line"))).alias("tok_idx", "word"))
-    return rows.where(t.is_token(F.col("word"))).withColumn("low", F.lower("word")).where(~F.col("low").isin(stop))
+    return rows.where(t.is_token(F.col("word"))).withColumn("low", F.lower("word")).where(f"NOT {t.within('low', stop)}")
 
 
 def words(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs) -> DataFrame:
@@ -48,13 +48,12 @@ def words(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, cle
 
 def named(words: DataFrame, stop, suffixes: bool = True) -> DataFrame:
     """low -> lemma, pos of every distinct word that is a token by its lemma too: lemmas and tags are worked out once a word."""
-    low = F.col("low")
     rows = words.select("low").distinct()
     if suffixes:
-        rows = lemmas(rows.select(low.alias("word"))).select(F.col("word").alias("low"), "lemma")
+        rows = lemmas(rows.select(F.col("low").alias("word"))).select(F.col("word").alias("low"), "lemma")
     else:
-        rows = rows.withColumn("lemma", t.lemma_of(low))
-    return rows.where(~F.col("lemma").isin(stop) & (F.length("lemma") >= 2)).withColumn("pos", t.pos_of(low))
+        rows = rows.withColumn("lemma", t.lemma_of("low"))
+    return rows.where(f"NOT {t.within('lemma', stop)} AND length(lemma) >= 2").withColumn("pos", t.pos_of("low"))
 
 
 def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = False, split=t.runs) -> DataFrame:
@@ -178,22 +177,20 @@ def _lemmatized(words: DataFrame) -> DataFrame:
     itself = F.array(F.struct(F.lit(_SELF).alias("rule"), F.col("word").alias("base")))
     sent = words.select("word", F.explode(F.concat(itself, _bases())).alias("t")).select("word", "t.*")
     home = sent.groupBy("base").agg(F.collect_list(F.struct("word", "rule")).alias("tries"))
-    lives = F.exists("tries", lambda x: x["rule"] == _SELF) | F.col("base").isin(list(STOP_WORDS))
+    lives = f"exists(tries, x -> x.rule = {_SELF}) OR {t.within('base', STOP_WORDS)}"
     found = home.where(lives).select("base", F.explode("tries").alias("t")).select("base", "t.*")
     out = found.groupBy("word").agg(F.min_by("base", "rule").alias("base"))
-    return out.select("word", F.coalesce(t.irregular(F.col("word")), "base").alias("lemma"))
+    return out.select("word", F.coalesce(t.irregular("word"), "base").alias("lemma"))
 
 
 def _bases():
     """What the suffix rules make of a word, as (rule, base)."""
-    cases = [
-        F.when(
-            F.col("word").endswith(end) & (F.length("word") >= SHORTEST + len(end) - len(to)),
-            F.struct(F.lit(i).alias("rule"), F.concat(F.expr(f"substring(word, 1, length(word) - {len(end)})"), F.lit(to)).alias("base")),
-        )
+    cases = ", ".join(
+        f"CASE WHEN endswith(word, '{end}') AND length(word) >= {SHORTEST + len(end) - len(to)} "
+        f"THEN named_struct('rule', {i}, 'base', concat(substring(word, 1, length(word) - {len(end)}), '{to}')) END"
         for i, (_, end, to) in enumerate(SUFFIXES)
-    ]
-    return F.array_compact(F.array(*cases))
+    )
+    return F.expr(f"array_compact(array({cases}))")
 
 
 def lemmas(words: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
@@ -208,4 +205,4 @@ def lemmas(words: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     lexicon = lexicon.select(F.col("word").alias("base")).distinct()
     tries = words.select("word", F.explode(_bases()).alias("t")).select("word", "t.rule", "t.base")
     found = tries.join(lexicon, "base").groupBy("word").agg(F.min_by("base", "rule").alias("base"))
-    return words.join(found, "word", "left").select("word", F.coalesce(t.irregular(F.col("word")), "base", "word").alias("lemma"))
+    return words.join(found, "word", "left").select("word", F.coalesce(t.irregular("word"), "base", "word").alias("lemma"))

@@ -612,7 +612,7 @@ def q35_vocab_merge(spark, d):
     return _flat(vb.merge(rows)).select("lemma", "group_title", "examples", "senses")
 
 
-_MEAN = "CASE doc_id % 5 WHEN 0 THEN '身份 ' || left(text, 30) WHEN 1 THEN '；放弃；抛弃。' || doc_id WHEN 2 THEN left(text, 20) || '。' WHEN 3 THEN '放弃' || left(text, 10) ELSE '能 干 ' || doc_id END"
+_MEAN = "CASE doc_id % 5 WHEN 0 THEN '身份 ' || text WHEN 1 THEN '；放弃；抛弃。' || text WHEN 2 THEN text || '。' WHEN 3 THEN '放弃' || text ELSE '能 干 ' || text END"
 _LOADED = (
     "trim(CASE WHEN regexp_matches(regexp_split_to_array({0}, '\\s+')[1], '[一-鿿]') THEN regexp_split_to_array({0}, '\\s+')[1] ELSE {0} END, '" + t.PUNCT + "')"
 ).format("trim(regexp_replace(trim(text), '\\s+[A-Z][A-Za-z].*$', ''))")
@@ -633,7 +633,7 @@ def q37_lemmatize(spark, d):
     return tk.lemmas(words)
 
 
-_NAMED = "CASE doc_id % 5 WHEN 0 THEN (1990 + doc_id % 50) || '英语一.pdf' WHEN 1 THEN '考研英语（二）' || doc_id WHEN 2 THEN source || '英语二 20155' WHEN 3 THEN lang || '英语（一）英语二' ELSE left(text, 60) END"
+_NAMED = "CASE doc_id % 5 WHEN 0 THEN (1990 + doc_id % 50) || '英语一.pdf' || text WHEN 1 THEN text || '考研英语（二）' || doc_id WHEN 2 THEN source || text || '英语二 20155' WHEN 3 THEN lang || '英语（一）英语二' || text ELSE text END"
 NAMES = f"nms AS (SELECT -id AS id, text FROM {fx.values(fx.NAMES)} UNION ALL SELECT doc_id, {_NAMED} FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL)"
 
 
@@ -695,10 +695,18 @@ _TAGS = [*PENN, "WDT", "EX", "FW"]
 _PENN = "CASE tag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PENN.items()) + " ELSE 'other' END"
 
 
-@query(f"SELECT doc_id, tag, {_PENN} AS pos FROM (SELECT doc_id, [{', '.join(repr(x) for x in _TAGS)}][doc_id % {len(_TAGS)} + 1] AS tag FROM documents)")
+_TAG_OF = f"[{', '.join(repr(x) for x in _TAGS)}][(length(word) * 7 + doc_id) % {len(_TAGS)} + 1]"
+
+
+@query(
+    f"SELECT doc_id, tag, {_PENN} AS pos, count(*) AS n FROM (SELECT doc_id, {_TAG_OF} AS tag FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM documents)) GROUP BY doc_id, tag"
+)
 def q44_penn_tags(spark, d):
-    tag = F.element_at(F.array(*map(F.lit, _TAGS)), (F.col("doc_id") % len(_TAGS) + 1).cast("int"))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tag.alias("tag")).select("doc_id", "tag", t.penn_to_simple(F.col("tag")).alias("pos"))
+    """Penn tags, bound to the words of the whole texts by their length, as parts of speech."""
+    words = rd.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", F.explode(t.runs("text")).alias("word"))
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), ((F.length("word") * 7 + F.col("doc_id")) % len(_TAGS) + 1).cast("int"))
+    rows = words.select("doc_id", tag.alias("tag")).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+    return rows.select("doc_id", "tag", t.penn_to_simple(F.col("tag")).alias("pos"), "n")
 
 
 # ---------------------------------------------------------------- composed queries
