@@ -22,6 +22,7 @@ from ..operators import vocab as vb
 from ..sources import folders
 from ..sources import readers as rd
 from ..sources import writers as wr
+from ..streaming.incremental import IndexStore
 from . import batch
 from . import fixtures as fx
 
@@ -966,3 +967,21 @@ def q66_section_files(spark, d):
     wr.write_sections(made_sections(spark, d), path)
     rows = spark.read.text(f"{path}/*/*.txt", wholetext=True).select(rd._name(F.input_file_name(), 2).alias("at"), "value")
     return rows.select(F.substring_index("at", "/", 1).alias("year"), F.substring_index("at", "/", -1).alias("file"), F.length("value").cast("long").alias("n_chars"), F.md5("value").alias("digest"))
+
+
+_LEFT = "source IS DISTINCT FROM 'src2' AND (source IS DISTINCT FROM 'src1' OR lang IS DISTINCT FROM 'en')"
+
+
+@query(f"WITH {idx_sql(_LEFT)} SELECT lemma, units, frequency FROM idx")
+def q67_incremental_index(spark, d):
+    """All documents taken in by three batches, one of them twice; a section toggled off and a year deleted in between; steps replaced by their sum."""
+    p, store = papers(spark, d), IndexStore(spark, folders.scratch(spark, "index"))
+    batches = [p.where(F.coalesce(F.pmod("paper_idx", F.lit(3)), F.lit(0)) == k) for k in range(3)]
+    store.append(batches[0], "first")
+    store.append(batches[1], "second")
+    store.compact()
+    store.append(batches[1], "second")
+    store.append(batches[2], "third")
+    store.toggle("src1", "en", False)
+    store.delete_year("src2")
+    return store.index().select("lemma", "units", "frequency")
