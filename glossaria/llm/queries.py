@@ -24,6 +24,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain over what the labels hold: `unfit` (quality 0), then `toxic`. Finer categories of annotators are further links (ToxicityChain's `chain`)."""
     from .toxicity import ToxicityChain
 
     return ToxicityChain().predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -118,3 +118,18 @@ def test_template_documents_do_not_meet(spark):
     got = {r["doc_id"]: r["component_id"] for r in join.groups(docs).collect()}
     assert got == {k: k - 9000 if k >= 9000 else k for k, _ in rows}
     assert max(made) < 4 * len(rows)  # candidates grow with the documents, not with their square
+
+
+def test_quality_rules_are_the_same_by_either_plan(spark, monkeypatch):
+    """Statistics of labelled documents alone, or of all documents joined with very many labels."""
+    from glossaria.llm import quality_rules
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(rng.randint(22, 60))] + ["###"] * rng.choice([0, 0, 0, 9])), "en", "s") for i in range(420)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int("###" not in x), 0) for i, x, _, _ in rows[:380]], "doc_id long, quality int, toxic int")
+    kept = []
+    for few in (1 << 21, -1):
+        monkeypatch.setattr(quality_rules, "_FEW_LABELS", few)
+        kept.append(sorted(r["doc_id"] for r in quality_rules.RiskControlledRules().filter(docs, labels).collect()))
+    assert kept[0] == kept[1] and 200 < len(kept[0]) < 420
