@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +86,20 @@ def small_batches(spark: SparkSession, rows: int = 1024, size: int | None = None
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
 
 
+def lean(batches: Iterator) -> Iterator:
+    """The batches of a task; behind them, memory that the task has freed goes back to the machine.
+
+    Spark keeps Python workers for later tasks, also while stages without Python run, and allocators keep what was freed.
+    """
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

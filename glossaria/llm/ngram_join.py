@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import components, durable, release, small_batches, spread_join
+from .common import components, durable, lean, release, small_batches, spread_join
 
 _SLICES = 64
 _HASHES = 4
@@ -140,7 +140,7 @@ def _filter_words(batches, bits: int):
 def _bloom(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of 16 bits an id, 2^28 bits at most: a fuller one lets more through, and exact joins follow."""
     width = min(28, max(16, int(16 * ids.count()).bit_length()))
-    words = ids.mapInArrow(lambda it: _filter_words(it, width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = ids.mapInArrow(lambda it: lean(_filter_words(it, width)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bitmap = np.zeros((1 << width) >> 6, np.int64)
     found = words.toArrow()
     bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy()
@@ -195,7 +195,7 @@ class NgramJaccardJoin:
         k, bits = self.k, self.bits
         scan = durable(
             docs.select("doc_id", "text").mapInArrow(
-                lambda it: _scan(it, bits, k), "doc_id long, n long, s1 long, s2 long, part int, counts binary"
+                lambda it: lean(_scan(it, bits, k)), "doc_id long, n long, s1 long, s2 long, part int, counts binary"
             ),
             "join-scan",
         )
@@ -223,7 +223,7 @@ class NgramJaccardJoin:
         others = classes.where("doc_id <> rep or doc_id is null or rep is null").select("doc_id")
         copies = sc.broadcast(_bloom(others.where("doc_id is not null")).tobytes())
         pre = docs.select("doc_id", "text").mapInArrow(
-            lambda it: _prefixes(it, shared, copies, bits, k, num, den), "doc_id long, n long, prefix array<long>, hist array<int>, doubt boolean"
+            lambda it: lean(_prefixes(it, shared, copies, bits, k, num, den)), "doc_id long, n long, prefix array<long>, hist array<int>, doubt boolean"
         )
         pre = durable(pre, "join-prefix").where("doc_id is not null")
         shared.unpersist()
@@ -260,12 +260,12 @@ class NgramJaccardJoin:
         if not pairs.take(1):
             return pairs
         shared = spark.sparkContext.broadcast(_bloom(ids).tobytes())
-        sets = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, shared, k), "doc_id long, members binary")
+        sets = docs.select("doc_id", "text").mapInArrow(lambda it: lean(_sets(it, shared, k)), "doc_id long, members binary")
         sets = durable(sets, "join-sets")
         shared.unpersist()
         one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
         both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
-        found = durable(both.mapInArrow(lambda it: _verify(it, num, den), "a long, b long").distinct(), "join-links")
+        found = durable(both.mapInArrow(lambda it: lean(_verify(it, num, den)), "a long, b long").distinct(), "join-links")
         release(sets, pairs)
         return found
 
@@ -331,8 +331,8 @@ class NgramJaccardJoin:
                 hit = _in_filter(np.nan_to_num(ids.to_numpy(zero_copy_only=False)).astype(np.int64), bitmap) & np.asarray(ids.is_valid())
                 yield batch.filter(pa.array(~hit if sure else hit))
 
-        clear = docs.mapInArrow(lambda it: part(it, True), docs.schema)
-        doubt = docs.mapInArrow(lambda it: part(it, False), docs.schema)
+        clear = docs.mapInArrow(lambda it: lean(part(it, True)), docs.schema)
+        doubt = docs.mapInArrow(lambda it: lean(part(it, False)), docs.schema)
         left = doubt.join(found.where("gone"), F.col("doc_id") == F.col("__id"), "left_anti")
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         first = left.groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.xxhash64(whole))).alias("__row"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkernel as tk
-from .common import small_batches
+from .common import lean, small_batches
 from .linear import fit_logistic, fit_platt, labelled_sample, sigmoid
 
 WORDS, ENDS, RATES = 768, 256, 4
@@ -168,7 +168,7 @@ class CoTraining:
         """What each view is told by the other: (its features, pseudo-labels)."""
         shared = docs.sparkSession.sparkContext.broadcast((w, turn, rate, self.sure, labelled))
         shape = "doc_id long, target int, text binary, meta binary, view int"
-        got = docs.mapInArrow(lambda it: _confident(it, shared), shape).toArrow().sort_by([("doc_id", "ascending"), ("view", "ascending")])
+        got = docs.mapInArrow(lambda it: lean(_confident(it, shared)), shape).toArrow().sort_by([("doc_id", "ascending"), ("view", "ascending")])
         text, meta, said, _ = self._read(got)
         by = np.array(got.column("view").to_pylist(), dtype=int)
         shared.unpersist()
@@ -206,7 +206,7 @@ class CoTraining:
     def score(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """doc_id, p_text, p_meta, score, kept of every row."""
         shared = docs.sparkSession.sparkContext.broadcast(self.fit(docs, labels))
-        return docs.select(*COLUMNS).mapInArrow(lambda it: _score(it, shared), "doc_id long, p_text double, p_meta double, score double, kept boolean")
+        return docs.select(*COLUMNS).mapInArrow(lambda it: lean(_score(it, shared)), "doc_id long, p_text double, p_meta double, score double, kept boolean")
 
     def filter(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """The rows of docs that are not rejected, all columns kept; no join, each row carries its own judgement."""
@@ -219,4 +219,4 @@ class CoTraining:
                 mask = pa.concat_arrays([b.column(4) for b in _score([part], shared)]) if len(batch) else pa.array([], pa.bool_())
                 yield batch.filter(mask)
 
-        return docs.mapInArrow(keep, docs.schema)
+        return docs.mapInArrow(lambda it: lean(keep(it)), docs.schema)

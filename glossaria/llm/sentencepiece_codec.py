@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import textkernel as tk
-from .common import small_batches
+from .common import lean, small_batches
 
 MARK = "▁"
 #: Words, and bytes of them, whose ids a worker keeps from slice to slice, some 40 MB.
@@ -382,7 +382,7 @@ class SentencePieceCodec:
         shared = rows.sparkSession.sparkContext.broadcast(self.raw)
         cols = rows.select(*keep, column)
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1]), added])
-        return cols.mapInArrow(lambda it: work(it, shared), schema)
+        return cols.mapInArrow(lambda it: lean(work(it, shared)), schema)
 
     def encode(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The kept columns and ids (array of int) of every row."""
