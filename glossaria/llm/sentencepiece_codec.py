@@ -344,8 +344,15 @@ def _list(ids: np.ndarray, ends: np.ndarray, null: pa.Array) -> pa.Array:
 
 
 def _encode(batches, shared, back: bool = False):
-    """ids of the last column's texts; `back`: with the text that the ids decode to."""
+    """ids of the last column's texts; `back`: with the text that the ids decode to. Words are kept for a task: the worker may idle after it."""
     model = _model(shared.value)
+    try:
+        yield from _encoded(batches, model, back)
+    finally:
+        model._forget()
+
+
+def _encoded(batches, model: Model, back: bool):
     for batch in batches:
         text, names = batch.column(batch.num_columns - 1), batch.schema.names[:-1]
         for i, j, buf, off in tk.slices(text, 1 << 20):
