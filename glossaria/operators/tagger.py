@@ -57,10 +57,26 @@ class Model:
                     say[POS.index(by_ending(w)), i] = 0.7
             say /= np.maximum(say.sum(axis=1, keepdims=True), 1e-300)
         self.say = say
+        self._logs = None
 
     def symbols(self, words: list[str]) -> np.ndarray:
         return np.array([self.number[w] if w in self.number else len(self.words) + ending(w) for w in words], np.int64)
 
+    def logs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logarithms of start, move and say, worked out once a process."""
+        if self._logs is None:
+            with np.errstate(divide="ignore"):
+                self._logs = np.log(self.start), np.log(self.move), np.log(self.say)
+        return self._logs
+
+    def lines_of(self, column: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The symbols of every list of words, and the ends of the lists: a batch's words are looked up once each."""
+        ends = np.cumsum(np.concatenate([[0], column.value_lengths().to_numpy(zero_copy_only=False)])).astype(np.int32)
+        words = column.flatten().dictionary_encode()
+        known = self.symbols([w.lower() for w in words.dictionary.to_pylist()])
+        flat = known[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], ends
+
 
 def by_ending(word: str) -> str:
     return next((pos for pos, pattern in ENDINGS if re.search(pattern, word)), "n")
@@ -71,21 +87,33 @@ def ending(word: str) -> int:
     return next((i for i, e in enumerate(_ENDS) if len(word) > len(e) + 1 and word.endswith(e)), len(_ENDS))
 
 
-def expected(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and symbols, and the log-likelihood, over lines of symbols. Lines of like length run side by side."""
-    start, move, say, total = np.zeros(_N), np.zeros((_N, _N)), np.zeros_like(model.say), 0.0
-    lines = sorted((x for x in lines if len(x)), key=len)
+def _side_by_side(lines: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of lines that hold a word, shortest first, in groups whose padded size is bounded."""
+    order = sorted((i for i, x in enumerate(lines) if len(x)), key=lambda i: len(lines[i]))
     k = 0
-    while k < len(lines):
+    while k < len(order):
         stop = k + 1
-        while stop < len(lines) and (stop + 1 - k) * len(lines[stop]) <= 1 << 15:
+        while stop < len(order) and (stop + 1 - k) * len(lines[order[stop]]) <= 1 << 15:
             stop += 1
-        part, k = lines[k:stop], stop
-        T, B = len(part[-1]), len(part)
-        obs, on = np.zeros((T, B), np.int64), np.zeros((T, B))
-        for j, x in enumerate(part):
-            obs[: len(x), j], on[: len(x), j] = x, 1
-        emit = model.say[:, obs].transpose(1, 2, 0)  # T, B, tags
+        yield order[k:stop]
+        k = stop
+
+
+def _padded(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (words x lines) and whether there is a word."""
+    obs, on = np.zeros((len(part[-1]), len(part)), np.int64), np.zeros((len(part[-1]), len(part)), bool)
+    for j, x in enumerate(part):
+        obs[: len(x), j], on[: len(x), j] = x, True
+    return obs, on
+
+
+def expected(model: Model, lines: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and symbols, and the log-likelihood, over lines of symbols; counts: how often each line stands. Lines of like length run side by side."""
+    start, move, say, total = np.zeros(_N), np.zeros((_N, _N)), np.zeros_like(model.say), 0.0
+    for group in _side_by_side(lines):
+        obs, on = _padded([lines[i] for i in group])
+        (T, B), often = obs.shape, np.ones(len(group)) if counts is None else counts[group].astype(float)
+        emit = model.say.T[obs]  # T, B, tags
         ahead, scale = np.zeros((T, B, _N)), np.ones((T, B))
         a = np.broadcast_to(model.start, (B, _N))
         for s in range(T):
@@ -93,29 +121,53 @@ def expected(model: Model, lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
             scale[s] = np.maximum(a.sum(axis=1), 1e-300)
             a = a / scale[s][:, None]
             ahead[s] = a
-        total += float((np.log(scale) * on).sum())
-        back = np.ones((B, _N))
+        total += float((np.log(scale) * on * often).sum())
+        back, each = np.ones((B, _N)), np.zeros((T, B, _N))
         for s in range(T - 1, -1, -1):
             live = on[s][:, None]
             g = ahead[s] * back
-            g = g / np.maximum(g.sum(axis=1, keepdims=True), 1e-300) * live
-            np.add.at(say.T, obs[s], g)
+            each[s] = g / np.maximum(g.sum(axis=1, keepdims=True), 1e-300) * (on[s] * often)[:, None]
             if s == 0:
-                start += g.sum(axis=0)
+                start += each[0].sum(axis=0)
             else:
                 after = emit[s] * back * live / scale[s][:, None]
-                move += model.move * (ahead[s - 1].T @ after)
+                move += model.move * (ahead[s - 1].T @ (after * often[:, None]))
                 # A line that is over keeps 1 until its last word is reached.
                 back = np.where(live > 0, after @ model.move.T, 1.0)
+        for i in range(_N):
+            say[i] += np.bincount(obs.ravel(), weights=each[:, :, i].ravel(), minlength=say.shape[1])
     return start, move, say, total
 
 
+def best_of(model: Model, lines: list[np.ndarray]) -> list[np.ndarray]:
+    """best() of many lines, those of like length side by side."""
+    start, move, say = model.logs()
+    out = [np.zeros(0, np.int8)] * len(lines)
+    for group in _side_by_side(lines):
+        obs, on = _padded([lines[i] for i in group])
+        T, B = obs.shape
+        p, back = start + say.T[obs[0]], np.zeros((T, B, _N), np.int8)
+        for s in range(1, T):
+            top = p[:, :1] + move[0]
+            for i in range(1, _N):
+                q = p[:, i : i + 1] + move[i]
+                back[s][q > top] = i  # of equals the first
+                top = np.maximum(top, q)
+            p = np.where(on[s][:, None], top + say.T[obs[s]], p)
+        tags, at, row = np.zeros((T, B), np.int8), p.argmax(axis=1), np.arange(B)
+        for s in range(T - 1, -1, -1):
+            tags[s] = at
+            at = np.where(on[s], back[s][row, at], at) if s else at
+        for j, i in enumerate(group):
+            out[i] = tags[: len(lines[i]), j]
+    return out
+
+
 def best(model: Model, symbols: np.ndarray) -> list[int]:
     """The likeliest sequence of tags; of equals the one whose tags come first."""
     if not len(symbols):
         return []
-    with np.errstate(divide="ignore"):
-        move, say, p = np.log(model.move), np.log(model.say), np.log(model.start)
+    p, move, say = model.logs()
     p = p + say[:, symbols[0]]
     back = []
     for o in symbols[1:]:
@@ -172,10 +224,8 @@ class Tagger:
         def work(batches) -> Iterator[pa.RecordBatch]:
             net, sums = shared.value, np.zeros(size)
             for batch in batches:
-                symbols = [net.symbols(x) for x in batch.column(0).to_pylist()]
-                for n in np.unique(counts := batch.column(1).to_numpy()):
-                    got = expected(net, [s for s, c in zip(symbols, counts, strict=True) if c == n])
-                    sums += n * np.concatenate([got[0], got[1].ravel(), got[2].ravel(), [got[3]]])
+                got = expected(net, net.lines_of(batch.column(0))[0], batch.column(1).to_numpy())
+                sums += np.concatenate([got[0], got[1].ravel(), got[2].ravel(), [got[3]]])
             at = np.flatnonzero(sums)
             for i in range(0, len(at), 1 << 16):
                 part = at[i : i + (1 << 16)]
@@ -198,8 +248,10 @@ class Tagger:
         def work(batches):
             net = shared.value
             for batch in batches:
-                tags = [[POS[i] for i in best(net, net.symbols([w.lower() for w in words]))] for words in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.list_(pa.string()))], names=[*batch.schema.names, "tags"])
+                lines, ends = net.lines_of(batch.column(at))
+                flat = np.concatenate([np.zeros(0, np.int8), *best_of(net, lines)])
+                tags = pa.DictionaryArray.from_arrays(pa.array(flat, pa.int8()), pa.array(POS)).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), tags)], names=[*batch.schema.names, "tags"])
 
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
         rows = rows.mapInArrow(work, f"{shape}, tags array<string>")
