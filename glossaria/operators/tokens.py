@@ -32,12 +32,27 @@ def lines(papers: DataFrame, clean: bool = False) -> DataFrame:
     return rows.where("line is not null") if clean else rows
 
 
+def dealt(papers: DataFrame, min_ratio: float = 0.3, clean: bool = True, known=None) -> DataFrame:
+    """paper_idx, year, section, line_no, line, token (whether the line has enough English), known: lines(), dealt out by paper.
+
+    What a plan makes of them shares this one shuffle, so no line is cleaned twice, and what is asked for paper by paper needs no other.
+    For that, all of it must use every column, and no condition on a line may stand before a generator.
+    """
+    rows = lines(papers, clean).withColumn("token", t.en_ratio("line", clean) > min_ratio)
+    rows = rows if known is None else rows.withColumn("known", known)
+    return rows.repartition("paper_idx", "year", "section")
+
+
 def _words(papers: DataFrame, stop, min_ratio: float | None, clean: bool, split) -> DataFrame:
-    """paper_idx, year, section, line_no, tok_idx, word, low of words that count as tokens by their form."""
-    rows = lines(papers, clean)
-    if min_ratio is not None:
-        rows = rows.where(t.en_ratio("line", clean) > min_ratio)
-    rows = rows.select("paper_idx", "year", "section", "line_no", F.posexplode(split(F.col("line"))).alias("tok_idx", "word"))
+    """paper_idx, year, section, line_no, tok_idx, word, low of words that count as tokens by their form; of papers, or of lines from dealt()."""
+    found = split(F.col("line"))
+    if "token" in papers.columns:
+        rows, found = papers, F.when(F.col("token") & (F.col("line_no") >= 0), found)  # always so: no column of dealt() is left out
+    else:
+        rows = lines(papers, clean)
+        if min_ratio is not None:
+            rows = rows.where(t.en_ratio("line", clean) > min_ratio)
+    rows = rows.select("paper_idx", "year", "section", "line_no", F.posexplode(found).alias("tok_idx", "word"))
     return rows.where(t.is_token(F.col("word"))).withColumn("low", F.lower("word")).where(f"NOT {t.within('low', stop)}")
 
 
@@ -67,6 +82,12 @@ def tokens(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, su
     return rows.join(named(rows, stop, suffixes), "low").select("paper_idx", "year", "section", "line_no", "tok_idx", "word", "lemma", "pos")
 
 
+def of_lemma(words: DataFrame, lemma: str, stop_words=None) -> DataFrame:
+    """tokens() of one lemma, from words(): its few forms are sent to the words, and nothing else is moved."""
+    names = named(words, list(STOP_WORDS if stop_words is None else stop_words)).where(F.col("lemma") == lemma)
+    return words.join(F.broadcast(names), "low")
+
+
 #: Line and word of a place take 31 bits each below the paper's number.
 _STEP = "cast(4611686018427387904 as decimal(19,0))"
 
@@ -105,9 +126,9 @@ def or_bits(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "w").agg(F.bit_or("bit").alias("bits"), F.sum("n_tokens").alias("n_tokens"), *first)
 
 
-def word_bits(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs, places: bool = True) -> DataFrame:
-    """low, w, bits, n_tokens, place: of every word the bitmap of its units (units.numbered of the papers), 64 units a row."""
-    return or_bits(un.marked(counted(papers, stop_words, min_ratio, clean, split, places), un.numbered(papers)), "low")
+def word_bits(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, clean: bool = True, split=t.runs, places: bool = True, rows: DataFrame | None = None) -> DataFrame:
+    """low, w, bits, n_tokens, place: of every word the bitmap of its units (units.numbered of the papers), 64 units a row. rows: the papers' dealt()."""
+    return or_bits(un.marked(counted(papers if rows is None else rows, stop_words, min_ratio, clean, split, places), un.numbered(papers)), "low")
 
 
 def with_lemmas(bits: DataFrame, words: DataFrame | None = None, stop_words=None, suffixes: bool = True) -> DataFrame:
@@ -120,10 +141,13 @@ def with_lemmas(bits: DataFrame, words: DataFrame | None = None, stop_words=None
     return bits.join(names, "low").withColumnRenamed("low", "word")
 
 
-def cells(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = True, split=t.runs, places: bool = True) -> DataFrame:
-    """word, lemma, pos, w, bits, n_tokens, place: tokens() as bitmaps of units. All of an index follows from it; counts alone need no places."""
+def cells(papers: DataFrame, stop_words=None, min_ratio: float | None = 0.3, suffixes: bool = True, clean: bool = True, split=t.runs, places: bool = True, rows: DataFrame | None = None) -> DataFrame:
+    """word, lemma, pos, w, bits, n_tokens, place: tokens() as bitmaps of units. All of an index follows from it; counts alone need no places.
+
+    rows: the papers' dealt(), where other parts of a plan use it too.
+    """
     args = (stop_words, min_ratio, clean, split, places)
-    return with_lemmas(word_bits(papers, *args), counted(papers, *args), stop_words, suffixes)
+    return with_lemmas(word_bits(papers, *args, rows), counted(papers if rows is None else rows, *args), stop_words, suffixes)
 
 
 def as_bits(tokens: DataFrame, papers: DataFrame) -> DataFrame:
